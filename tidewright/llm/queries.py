@@ -9,12 +9,18 @@ from pyspark.sql import functions as F
 
 from tidewright.llm.line_dedup import line_dedup
 from tidewright.llm.mixing import mix
+from tidewright.llm.simhash import near_duplicates
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_duplicates(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     decided, _ = mix(_table(spark, sf_dir, "documents"))
     return decided.select("doc_id", "size", "source_size", "target", "taken")
@@ -26,6 +32,7 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_simhash_near_dedup": op3_simhash_near_dedup,
     "op5_source_mix": op5_source_mix,
     "op7_line_dedup": op7_line_dedup,
 }
