@@ -9,9 +9,17 @@ from pyspark.sql import functions as F
 
 from tidewright.llm.line_dedup import line_dedup
 from tidewright.llm.mixing import mix
+from tidewright.llm.piece_bpe import piece_digests
 from tidewright.llm.simhash import near_duplicates
 
 
+def tokenizer_path(name: str) -> str:
+    """Where the public vocabulary file *name* is installed."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -31,10 +39,15 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op9_piece_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_digests(_table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_simhash_near_dedup": op3_simhash_near_dedup,
     "op5_source_mix": op5_source_mix,
     "op7_line_dedup": op7_line_dedup,
+    "op9_piece_encode": op9_piece_encode,
 }
 
 SQL: dict[str, str] = {
