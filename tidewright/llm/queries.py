@@ -7,10 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidewright.llm.block_search import block_search
 from tidewright.llm.line_dedup import line_dedup
 from tidewright.llm.mixing import mix
 from tidewright.llm.piece_bpe import piece_digests
+from tidewright.llm.shared import held_out
 from tidewright.llm.simhash import near_duplicates
+from tidewright.llm.subword_quality import fit_quality, score_texts
 
 
 def tokenizer_path(name: str) -> str:
@@ -29,11 +32,22 @@ def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op4_subword_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    scored = score_texts(docs, fit_quality(docs, _table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     decided, _ = mix(_table(spark, sf_dir, "documents"))
     return decided.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op6_block_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings")
+    return block_search(vectors, vectors.filter("vec_id % 100 = 0"))
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = line_dedup(_table(spark, sf_dir, "documents"))
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
@@ -45,7 +59,9 @@ def op9_piece_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_simhash_near_dedup": op3_simhash_near_dedup,
+    "op4_subword_quality": op4_subword_quality,
     "op5_source_mix": op5_source_mix,
+    "op6_block_search": op6_block_search,
     "op7_line_dedup": op7_line_dedup,
     "op9_piece_encode": op9_piece_encode,
 }
