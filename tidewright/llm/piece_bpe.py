@@ -18,6 +18,7 @@ from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 #: What stands for a blank.
 MARK = "▁"
@@ -161,7 +162,7 @@ def piece_encode(docs: DataFrame, model_path: str, texts: bool = True) -> DataFr
     decoded are replaced. *model_path* must be readable on every executor (the vocabulary files are installed with Python).
     """
     docs = docs.drop("ids", "decoded")
-    schema = docs.schema.add("ids", "array<int>").add("decoded", "string")
+    schema = StructType([*docs.schema.fields, StructField("ids", ArrayType(IntegerType())), StructField("decoded", StringType())])
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -14,6 +14,7 @@ from tidewright.llm.piece_bpe import piece_digests
 from tidewright.llm.shared import held_out
 from tidewright.llm.simhash import near_duplicates
 from tidewright.llm.subword_quality import fit_quality, score_texts
+from tidewright.llm.toxicity import fit_toxicity, score_toxicity
 
 
 def tokenizer_path(name: str) -> str:
@@ -23,6 +24,12 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    scored = score_toxicity(docs.select("doc_id", "text"), fit_toxicity(docs, _table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", "p_explicit", "p_coded", F.col("p_toxic").alias("score"), (F.col("p_toxic") >= 0.3).cast("int").alias("toxic"))
+
+
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -58,6 +65,7 @@ def op9_piece_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_toxicity_chain": op1_toxicity_chain,
     "op3_simhash_near_dedup": op3_simhash_near_dedup,
     "op4_subword_quality": op4_subword_quality,
     "op5_source_mix": op5_source_mix,
