@@ -11,6 +11,7 @@ from tidewright.llm.block_search import block_search
 from tidewright.llm.line_dedup import line_dedup
 from tidewright.llm.mixing import mix
 from tidewright.llm.piece_bpe import piece_digests
+from tidewright.llm.piece_language import fit_on_documents, predict_language
 from tidewright.llm.shared import held_out
 from tidewright.llm.simhash import near_duplicates
 from tidewright.llm.subword_quality import fit_quality, score_texts
@@ -64,6 +65,12 @@ def op9_piece_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_digests(_table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
 
 
+def op10_piece_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    found = predict_language(docs, fit_on_documents(docs, tokenizer_path("piece_bpe_32k.model")))
+    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity_chain": op1_toxicity_chain,
     "op3_simhash_near_dedup": op3_simhash_near_dedup,
@@ -72,6 +79,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_block_search": op6_block_search,
     "op7_line_dedup": op7_line_dedup,
     "op9_piece_encode": op9_piece_encode,
+    "op10_piece_language": op10_piece_language,
 }
 
 SQL: dict[str, str] = {
