@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 from tidewright.llm.block_search import block_search
 from tidewright.llm.line_dedup import line_dedup
 from tidewright.llm.mixing import mix
+from tidewright.llm.mpeg_audio import audio_digests, texts_to_audio
 from tidewright.llm.piece_bpe import piece_digests
 from tidewright.llm.piece_language import fit_on_documents, predict_language
-from tidewright.llm.shared import held_out
+from tidewright.llm.shared import held_out, written
 from tidewright.llm.simhash import near_duplicates
 from tidewright.llm.subword_quality import fit_quality, score_texts
 from tidewright.llm.toxicity import fit_toxicity, score_toxicity
@@ -61,6 +62,10 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op8_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audio_digests(written(texts_to_audio(_table(spark, sf_dir, "documents").select("doc_id", "text")), "media"))
+
+
 def op9_piece_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_digests(_table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
 
@@ -78,6 +83,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_source_mix": op5_source_mix,
     "op6_block_search": op6_block_search,
     "op7_line_dedup": op7_line_dedup,
+    "op8_mpeg_audio": op8_mpeg_audio,
     "op9_piece_encode": op9_piece_encode,
     "op10_piece_language": op10_piece_language,
 }
