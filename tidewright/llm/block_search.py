@@ -63,7 +63,10 @@ def search_tile(queries: np.ndarray, points: np.ndarray, ids: np.ndarray, k: int
         kth = np.partition(square + slack, min(k, len(points)) - 1, axis=1)[:, min(k, len(points)) - 1]
         for i, row in enumerate(square - slack <= kth[:, None]):
             left = np.flatnonzero(row)
-            exact = np.sqrt(((points[left] - q[i]) ** 2).sum(axis=1))
+            exact = np.zeros(len(left))
+            for d in (points[left] - q[i]).T:  # summed in the order of the components, as a plain loop would
+                exact += d * d
+            exact = np.sqrt(exact)
             order = np.lexsort((ids[left], exact))[:k]
             out += [(at + i, int(ids[left[j]]), float(exact[j])) for j in order]
     return out

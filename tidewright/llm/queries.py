@@ -17,6 +17,7 @@ from tidewright.llm.shared import held_out, written
 from tidewright.llm.simhash import near_duplicates
 from tidewright.llm.subword_quality import fit_quality, score_texts
 from tidewright.llm.toxicity import fit_toxicity, score_toxicity
+from tidewright.llm.warc import build_index, look_up, read_ranges, write_archives
 
 
 def tokenizer_path(name: str) -> str:
@@ -36,6 +37,13 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "pages")
+    folder = write_archives(pages)
+    found = read_ranges(spark, folder, look_up(pages, build_index(spark, folder)))
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(_table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -78,6 +86,7 @@ def op10_piece_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity_chain": op1_toxicity_chain,
+    "op2_warc_index": op2_warc_index,
     "op3_simhash_near_dedup": op3_simhash_near_dedup,
     "op4_subword_quality": op4_subword_quality,
     "op5_source_mix": op5_source_mix,
@@ -89,6 +98,26 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 SQL: dict[str, str] = {
+    "op2_warc_index": r"""
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
+d AS (SELECT page_id, octet_length(b) AS payload_bytes, sha1(b) AS h FROM p),
+k AS (SELECT *, max(page_id) OVER (PARTITION BY h) AS keeper FROM d),
+c AS (SELECT *, list_transform(string_split(upper(h), ''), x -> instr('0123456789ABCDEF', x) - 1) AS n FROM k)
+SELECT page_id, payload_bytes::BIGINT AS payload_bytes,
+       array_to_string(list_transform(range(32), i -> substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + list_sum(list_transform(range(5),
+         j -> ((n[((5 * i + j) // 4 + 1)::INT] >> (3 - (5 * i + j) % 4)::INT) & 1) << (4 - j)::INT))::INT, 1)), '') AS payload_digest,
+       CASE WHEN page_id IS NOT DISTINCT FROM keeper THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id IS DISTINCT FROM keeper THEN keeper END AS refers_to
+FROM c""",
+    "op6_block_search": r"""
+WITH v AS (
+  SELECT vec_id, row_number() OVER () AS r, list_transform(embedding, x -> x::DOUBLE) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, x -> x <> 0)) > 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, list_distance(q.e, c.e) AS score
+      FROM v q JOIN v c ON q.vec_id % 100 = 0 AND q.r <> c.r AND len(q.e) = len(c.e)),
+k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id)::INT AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM k WHERE rank <= 10""",
     "op5_source_mix": r"""
 WITH d AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
