@@ -102,18 +102,18 @@ SQL: dict[str, str] = {
 WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
 d AS (SELECT page_id, octet_length(b) AS payload_bytes, sha1(b) AS h FROM p),
 k AS (SELECT *, max(page_id) OVER (PARTITION BY h) AS keeper FROM d),
-c AS (SELECT *, list_transform(string_split(upper(h), ''), x -> instr('0123456789ABCDEF', x) - 1) AS n FROM k)
+c AS (SELECT *, list_transform(string_split(upper(h), ''), lambda x: instr('0123456789ABCDEF', x) - 1) AS n FROM k)
 SELECT page_id, payload_bytes::BIGINT AS payload_bytes,
-       array_to_string(list_transform(range(32), i -> substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + list_sum(list_transform(range(5),
-         j -> ((n[((5 * i + j) // 4 + 1)::INT] >> (3 - (5 * i + j) % 4)::INT) & 1) << (4 - j)::INT))::INT, 1)), '') AS payload_digest,
+       array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + list_sum(list_transform(range(5),
+         lambda j: ((n[((5 * i + j) // 4 + 1)::INT] >> (3 - (5 * i + j) % 4)::INT) & 1) << (4 - j)::INT))::INT, 1)), '') AS payload_digest,
        CASE WHEN page_id IS NOT DISTINCT FROM keeper THEN 'response' ELSE 'revisit' END AS record_type,
        CASE WHEN page_id IS DISTINCT FROM keeper THEN keeper END AS refers_to
 FROM c""",
     "op6_block_search": r"""
 WITH v AS (
-  SELECT vec_id, row_number() OVER () AS r, list_transform(embedding, x -> x::DOUBLE) AS e FROM embeddings
-  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
-    AND len(list_filter(embedding, x -> x <> 0)) > 0),
+  SELECT vec_id, row_number() OVER () AS r, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
 s AS (SELECT q.vec_id AS query_id, c.vec_id, list_distance(q.e, c.e) AS score
       FROM v q JOIN v c ON q.vec_id % 100 = 0 AND q.r <> c.r AND len(q.e) = len(c.e)),
 k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id)::INT AS rank FROM s)
