@@ -163,7 +163,7 @@ def piece_encode(docs: DataFrame, model_path: str, texts: bool = True) -> DataFr
     """
     docs = docs.drop("ids", "decoded")
     schema = StructType([*docs.schema.fields, StructField("ids", ArrayType(IntegerType())), StructField("decoded", StringType())])
-    at = docs.columns.index("text")
+    at, names = docs.columns.index("text"), [*docs.columns, "ids", "decoded"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = load_model(model_path)
@@ -172,7 +172,7 @@ def piece_encode(docs: DataFrame, model_path: str, texts: bool = True) -> DataFr
                 part = batch.slice(i, 256)
                 ids = [[int(x) for x in s.split(",")] if (s := model.encode_joined(t.as_py())) else [] for t in part.column(at)]
                 decoded = pa.array([model.decode(x) for x in ids], pa.string())
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(ids, pa.list_(pa.int32())), decoded], [*docs.columns, "ids", "decoded"])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(ids, pa.list_(pa.int32())), decoded], names)
 
     return docs.mapInArrow(run, schema)
 
