@@ -114,7 +114,7 @@ WITH v AS (
   SELECT vec_id, row_number() OVER () AS r, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
     AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
-s AS (SELECT q.vec_id AS query_id, c.vec_id, list_distance(q.e, c.e) AS score
+s AS (SELECT q.vec_id AS query_id, c.vec_id, sqrt(list_reduce(list_transform(list_zip(q.e, c.e), lambda z: (z[1] - z[2]) * (z[1] - z[2])), lambda a, b: a + b)) AS score
       FROM v q JOIN v c ON q.vec_id % 100 = 0 AND q.r <> c.r AND len(q.e) = len(c.e)),
 k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id)::INT AS rank FROM s)
 SELECT query_id, rank, vec_id, score FROM k WHERE rank <= 10""",

@@ -253,9 +253,8 @@ def read_ranges(spark: SparkSession, folder: str, ranges: DataFrame) -> DataFram
     """
 
     def read(asked: pa.Table, held: pa.Table) -> pa.Table:
-        rows = []
-        for _, offset, length in sorted(zip(*[asked.column(c).to_pylist() for c in ("file", "offset", "length")], strict=True)):
-            data = held.column("content")[0].as_buffer()
+        rows, data = [], held.column("content").chunk(0)[0].as_buffer()
+        for offset, length in sorted(zip(asked.column("offset").to_pylist(), asked.column("length").to_pylist(), strict=True)):
             record = parse_record(zlib.decompress(data.slice(offset, length).to_pybytes(), 31))
             kind = record.fields["warc-type"]
             digest = digest_of(record.payload) if kind == "response" else record.fields["warc-payload-digest"].removeprefix("sha1:")
