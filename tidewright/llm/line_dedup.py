@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewright.llm.shared import ascii_lower
+from tidewright.llm.shared import ascii_lower, written
 
 _STRIP = " \t\n\x0b\x0c\r"
 
@@ -61,6 +61,8 @@ def line_dedup(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> DataF
         .filter(F.col("n") >= min_docs)
         .select("h1", "h2", "keeper")
     )
+    # as a table of its own it is shuffled for the join alone, so that adaptive execution can split the rows of a hot line
+    common = written(common, "common-lines")
     lost = (
         keys.join(common, ["h1", "h2"])
         .filter(~F.col("row.d").eqNullSafe(F.col("keeper")))
