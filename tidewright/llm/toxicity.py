@@ -103,17 +103,18 @@ def fit_chain(features: list[np.ndarray], labels: np.ndarray, categories: tuple[
     chi-squared statistic of at least *chi2*; at most *most_features* are kept. Common words, which come with length, drop out.
     """
     n = len(features)
-    rows = np.repeat(np.arange(n), [len(f) for f in features]) if n else np.zeros(0, np.int64)
-    names, cols = np.unique(np.concatenate(features) if n else np.zeros(0, np.int64), return_inverse=True)
-    have = np.bincount(cols, minlength=len(names))
-    best = np.zeros(len(names))
+    cols = np.concatenate(features).astype(np.int32) if n else np.zeros(0, np.int32)
+    rows = np.repeat(np.arange(n, dtype=np.int32), [len(f) for f in features]) if n else cols
+    have = np.bincount(cols)
+    best = np.zeros(len(have))
     for k in range(len(categories) if n else 0):
-        a, p = np.bincount(cols, labels[rows, k], len(names)), labels[:, k].mean()
+        a, p = np.bincount(cols[labels[rows, k] == 1], minlength=len(have)), labels[:, k].mean()
         with np.errstate(divide="ignore", invalid="ignore"):
             stat = (a - have * p) ** 2 / (have * p * (1 - p) * (1 - have / n))
         best = np.fmax(best, np.where(a >= purity * have, np.nan_to_num(stat, posinf=0.0), 0.0))
-    chosen = [i for i in np.argsort(-best, kind="stable")[:most_features] if best[i] >= chi2 and have[i] >= least_docs]
-    to = np.full(len(names), -1)
+    able = np.flatnonzero((best >= chi2) & (have >= least_docs))
+    chosen = able[np.argsort(-best[able], kind="stable")[:most_features]]
+    to = np.full(len(have), -1)
     to[chosen] = np.arange(len(chosen))
     kept = to[cols] >= 0
     rows, cols = rows[kept], to[cols[kept]]
@@ -133,7 +134,7 @@ def fit_chain(features: list[np.ndarray], labels: np.ndarray, categories: tuple[
                 z = np.bincount(rows, w[cols], n) + earlier @ w[len(chosen) : -1] + w[-1]
                 out[fold == f] = _sigmoid(z)[fold == f]
             earlier = np.column_stack([earlier, out])
-    return ChainModel(categories, {int(names[i]): j for j, i in enumerate(chosen)}, weights)
+    return ChainModel(categories, {int(f): j for j, f in enumerate(chosen)}, weights)
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, rows: int = 6000, **options) -> ChainModel:
@@ -153,7 +154,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, rows: int = 6000, **options
     sample = labelled_sample(docs, labels, "toxic", rows).mapInArrow(prepared, f"doc_id {kind}, label int, explicit boolean, ids array<int>").toArrow().sort_by("doc_id")
     toxic = np.array([int(y > 0) for y in sample.column("label").to_pylist()], np.int64)
     explicit = np.array(sample.column("explicit").to_pylist(), bool).astype(np.int64) * toxic
-    features = [np.asarray(x.values, np.int64) for x in sample.column("ids")]
+    features = [np.asarray(x.values, np.int32) for x in sample.column("ids")]
     return fit_chain(features, np.stack([explicit, toxic - explicit, toxic], axis=1).reshape(-1, 3), CATEGORIES, **options)
 
 
