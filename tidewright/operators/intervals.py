@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewright.operators.grouped import fold_groups
+
 
 def interval_union(df: DataFrame, key: list[str], start: str = "start_ts", end: str = "end_ts") -> DataFrame:
     """The islands (key, start, end, n) that overlapping or touching intervals form."""
@@ -113,7 +115,6 @@ def absorb_contained(blocks: DataFrame, key: str, ident: str) -> DataFrame:
     kind = blocks.schema[key].dataType.simpleString()
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(ident)
         kept: list[list] = []
         for k, i, s, e in zip(rows[key], rows[ident], rows["start_ts"], rows["end_ts"], strict=True):
             last = s if pd.isna(e) else e
@@ -124,7 +125,7 @@ def absorb_contained(blocks: DataFrame, key: str, ident: str) -> DataFrame:
                 outer[4] += 1
         return pd.DataFrame(kept, columns=[key, ident, "start_ts", "end_ts", "absorbed"])
 
-    return blocks.select(key, ident, "start_ts", "end_ts").groupBy(key).applyInPandas(run, f"{key} {kind}, {ident} long, start_ts double, end_ts double, absorbed long")
+    return fold_groups(blocks, key, [ident], ["start_ts", "end_ts"], run, f"{key} {kind}, {ident} long, start_ts double, end_ts double, absorbed long")
 
 
 def merge_micro_gaps(blocks: DataFrame, key: str, ident: str, max_gap: float = 2.0, least_overlap: float = 0.6) -> DataFrame:
@@ -137,14 +138,14 @@ def merge_micro_gaps(blocks: DataFrame, key: str, ident: str, max_gap: float = 2
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         out: list[list] = []
-        for k, i, t, s, e in rows.sort_values(["start_ts", ident])[[key, ident, "text", "start_ts", "end_ts"]].itertuples(index=False):
+        for k, i, t, s, e in rows[[key, ident, "text", "start_ts", "end_ts"]].itertuples(index=False):
             if out and s - out[-1][4] < max_gap and alike(out[-1][2], t) > least_overlap:
                 out[-1][4], out[-1][5] = e, out[-1][5] + 1
             else:
                 out.append([k, i, t, s, e, 1])
         return pd.DataFrame(out, columns=[key, ident, "text", "start_ts", "end_ts", "merged"])
 
-    return blocks.select(key, ident, "text", "start_ts", "end_ts").groupBy(key).applyInPandas(run, f"{key} {kind}, {ident} long, text string, start_ts double, end_ts double, merged long")
+    return fold_groups(blocks, key, ["start_ts", ident], ["text", "end_ts"], run, f"{key} {kind}, {ident} long, text string, start_ts double, end_ts double, merged long")
 
 
 def push_overlaps(df: DataFrame, key: list[str], ident: str) -> DataFrame:

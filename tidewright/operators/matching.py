@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewright.functions.text import jaccard
+from tidewright.operators.grouped import fold_groups
 
 
 def distance_cost(gap: Column, window: tuple[int, int], factor: float, power: float) -> Column:
@@ -103,7 +104,7 @@ def match_assign(candidates: DataFrame, key: str) -> DataFrame:
         chosen = assign(cost)
         return rows[[chosen.get(int(i)) == int(j) for i, j in zip(rows["gen_frame"], rows["ref_frame"], strict=True)]]
 
-    return candidates.groupBy(key).applyInPandas(run, f"{key} {kind}, gen_frame long, ref_frame long, text_cost double, cost double, silent boolean")
+    return fold_groups(candidates, key, ["gen_frame", "ref_frame"], ["text_cost", "cost", "silent"], run, f"{key} {kind}, gen_frame long, ref_frame long, text_cost double, cost double, silent boolean")
 
 
 def turn_taking(frames: DataFrame, matches: DataFrame, key: list[str], fps: float, threshold: float = 0.5) -> DataFrame:
@@ -176,7 +177,7 @@ def align_blocks(scores: DataFrame, key: str, method: str = "dp") -> DataFrame:
         path = how(table.to_numpy())
         return pd.DataFrame({key: rows[key].iloc[0], "block": table.index, "step": [table.columns[j] for j in path]})
 
-    return scores.groupBy(key).applyInPandas(run, f"{key} {kind}, block long, step long")
+    return fold_groups(scores, key, ["block", "step"], ["score"], run, f"{key} {kind}, block long, step long")
 
 
 def resolve_conflicts(forward: DataFrame, backward: DataFrame, key: list[str]) -> DataFrame:

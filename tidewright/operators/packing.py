@@ -12,12 +12,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidewright.operators.grouped import fold_groups
+
 
 def _per_key(df: DataFrame, key: str, order: str, columns: list[str], fold: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
     """*fold* over each key's rows in *order*; *schema* adds to the key's and the order's columns."""
     kinds = dict(df.dtypes)
-    whole = f"`{key}` {kinds[key]}, `{order}` {kinds[order]}, {schema}"
-    return df.select(key, order, *columns).groupBy(key).applyInPandas(lambda rows: fold(rows.sort_values(order).reset_index(drop=True)), whole)
+    return fold_groups(df, key, [order], columns, fold, f"`{key}` {kinds[key]}, `{order}` {kinds[order]}, {schema}")
 
 
 def turn_cost(frames: Column, text: Column, per_frame: int, extra: int = 10) -> Column:
