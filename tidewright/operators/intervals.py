@@ -167,3 +167,31 @@ def run_merge(df: DataFrame, key: list[str], order: list[str], value: str) -> Da
     runs = df.withColumn("_c", change).withColumn("run", F.sum("_c").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     return runs.groupBy(*key, "run", value).agg(F.min("start_ts").alias("start_ts"), F.max("end_ts").alias("end_ts"), F.count(F.lit(1)).alias("n"))
 
+
+
+def repair_tree(nodes: DataFrame, key: str) -> DataFrame:
+    """(key, node_id, parent_id, start_ts, end_ts): siblings pushed behind one another, children moved into their parents, parents grown to hold them.
+
+    Durations are kept where possible. A key's tree is small; nodes are taken by level, in order of start.
+    """
+    kind = nodes.schema[key].dataType.simpleString()
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        below: dict[str | None, list[tuple]] = {}
+        for r in rows.itertuples(index=False):
+            below.setdefault(None if pd.isna(r.parent_id) else r.parent_id, []).append((r.start_ts, r.node_id, r.end_ts))
+        out: list[list] = []
+
+        def place(parent: str | None, at: float) -> float:
+            for start, name, end in sorted(below.get(parent, []), key=lambda x: x[:2]):
+                begin = max(start, at)
+                row = [rows[key].iloc[0], name, parent, begin, begin + max(end - start, 0.0)]
+                out.append(row)
+                row[4] = max(row[4], place(name, begin))
+                at = row[4]
+            return at
+
+        place(None, float("-inf"))
+        return pd.DataFrame(out, columns=[key, "node_id", "parent_id", "start_ts", "end_ts"])
+
+    return fold_groups(nodes, key, ["start_ts", "node_id"], ["parent_id", "end_ts"], run, f"{key} {kind}, node_id string, parent_id string, start_ts double, end_ts double")
