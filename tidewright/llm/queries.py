@@ -13,7 +13,7 @@ from tidewright.llm.mixing import mix
 from tidewright.llm.mpeg_audio import audio_digests, texts_to_audio
 from tidewright.llm.piece_bpe import piece_digests
 from tidewright.llm.piece_language import fit_on_documents, predict_language
-from tidewright.llm.shared import held_out, written
+from tidewright.llm.shared import held_out, spread, written
 from tidewright.llm.simhash import near_duplicates
 from tidewright.llm.subword_quality import fit_quality, score_texts
 from tidewright.llm.toxicity import fit_toxicity, score_toxicity
@@ -28,7 +28,7 @@ def tokenizer_path(name: str) -> str:
 
 
 def op1_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents")
+    docs = _texts(spark, sf_dir)
     scored = score_toxicity(docs.select("doc_id", "text"), fit_toxicity(docs, _table(spark, sf_dir, "labels")))
     return scored.select("doc_id", "p_explicit", "p_coded", F.col("p_toxic").alias("score"), (F.col("p_toxic") >= 0.3).cast("int").alias("toxic"))
 
@@ -37,6 +37,11 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents' ids and texts (and languages), on all cores."""
+    return spread(_table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+
+
 def op2_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = _table(spark, sf_dir, "pages")
     folder = write_archives(pages)
@@ -45,12 +50,12 @@ def op2_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = near_duplicates(_table(spark, sf_dir, "documents"))
+    found = near_duplicates(_texts(spark, sf_dir))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def op4_subword_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents")
+    docs = _texts(spark, sf_dir)
     scored = score_texts(docs, fit_quality(docs, _table(spark, sf_dir, "labels")))
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
@@ -71,15 +76,15 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return audio_digests(written(texts_to_audio(_table(spark, sf_dir, "documents").select("doc_id", "text")), "media"))
+    return audio_digests(written(texts_to_audio(_texts(spark, sf_dir).select("doc_id", "text")), "media"))
 
 
 def op9_piece_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return piece_digests(_table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
+    return piece_digests(_texts(spark, sf_dir), tokenizer_path("piece_bpe_32k.model"))
 
 
 def op10_piece_language(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents")
+    docs = _texts(spark, sf_dir)
     found = predict_language(docs, fit_on_documents(docs, tokenizer_path("piece_bpe_32k.model")))
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 

@@ -40,6 +40,16 @@ def written(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(table: DataFrame) -> DataFrame:
+    """A table as read, dealt over all cores if it comes in fewer partitions than there are: one small file would be one task.
+
+    Large tables come in more partitions and pass unchanged, without a shuffle. Only for plain scans: counting the partitions of
+    anything else could run it.
+    """
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    return table.repartition(cores) if table.rdd.getNumPartitions() < cores else table
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)
