@@ -1,19 +1,50 @@
-"""Scratch folders that all executors share."""
+"""Scratch tables in the folder that all executors share."""
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
 
+_made: list[tuple[SparkSession, str]] = []
 
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path below spark.checkpoint.dir, or below a temporary folder where that is unset (local runs)."""
+
+def shared_dir(spark: SparkSession) -> str:
+    """The shared folder: spark.checkpoint.dir, or a temporary one where that is unset (local runs)."""
     base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        context = spark.sparkContext._jsc.sc()
-        if context.getCheckpointDir().isEmpty():
-            spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tidewright-"))
-        base = context.getCheckpointDir().get()
-    return f"{base}/tidewright/{name}-{uuid.uuid4().hex}"
+    if base:
+        return base
+    context = spark.sparkContext._jsc.sc()
+    if context.getCheckpointDir().isEmpty():
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tidewright-"))
+    return context.getCheckpointDir().get()
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A path below the shared folder that nothing else uses; removed when the driver ends, or by forget()."""
+    path = f"{shared_dir(spark)}/tidewright/{name}-{uuid.uuid4().hex}"
+    _made.append((spark, path))
+    return path
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def forget(path: str) -> None:
+    """Delete what nothing will read any more, before the driver ends."""
+    for entry in [x for x in _made if x[1] == path]:
+        _delete(*entry)
+        _made.remove(entry)
+
+
+@atexit.register
+def _clean() -> None:
+    for entry in _made:
+        try:
+            _delete(*entry)
+        except Exception:  # the session may have ended already  # noqa: BLE001
+            return
