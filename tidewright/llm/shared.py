@@ -2,42 +2,26 @@
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidewright.sources.scratch import scratch_path
+
 #: Space characters of every contract in this package: blank, tab, line feed, vertical tab, form feed, return.
 SPACE = "\\x20\\x09-\\x0D"
-_written: list[tuple[SparkSession, str]] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a temporary one where that is unset (local runs)."""
-    have = spark.conf.get("spark.checkpoint.dir", None)
-    if have:
-        return have
-    jsc = spark.sparkContext._jsc.sc()
-    if jsc.getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tidewright-"))
-    return jsc.getCheckpointDir().get()
-
-
-def fresh_path(spark: SparkSession, name: str) -> str:
-    """A path below the shared folder that nothing else uses; removed when the driver ends."""
-    path = f"{shared_dir(spark)}/tidewright/{name}-{uuid.uuid4().hex}"
-    _written.append((spark, path))
-    return path
 
 
 def written(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
     """*df* as a parquet table in the shared folder: cuts the lineage and survives lost executors."""
+    return write_table(df, name, compression)[0]
+
+
+def write_table(df: DataFrame, name: str, compression: str = "zstd") -> tuple[DataFrame, str]:
+    """As written(), with the table's path, for forget()."""
     spark = df.sparkSession
-    path = fresh_path(spark, name)
+    path = scratch_path(spark, name)
     df.write.option("compression", compression).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
 
 
 def spread(table: DataFrame) -> DataFrame:
@@ -50,28 +34,6 @@ def spread(table: DataFrame) -> DataFrame:
     return table.repartition(cores) if table.rdd.getNumPartitions() < cores else table
 
 
-def _delete(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-
-
-def forget(df_path: str) -> None:
-    """Delete a table made by fresh_path() as soon as it is no longer needed."""
-    for spark, path in [x for x in _written if x[1] == df_path]:
-        _delete(spark, path)
-        _written.remove((spark, path))
-
-
-@atexit.register
-def _clean() -> None:
-    for spark, path in _written:
-        try:
-            _delete(spark, path)
-        except Exception:  # the session may have ended already  # noqa: BLE001
-            return
-
-
 def word_count(text: Column) -> Column:
     """Number of maximal runs of characters that are not spaces (see SPACE); null counts 0."""
     return F.coalesce(F.regexp_count(text, F.lit(f"[^{SPACE}]+")), F.lit(0)).cast("long")

@@ -21,7 +21,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewright.llm.shared import written
+from tidewright.llm.shared import write_table, written
+from tidewright.sources.scratch import forget
 
 #: Bits of each byte value, most significant first.
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.int64)
@@ -223,7 +224,7 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     Alternates the large-star and small-star steps; both keep the components, and a fixed point is a star per
     component. Each round is cut off by a table in the shared folder. Rounds grow with the logarithm of the longest path.
     """
-    edges = written(links.select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("u")).filter("u <> v").distinct(), "links")
+    edges, path = write_table(links.select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("u")).filter("u <> v").distinct(), "links")
     if edges.isEmpty():
         return edges.select(F.col("v").alias("node"), F.col("u").alias("root"))
     for _ in range(max_rounds):
@@ -232,9 +233,10 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
         large = both.join(least, "u").filter("v > u").select("v", F.col("m").alias("u")).distinct()
         low = large.groupBy("v").agg(F.min("u").alias("m"))
         small = large.join(low, "v").select(F.col("u").alias("v"), F.col("m").alias("u")).filter("u <> v")
-        after = written(small.unionByName(low.select("v", F.col("m").alias("u"))).distinct(), "links")
+        after, new_path = write_table(small.unionByName(low.select("v", F.col("m").alias("u"))).distinct(), "links")
         same = after.groupBy("v").count().filter("count > 1").isEmpty() and after.join(after.select(F.col("v").alias("u")), "u", "left_semi").isEmpty()
-        edges = after
+        forget(path)
+        edges, path = after, new_path
         if same:
             return edges.select(F.col("v").alias("node"), F.col("u").alias("root"))
     raise RuntimeError(f"components are not found after {max_rounds} rounds")

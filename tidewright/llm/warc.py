@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewright.llm.shared import fresh_path
+from tidewright.sources.scratch import scratch_path
 
 _DATE = "1970-01-01T00:00:00Z"  # pages carry no time of capture
 #: An empty gzip member. Spark's text writer ends each row with a separator; this one is part of a valid .gz file.
@@ -145,7 +145,7 @@ def write_archives(pages: DataFrame, records_per_file: int = 20_000) -> str:
                 rows = zip(*[c.to_pylist() for c in batch.slice(i, 256).columns], strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array([record_bytes(p, u, (h or "").encode("utf-8", "replace"), r) for p, u, h, r in rows], pa.binary())], ["record"])
 
-    folder = fresh_path(pages.sparkSession, "warc")
+    folder = scratch_path(pages.sparkSession, "warc")
     records = met.select(F.col("page_id").cast("long"), "url", "html", F.col("refers_to").cast("long")).mapInArrow(run, "record binary")
     # the text writer copies a string's bytes as they are, so it serves as Spark's committed writer of raw files
     writer = records.select(F.col("record").cast("string")).write.option("lineSep", _EMPTY_MEMBER).option("encoding", "ISO-8859-1")
@@ -197,7 +197,7 @@ def build_index(spark: SparkSession, folder: str, block_lines: int = 500, part_l
     try:
         parts = max(1, math.ceil(entries.count() / part_lines))
         blocks = entries.repartitionByRange(parts, "key").sortWithinPartitions("key").mapInArrow(pack, "first_key string, n int, blob binary")
-        where = fresh_path(spark, "cdx")
+        where = scratch_path(spark, "cdx")
         blocks.withColumn("part", F.spark_partition_id()).write.parquet(f"{where}/blocks")
     finally:
         entries.unpersist()
