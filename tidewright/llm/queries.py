@@ -30,7 +30,7 @@ def tokenizer_path(name: str) -> str:
 def op1_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _texts(spark, sf_dir)
     scored = score_toxicity(docs.select("doc_id", "text"), fit_toxicity(docs, _table(spark, sf_dir, "labels")))
-    return scored.select("doc_id", "p_explicit", "p_coded", F.col("p_toxic").alias("score"), (F.col("p_toxic") >= 0.3).cast("int").alias("toxic"))
+    return scored.select("doc_id", "p_explicit", "p_coded", F.col("p_toxic").alias("score"), (F.col("p_toxic") >= 0.5).cast("int").alias("toxic"))
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

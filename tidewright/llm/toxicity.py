@@ -2,7 +2,7 @@
 
 The categories stand in an order. The model of each sees the text's features and the probabilities of the categories before
 it. So that it learns from probabilities such as it will meet on new texts, these come from models that were trained
-without the row's fold. Features are hashed words and their beginnings, present or not, chosen on the sample by their chi-squared
+without the row's fold. Features are hashed words and their beginnings, and beginnings that several words share, chosen on the sample by their chi-squared
 statistic; a text of any length is scored by the distinct words that it holds.
 """
 
@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from zlib import crc32
@@ -26,6 +27,8 @@ from tidewright.llm.training import labelled_sample
 EXPLICIT = ("clown", "disgusting", "idiot", "loser", "moron", "pathetic", "scum", "stupid", "trash", "worthless")
 #: The chain's order. The last one is the label itself.
 CATEGORIES = ("explicit", "coded", "toxic")
+#: Stands for "holds any feature" where features are named by their hashes.
+ANY = 1 << 40
 _WORDS = re.compile(r"[^\W\d_]+").findall
 
 
@@ -33,16 +36,29 @@ def text_words(text: str | None) -> set[str]:
     return set(_WORDS((text or "").lower()))
 
 
-def word_features(word: str, buckets: int = 1 << 20) -> list[int]:
-    """Hashes of a word and of its beginnings of 4 to 6 characters."""
-    return [crc32(f.encode("utf-8", "replace")) % buckets for f in [f"={word}", *[f"<{word[:n]}" for n in range(4, min(7, len(word)))]]]
+def word_features(word: str) -> list[int]:
+    """32-bit hashes of a word and of its beginnings of 4 to 6 characters.
+
+    There are many words and few telling ones: in a small table clean words would often fall on these.
+    """
+    return [crc32(f.encode("utf-8", "replace")) - (1 << 31) for f in [f"={word}", *[f"<{word[:n]}" for n in range(4, min(7, len(word)))]]]
+
+
+#: A text has a beginning's feature at a level if so many of its distinct words share it; the masks keep the levels' hashes apart.
+LEVELS = ((1, 0), (2, 0x5BD1E995), (4, 0x2545F491))
+
+
+def text_features(words: set[str]) -> set[int]:
+    """Features of a text: those of its words, and those that several of its words share."""
+    shared = Counter(f for w in words for f in word_features(w))
+    return {f ^ mask for f, n in shared.items() for least, mask in LEVELS if n >= least}
 
 
 def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -60, 60)))
 
 
-def _fit_linear(rows: np.ndarray, cols: np.ndarray, extra: np.ndarray, y: np.ndarray, n_features: int, l2: float = 0.001, steps: int = 250) -> np.ndarray:
+def _fit_linear(rows: np.ndarray, cols: np.ndarray, extra: np.ndarray, y: np.ndarray, n_features: int, l2: float = 0.002, steps: int = 400) -> np.ndarray:
     """Weights (features, extra columns, bias) of a logistic model on presence features (pairs row, column), by Nesterov's method."""
     n, m = len(y), n_features + extra.shape[1] + 1
     w, look, most = np.zeros(m), np.zeros(m), 1.0
@@ -52,7 +68,7 @@ def _fit_linear(rows: np.ndarray, cols: np.ndarray, extra: np.ndarray, y: np.nda
     for step in range(steps):
         z = np.bincount(rows, look[cols], n) + extra @ look[n_features:-1] + look[-1]
         g = balance * (_sigmoid(z) - y) / n
-        grad = np.concatenate([np.bincount(cols, g[rows], n_features), g @ extra, [g.sum()]]) + l2 / n * 10 * look
+        grad = np.concatenate([np.bincount(cols, g[rows], n_features), g @ extra, [g.sum()]]) + l2 * look
         new = look - rate * grad
         most, before = (1 + math.sqrt(1 + 4 * most * most)) / 2, most
         look, w = new + (before - 1) / most * (new - w), new
@@ -72,20 +88,24 @@ class ChainModel:
         n, features = len(self.features), self.features
         values = np.stack([w[:n] for w in self.weights], axis=1) if n else np.zeros((0, len(self.weights)))
         tails = [w[n:] for w in self.weights]
+        telling = {f ^ mask for f in features for _, mask in LEVELS}
         words: dict[str, tuple[int, ...]] = {}
 
         def score(text: str | None) -> list[float]:
-            held: set[int] = set()
+            shared: Counter[int] = Counter()
             for word in text_words(text):
                 have = words.get(word)
                 if have is None:
-                    have = tuple(features[f] for f in word_features(word) if f in features)
+                    have = tuple(f for f in word_features(word) if f in telling)
                     if len(word) <= 40:
                         if len(words) >= cache_words:
                             words.clear()
                         words[word] = have
                 if have:
-                    held.update(have)
+                    shared.update(have)
+            held = {features[f ^ mask] for f, n in shared.items() for least, mask in LEVELS if n >= least and f ^ mask in features}
+            if held:
+                held.add(features[ANY])
             sums = values[sorted(held)].sum(axis=0) if held else np.zeros(len(tails))
             p: list[float] = []
             for z, tail in zip(sums, tails, strict=True):
@@ -96,32 +116,39 @@ class ChainModel:
         return score
 
 
-def fit_chain(features: list[np.ndarray], labels: np.ndarray, categories: tuple[str, ...], folds: int = 5, least_docs: int = 3, chi2: float = 40.0, purity: float = 0.5, most_features: int = 20_000) -> ChainModel:
+def fit_chain(features: list[np.ndarray], labels: np.ndarray, categories: tuple[str, ...], folds: int = 5, least_docs: int = 3, chi2: float = 40.0, purity: float = 0.95, most_features: int = 20_000) -> ChainModel:
     """The chain over *labels* (rows by categories, 0 or 1). Row j belongs to fold j modulo *folds*.
 
     A feature is kept if at least *least_docs* rows have it and for some category a share of at least *purity* of them is in it, with a
-    chi-squared statistic of at least *chi2*; at most *most_features* are kept. Common words, which come with length, drop out.
+    chi-squared statistic of at least *chi2* and more rows than chance gives to any of so many features; at most
+    *most_features* are kept. Common words, which come with length, drop out.
     """
     n = len(features)
     cols = np.concatenate(features).astype(np.int32) if n else np.zeros(0, np.int32)
     rows = np.repeat(np.arange(n, dtype=np.int32), [len(f) for f in features]) if n else cols
-    have = np.bincount(cols)
-    best = np.zeros(len(have))
+    names, have = np.unique(cols, return_counts=True)
+    best = np.zeros(len(names))
     for k in range(len(categories) if n else 0):
-        a, p = np.bincount(cols[labels[rows, k] == 1], minlength=len(have)), labels[:, k].mean()
+        in_it = labels[:, k] == 1
+        own, counts = np.unique(cols[in_it[rows]], return_counts=True)
+        a, p = np.zeros(len(names)), in_it.mean()
+        a[np.searchsorted(names, own)] = counts
         with np.errstate(divide="ignore", invalid="ignore"):
             stat = (a - have * p) ** 2 / (have * p * (1 - p) * (1 - have / n))
-        best = np.fmax(best, np.where(a >= purity * have, np.nan_to_num(stat, posinf=0.0), 0.0))
+        # by chance a rows of a feature are all in the category with p ** a; over all features that must stay unlikely
+        sure = a * -math.log(max(p, 1e-9)) >= math.log(max(len(names), 1)) + 8
+        best = np.fmax(best, np.where(sure & (a >= purity * have), np.nan_to_num(stat, posinf=0.0), 0.0))
     able = np.flatnonzero((best >= chi2) & (have >= least_docs))
-    chosen = able[np.argsort(-best[able], kind="stable")[:most_features]]
-    to = np.full(len(have), -1)
-    to[chosen] = np.arange(len(chosen))
-    kept = to[cols] >= 0
-    rows, cols = rows[kept], to[cols[kept]]
+    chosen = np.sort(names[able[np.argsort(-best[able], kind="stable")[:most_features]]])
+    place = np.searchsorted(chosen, cols).clip(0, max(len(chosen) - 1, 0))
+    kept = chosen[place] == cols if len(chosen) else np.zeros(len(cols), bool)
+    rows, cols = rows[kept], place[kept]
+    some = np.unique(rows)  # one more feature: that a row has any at all, so that a single telling word weighs enough
+    rows, cols, size = np.concatenate([rows, some]), np.concatenate([cols, np.full(len(some), len(chosen))]), len(chosen) + 1
     fold, earlier, weights = np.arange(n) % folds, np.zeros((n, 0)), []
     for k in range(len(categories)):
         y = labels[:, k].astype(float)
-        weights.append(_fit_linear(rows, cols, earlier, y, len(chosen)) if n else np.zeros(len(chosen) + k + 1))
+        weights.append(_fit_linear(rows, cols, earlier, y, size) if n else np.zeros(size + k + 1))
         if k + 1 < len(categories):
             out = np.zeros(n)
             for f in range(folds):
@@ -130,11 +157,11 @@ def fit_chain(features: list[np.ndarray], labels: np.ndarray, categories: tuple[
                 place[rest] = np.arange(len(rest))
                 if not len(rest):
                     continue
-                w = _fit_linear(place[rows[~own]], cols[~own], earlier[rest], y[rest], len(chosen))
-                z = np.bincount(rows, w[cols], n) + earlier @ w[len(chosen) : -1] + w[-1]
+                w = _fit_linear(place[rows[~own]], cols[~own], earlier[rest], y[rest], size)
+                z = np.bincount(rows, w[cols], n) + earlier @ w[size : -1] + w[-1]
                 out[fold == f] = _sigmoid(z)[fold == f]
             earlier = np.column_stack([earlier, out])
-    return ChainModel(categories, {int(f): j for j, f in enumerate(chosen)}, weights)
+    return ChainModel(categories, {int(f): j for j, f in enumerate(chosen)} | {ANY: size - 1}, weights)
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, rows: int = 6000, **options) -> ChainModel:
@@ -146,7 +173,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, rows: int = 6000, **options
     def prepared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             held = [text_words(t.as_py()) for t in batch.column(1)]
-            ids = [sorted({f for w in words for f in word_features(w)}) for words in held]
+            ids = [sorted(text_features(words)) for words in held]
             explicit = [not words.isdisjoint(EXPLICIT) for words in held]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(explicit, pa.bool_()), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "label", "explicit", "ids"])
 
@@ -155,6 +182,9 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, rows: int = 6000, **options
     toxic = np.array([int(y > 0) for y in sample.column("label").to_pylist()], np.int64)
     explicit = np.array(sample.column("explicit").to_pylist(), bool).astype(np.int64) * toxic
     features = [np.asarray(x.values, np.int32) for x in sample.column("ids")]
+    # copies of a document would make all its words look telling: of rows with the same smallest features one stays
+    first = sorted({tuple(f[:4].tolist()): j for j, f in reversed(list(enumerate(features)))}.values())
+    features, toxic, explicit = [features[j] for j in first], toxic[first], explicit[first]
     return fit_chain(features, np.stack([explicit, toxic - explicit, toxic], axis=1).reshape(-1, 3), CATEGORIES, **options)
 
 
@@ -179,7 +209,7 @@ def score_toxicity(docs: DataFrame, model: ChainModel) -> DataFrame:
     return docs.mapInArrow(run, schema)
 
 
-def reject_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, **options) -> DataFrame:
+def reject_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, **options) -> DataFrame:
     """*docs* without those whose probability of being toxic is at least *threshold*."""
     scored = score_toxicity(docs, fit_toxicity(docs, labels, **options))
     return scored.filter(F.col("p_toxic") < threshold).select(*docs.columns)
