@@ -9,7 +9,6 @@ Words of one length are worked on together, for all languages at once.
 
 from __future__ import annotations
 
-import math
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -20,7 +19,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewright.llm.shared import held_out
-from tidewright.llm.training import bounded_sample
 
 #: Longest piece that is used, and longest stretch of a word that is summed as one; a longer word is several stretches.
 _PIECE, _WORD = 8, 24
@@ -87,6 +85,19 @@ def _by_length(words: list[str], most: int = 20_000) -> Iterator[list[int]]:
             yield group[i : i + most]
 
 
+def _portions(texts: pa.Array, most_chars: int = 2_000_000) -> Iterator[list[str | None]]:
+    """Texts in lists of about *most_chars* characters: enough to share the work on new words, few enough to hold their counts."""
+    held, size = [], 0
+    for t in texts:
+        held.append(t.as_py())
+        size += len(held[-1] or "") + 100
+        if size >= most_chars:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
 @dataclass
 class LanguageModel:
     """languages in order; p: probability of each piece (rows; then one for an unknown character, then zeros) by language."""
@@ -104,7 +115,7 @@ class LanguageModel:
             out[group] = np.log(_forward(_spans(own, self.vocabulary), self.p, n, len(own))[n])
         return out
 
-    def scorer(self, cache_words: int = 300_000):
+    def scorer(self, cache_words: int = 500_000):
         """A function from texts to (language, share of its probability) each; und and 0 where a text has no letter."""
         rows: dict[str, int] = {}
         table = np.zeros((cache_words, len(self.languages)))
@@ -173,12 +184,10 @@ def fit_on_documents(docs: DataFrame, vocabulary_path: str, per_language: int =
     Words are counted over whole texts, on the executors; the counts of that sample go to the driver.
     """
     known = docs.filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-    parts = [bounded_sample(known.filter(F.col("lang") == lang).select("doc_id"), per_language).select("doc_id") for lang in sorted(r[0] for r in known.select("lang").distinct().collect())]
-    if not parts:
-        return LanguageModel([], np.zeros((0, 0)), {})
-    chosen = parts[0]
-    for part in parts[1:]:
-        chosen = chosen.unionByName(part)
+    # a row per language, so it can go to every executor
+    sizes = F.broadcast(known.groupBy("lang").agg(F.count(F.lit(1)).alias("_n")))
+    chosen = F.pmod(F.xxhash64(F.lit(11), F.col("doc_id")), F.col("_n")) < per_language
+    sample = known.select("doc_id", "lang", "text").join(sizes, "lang").filter(chosen).select("lang", "text")
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, Counter[str]] = defaultdict(Counter)
@@ -189,13 +198,13 @@ def fit_on_documents(docs: DataFrame, vocabulary_path: str, per_language: int =
         cols = list(zip(*rows, strict=True)) if rows else [[], [], []]
         yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.int64())], ["lang", "word", "n"])
 
-    # the sample's ids are bounded by per_language and the number of languages
-    sample = known.select("doc_id", "lang", "text").join(F.broadcast(chosen.distinct()), "doc_id").select("lang", "text")
     found = sample.mapInArrow(counted, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")).toArrow()
     counts: dict[str, Counter[str]] = defaultdict(Counter)
     for lang, word, n in zip(*[found.column(c).to_pylist() for c in ("lang", "word", "n")], strict=True):
         counts[lang][word] = n
     languages = sorted(counts)
+    if not languages:
+        return LanguageModel([], np.zeros((0, 0)), {})
     return fit_languages([counts[x] for x in languages], languages, load_vocabulary(vocabulary_path), **options)
 
 
@@ -210,7 +219,7 @@ def predict_language(docs: DataFrame, model: LanguageModel) -> DataFrame:
         languages, p, vocabulary = sent.value
         score = LanguageModel(languages, p.astype(np.float64), vocabulary).scorer() if languages else lambda texts: [("und", 0.0)] * len(texts)
         for batch in batches:
-            found = [x for i in range(0, batch.num_rows, 128) for x in score(batch.column(1).slice(i, 128).to_pylist())]
+            found = [x for part in _portions(batch.column(1)) for x in score(part)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x for x, _ in found], pa.string()), pa.array([s for _, s in found], pa.float64())], ["doc_id", "lang_pred", "score"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
