@@ -113,15 +113,15 @@ def turn_taking(frames: DataFrame, matches: DataFrame, key: list[str], fps: floa
     A match counts in these if its score is over *threshold*; the semantic score also takes those at it.
     """
     score = 1 - F.col("text_cost")
-    pairs = matches.filter("NOT silent")
+    real, kept = ~F.col("silent"), ~F.col("silent") & (score > threshold)
+    made = matches.select(
+        real.cast("long").alias("before"), kept.cast("long").alias("matched"), F.col("silent").cast("long").alias("redundant"), F.lit(0).cast("long").alias("missed"),
+        F.when(real & (score >= threshold), score).alias("sem"), F.when(kept, F.abs(F.col("gen_frame") - F.col("ref_frame")) / fps).alias("diff"),
+    )
     missed = frames.filter("ref <> ''").join(matches.select(*key, F.col("ref_frame").alias("frame")), [*key, "frame"], "left_anti")
-    counts = pairs.agg(
-        F.count(F.lit(1)).alias("before"), F.count_if(score > threshold).alias("matched"), F.avg(F.when(score >= threshold, score)).alias("sem"), F.avg(F.when(score > threshold, F.abs(F.col("gen_frame") - F.col("ref_frame")) / fps)).alias("diff")
-    )
-    # three one-row tables, joined on a constant key
-    one = F.lit(1)
-    all_ = counts.withColumn("k", one).join(missed.agg(F.count(one).alias("missed")).withColumn("k", one), "k").join(matches.filter("silent").agg(F.count(one).alias("redundant")).withColumn("k", one), "k")
-    return turn_taking_ratios(all_)
+    every = made.unionByName(missed.select(F.lit(1).cast("long").alias("missed")), allowMissingColumns=True)
+    counts = every.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("before", "matched", "missed", "redundant")], F.avg("sem").alias("sem"), F.avg("diff").alias("diff"))
+    return turn_taking_ratios(counts)
 
 
 def turn_taking_ratios(counts: DataFrame) -> DataFrame:

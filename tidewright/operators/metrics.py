@@ -47,11 +47,12 @@ def bleu(pairs: DataFrame, key: str, hyp: str, ref: str, most: int = 4) -> DataF
     w = pairs.select(key, words_of(F.col(hyp)).alias("h"), words_of(F.col(ref)).alias("r"))
     hyps, refs = _counted(w, [key], "h", most), _counted(w, [key], "r", most).withColumnRenamed("c", "rc")
     right = hyps.join(refs, [key, "n", "gram"]).groupBy("n").agg(F.sum(F.least("c", "rc")).alias("right"))
-    size = lambda n: F.sum(F.greatest(F.size("h") - n + 1, F.lit(0)))
-    totals = w.agg(*[size(n).alias(f"g{n}") for n in range(1, most + 1)], F.sum(F.size("h")).alias("hl"), F.sum(F.size("r")).alias("rl"))
-    # one row of totals and at most *most* rows of clipped counts meet on a constant key
-    wide = right.groupBy().agg(*[F.coalesce(F.sum(F.when(F.col("n") == n, F.col("right"))), F.lit(0)).alias(f"c{n}") for n in range(1, most + 1)])
-    met = totals.withColumn("k", F.lit(1)).join(wide.withColumn("k", F.lit(1)), "k")
+    size = lambda n: F.greatest(F.size("h") - n + 1, F.lit(0))
+    counters = [(f"g{n}", size(n)) for n in range(1, most + 1)] + [("hl", F.size("h")), ("rl", F.size("r"))]
+    rows = w.select(F.explode(F.array(*[F.struct(F.lit(name).alias("name"), value.cast("long").alias("v")) for name, value in counters])).alias("x")).select("x.name", "x.v")
+    rows = rows.unionByName(right.select(F.concat(F.lit("c"), F.col("n").cast("string")).alias("name"), F.col("right").alias("v")))
+    names = [name for name, _ in counters] + [f"c{n}" for n in range(1, most + 1)]
+    met = rows.groupBy("name").agg(F.sum("v").alias("v")).agg(*[F.coalesce(F.sum(F.when(F.col("name") == name, F.col("v"))), F.lit(0)).alias(name) for name in names])
     tiny, small = 1e-15, 1e-9
     ratio = (F.col("hl") + tiny) / (F.col("rl") + small)
     penalty = F.when(ratio < 1, F.exp(1 - 1 / ratio)).otherwise(1.0)
