@@ -123,7 +123,7 @@ def members(data: bytes) -> Iterator[tuple[int, int, bytes]]:
         at = end
 
 
-def write_archives(pages: DataFrame, records_per_file: int = 20_000) -> str:
+def write_archives(pages: DataFrame, records_per_file: int = 4_000) -> str:
     """Write a record per row of *pages* (page_id, url, html) and return the archives' folder, below the shared one.
 
     Of rows with equal payloads those with the largest page_id are responses and the others revisit it. Null html is an
