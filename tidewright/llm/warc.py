@@ -264,8 +264,9 @@ def read_ranges(spark: SparkSession, folder: str, ranges: DataFrame) -> DataFram
         columns = list(zip(*rows, strict=True)) if rows else [[]] * 6
         return pa.table([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to"])
 
-    files = _archives(spark, folder)
-    return ranges.groupBy("file").cogroup(files.withColumnRenamed("path", "file").groupBy("file")).applyInArrow(read, "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long")
+    files = _archives(spark, folder).withColumnRenamed("path", "file")
+    n = max(1, files.select("file").count())  # a partition an archive, whatever the session's number: their bytes are what a task holds
+    return ranges.repartition(n, "file").groupBy("file").cogroup(files.repartition(n, "file").groupBy("file")).applyInArrow(read, "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long")
 
 
 class CaptureIndex:
