@@ -184,8 +184,9 @@ def fit_on_documents(docs: DataFrame, vocabulary_path: str, per_language: int =
     Words are counted over whole texts, on the executors; the counts of that sample go to the driver.
     """
     known = docs.filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-    # a row per language, so it can go to every executor
-    sizes = F.broadcast(known.groupBy("lang").agg(F.count(F.lit(1)).alias("_n")))
+    sizes = known.groupBy("lang").agg(F.count(F.lit(1)).alias("_n")).persist()
+    if sizes.count() <= 100_000:  # a row per language: with so few it can go to every executor
+        sizes = F.broadcast(sizes)
     chosen = F.pmod(F.xxhash64(F.lit(11), F.col("doc_id")), F.col("_n")) < per_language
     sample = known.select("doc_id", "lang", "text").join(sizes, "lang").filter(chosen).select("lang", "text")
 
