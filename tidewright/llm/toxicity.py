@@ -9,6 +9,7 @@ statistic; a text of any length is scored by the distinct words that it holds.
 from __future__ import annotations
 
 import math
+import pickle
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -177,15 +178,22 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, rows: int = 6000, **options
             explicit = [not words.isdisjoint(EXPLICIT) for words in held]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(explicit, pa.bool_()), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "label", "explicit", "ids"])
 
+    def fitted(sample: pa.Table) -> pa.Table:
+        sample = sample.sort_by("doc_id")
+        toxic = np.array([int(y > 0) for y in sample.column("label").to_pylist()], np.int64)
+        explicit = np.array(sample.column("explicit").to_pylist(), bool).astype(np.int64) * toxic
+        features = [np.asarray(x.values, np.int32) for x in sample.column("ids")]
+        # copies of a document would make all its words look telling: of rows with the same smallest features one stays
+        first = sorted({tuple(f[:4].tolist()): j for j, f in reversed(list(enumerate(features)))}.values())
+        features, toxic, explicit = [features[j] for j in first], toxic[first], explicit[first]
+        model = fit_chain(features, np.stack([explicit, toxic - explicit, toxic], axis=1), CATEGORIES, **options)
+        return pa.table({"model": pa.array([pickle.dumps(model)], pa.binary())})
+
     kind = docs.schema["doc_id"].dataType.simpleString()
-    sample = labelled_sample(docs, labels, "toxic", rows).mapInArrow(prepared, f"doc_id {kind}, label int, explicit boolean, ids array<int>").toArrow().sort_by("doc_id")
-    toxic = np.array([int(y > 0) for y in sample.column("label").to_pylist()], np.int64)
-    explicit = np.array(sample.column("explicit").to_pylist(), bool).astype(np.int64) * toxic
-    features = [np.asarray(x.values, np.int32) for x in sample.column("ids")]
-    # copies of a document would make all its words look telling: of rows with the same smallest features one stays
-    first = sorted({tuple(f[:4].tolist()): j for j, f in reversed(list(enumerate(features)))}.values())
-    features, toxic, explicit = [features[j] for j in first], toxic[first], explicit[first]
-    return fit_chain(features, np.stack([explicit, toxic - explicit, toxic], axis=1).reshape(-1, 3), CATEGORIES, **options)
+    sample = labelled_sample(docs, labels, "toxic", rows).mapInArrow(prepared, f"doc_id {kind}, label int, explicit boolean, ids array<int>")
+    # the sample is bounded by *rows*: it is one group, fitted by one task, and only the model comes to the driver
+    models = sample.withColumn("one", F.lit(1)).groupBy("one").applyInArrow(fitted, "model binary").collect()
+    return pickle.loads(models[0][0]) if models else fit_chain([], np.zeros((0, len(CATEGORIES)), np.int64), CATEGORIES, **options)
 
 
 def score_toxicity(docs: DataFrame, model: ChainModel) -> DataFrame:
