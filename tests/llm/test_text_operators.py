@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tidewright.llm.line_dedup import line_dedup
 from tidewright.llm.mixing import mix, mixed_documents, source_targets
+from tidewright.llm.near_copies import keep_one_copy, near_copies
 from tidewright.llm.simhash import components, fingerprint, fingerprint_links, keep_one, near_duplicates, plan_partitions
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -173,6 +174,41 @@ def test_near_duplicates_against_brute_force(spark):
     assert Counter(r.doc_id for r in kept) == Counter({n: 2 if n is None else 1 for n in names.values()})
 
 
+def test_near_copies_against_brute_force(spark):
+    import corpus_pipeline
+
+    rng = random.Random(5)
+    rows = messy() + [(1000, "a b c d", "en", "a", 1), (1001, "A  b\nc D", "en", "a", 1), (1002, "a b c e", "en", "a", 1)]
+    for base in range(12):
+        words = [f"w{rng.randrange(60)}" for _ in range(rng.choice([6, 40, 200, 600]))]
+        for k in range(8):
+            edited = list(words)
+            for i in rng.sample(range(len(words)), k * len(words) // 60):
+                edited[i] = f"x{rng.randrange(60)}"
+            rows.append((2000 + 10 * base + k, " ".join(edited), "en", "a", 1))
+
+    def shingles(text):
+        w = re.findall(r"[^\x20\x09-\x0D]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
+        return frozenset(tuple(w[i : i + 5]) for i in range(len(w) - 4)) or frozenset([tuple(w)] if w else [])
+
+    own = [(d, shingles(t)) for d, t, *_ in rows]
+    left, names = {s for _, s in own}, {}
+    while left:
+        stack, seen = [left.pop()], set()
+        while stack:
+            x = stack.pop()
+            seen.add(x)
+            near = {y for y in left if 5 * len(x & y) >= 4 * len(x | y)}
+            left -= near
+            stack += near
+        names |= dict.fromkeys(seen, min((d for d, s in own if s in seen and d is not None), default=None))
+    docs = spark.createDataFrame(rows, SCHEMA)
+    assert Counter((r.doc_id, r.component_id) for r in near_copies(docs).collect()) == Counter((d, names[s]) for d, s in own)
+    want = Counter(r.doc_id for r in keep_one_copy(docs).collect())
+    assert want == Counter({n: sum(names[s] is None for _, s in own) if n is None else 1 for n in names.values()})
+    assert Counter(r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()) == want
+
+
 def test_fingerprint_is_a_majority_of_shingle_hashes():
     from xxhash import xxh64_intdigest
 

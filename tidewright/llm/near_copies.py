@@ -1,0 +1,174 @@
+"""Near copies by exact Jaccard similarity of word shingles, found by prefix filtering.
+
+Let all shingles have one order. Two sets of n and m shingles whose similarity is at least s share ceil(s n) of the first's, so a
+shingle among the first n - ceil(s n) + 1 of the one is also among the first m - ceil(s m) + 1 of the other. Sets meet in
+buckets of those shingles, rare ones first in the order, and every pair that meets is verified on the whole sets: no pair is
+lost and none is added. Sets that are equal are one node.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from tidewright.llm.shared import write_table, written
+from tidewright.llm.simhash import components, keep_first, name_groups
+from tidewright.sources.scratch import forget
+
+#: Cells of the table of shingle counts, and cells in one of its parts. It decides the order of shingles only, never results.
+_CELLS, _PART = 1 << 20, 1 << 14
+#: Pairs that are held before they are passed on.
+_PAIRS = 1 << 20
+
+
+def shingle_set(text: str | None, width: int = 5, seed: int = 42) -> np.ndarray:
+    """Distinct XXH64 hashes of the words' *width*-word shingles, sorted; a shorter text is one shingle, one without words none."""
+    from xxhash import xxh64_digest
+
+    words = (text or "").encode("utf-8", "replace").lower().split()
+    if not words:
+        return np.empty(0, np.int64)
+    joined = b" ".join(words)
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+    starts = np.concatenate([[0], ends[:-1] + 1])
+    n = max(1, len(words) - width + 1)
+    cut = map(slice, starts[:n].tolist(), ends[min(width, len(words)) - 1 :].tolist())
+    return np.unique(np.frombuffer(b"".join([xxh64_digest(joined[s], seed) for s in cut]), np.int64))
+
+
+def shingle_sets(docs: DataFrame, width: int = 5) -> DataFrame:
+    """(doc_id, fp, n, shingles): each whole text's set, its size, and the set's hash; fp is 0 for an empty set."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from xxhash import xxh64_intdigest
+
+        for batch in batches:
+            for at in range(0, len(batch), 1000):
+                part = batch.slice(at, 1000)
+                sets = [shingle_set(t.as_py(), width) for t in part.column(1)]
+                fps = np.fromiter((xxh64_intdigest(s.tobytes()) if len(s) else 0 for s in sets), np.uint64, len(sets)).view(np.int64)
+                sizes = np.fromiter(map(len, sets), np.int32, len(sets))
+                ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets)))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(fps), pa.array(sizes), lists], ["doc_id", "fp", "n", "shingles"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, fp long, n int, shingles array<long>")
+
+
+def _cell(shingles: np.ndarray) -> np.ndarray:
+    return (shingles.view(np.uint64) % np.uint64(_CELLS)).astype(np.int64)
+
+
+def shingle_counts(sets: DataFrame) -> np.ndarray:
+    """How often each cell's shingles occur in *sets*: a table of _CELLS numbers, whatever the size of *sets*."""
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = np.zeros(_CELLS, np.int32)
+        for batch in batches:
+            found += np.bincount(_cell(batch.column(0).flatten().to_numpy()), minlength=_CELLS).astype(np.int32)
+        parts = [x.tobytes() for x in found.reshape(-1, _PART)]
+        yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array(parts, pa.binary())], ["part", "counts"])
+
+    def summed(key: tuple, batches: Iterator[pd.DataFrame]) -> pd.DataFrame:
+        total = np.zeros(_PART, np.int64)
+        for x in batches["counts"]:
+            total += np.frombuffer(x, np.int32)
+        return pd.DataFrame({"part": [key[0]], "counts": [total.tobytes()]})
+
+    out = np.zeros((_CELLS // _PART, _PART), np.int64)
+    parts = sets.select("shingles").mapInArrow(counted, "part int, counts binary").groupBy("part").applyInPandas(summed, "part int, counts binary")
+    for row in parts.collect():
+        out[row.part] = np.frombuffer(row.counts, np.int64)
+    return out.ravel()
+
+
+def bucket_pairs(keys: np.ndarray, nodes: np.ndarray, n: np.ndarray, at: np.ndarray, num: int, den: int) -> Iterator[np.ndarray]:
+    """Pairs of *nodes* that share a key and may be num / den similar by their sizes *n* and the key's places *at*.
+
+    Rows are sorted by key, then size. Of a pair only the first shared key has to pass the test of places, so one that fails
+    it everywhere is too little alike.
+    """
+    held, size = [], 0
+    left = np.arange(len(keys) - 1)
+    step = 1
+    while len(left):
+        other = left + step
+        ok = other < len(keys)
+        left, other = left[ok], other[ok]
+        ok = (keys[left] == keys[other]) & (den * n[left] >= num * n[other])
+        left, other = left[ok], other[ok]
+        most = np.minimum(n[left] - at[left], n[other] - at[other])
+        ok = (den + num) * most >= num * (n[left] + n[other])
+        a, b = nodes[left[ok]], nodes[other[ok]]
+        held.append(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1))
+        size += len(a)
+        if size >= _PAIRS:
+            yield np.unique(np.concatenate(held), axis=0)
+            held, size = [], 0
+        step += 1
+    if size:
+        yield np.unique(np.concatenate(held), axis=0)
+
+
+def near_copy_links(sets: DataFrame, num: int = 4, den: int = 5) -> DataFrame:
+    """(a, b): all pairs of distinct *sets* (fp, n, shingles) with a Jaccard similarity of num / den or more."""
+    sent = sets.sparkSession.sparkContext.broadcast(shingle_counts(sets))
+
+    def filed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for fp, s in zip(batch.column(0).to_numpy(), batch.column(1), strict=True):
+                s = s.values.to_numpy()
+                first = len(s) - (num * len(s) + den - 1) // den + 1
+                k = s[np.lexsort((s, sent.value[_cell(s)]))[:first]]
+                out.append((k, np.full(len(k), fp), np.full(len(k), len(s), np.int32), np.arange(len(k), dtype=np.int32)))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], ["k", "fp", "n", "at"])
+
+    def met(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        carry = None
+        for batch in batches:
+            held = (batch if carry is None else pd.concat([carry, batch], ignore_index=True)).drop_duplicates(["k", "fp"])
+            k = held["k"].to_numpy()
+            cut = int(np.searchsorted(k, k[-1]))  # the last bucket may go on in the next batch
+            carry = held.iloc[cut:]
+            yield from paired(held.iloc[:cut])
+        if carry is not None:
+            yield from paired(carry)
+
+    def paired(rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        k, fp, n, at = (rows[c].to_numpy(np.int64) for c in ("k", "fp", "n", "at"))
+        for pairs in bucket_pairs(k, fp, n, at, num, den) if len(k) else ():
+            yield pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
+
+    rows = sets.filter("n > 0").select("fp", "shingles").mapInArrow(filed, "k long, fp long, n int, at int")
+    pairs = written(rows.repartition("k").sortWithinPartitions("k", "n", "fp").mapInPandas(met, "a long, b long").distinct(), "pairs")
+    wanted = pairs.select(F.col("a").alias("fp")).unionByName(pairs.select(F.col("b").alias("fp"))).distinct()
+    whole = sets.join(wanted, "fp", "left_semi").select("fp", "n", "shingles").dropDuplicates(["fp"])
+    one = pairs.join(whole.toDF("a", "n", "s"), "a")
+    both = one.join(whole.toDF("b", "m", "t"), "b").withColumn("common", F.size(F.array_intersect("s", "t")))
+    return both.filter(F.col("common") * (den + num) >= num * (F.col("n") + F.col("m"))).select("a", "b")
+
+
+def near_copies(docs: DataFrame, width: int = 5, num: int = 4, den: int = 5) -> DataFrame:
+    """(doc_id, fp, component_id): the smallest doc_id reachable over links of similarity num / den or more, fp the set's hash.
+
+    Rows without words, null ones among them, have the empty set and are copies of each other. Repeated rows and rows without
+    doc_id are treated as by simhash.near_duplicates().
+    """
+    sets, path = write_table(shingle_sets(docs, width), "shingles")
+    fps = written(sets.select("doc_id", "fp"), "set-hashes")
+    roots = components(near_copy_links(sets, num, den))
+    forget(path)
+    return name_groups(fps, roots)
+
+
+def keep_one_copy(docs: DataFrame, **options) -> DataFrame:
+    """*docs* with one document of each group of near copies, chosen as by simhash.keep_one()."""
+    return keep_first(docs, near_copies(docs, **options))

@@ -252,7 +252,13 @@ def near_duplicates(docs: DataFrame, distance: int = 4, width: int = 4) -> DataF
     """
     fps = written(fingerprints(docs, width), "fingerprints")
     classes = written(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")), "classes")
-    roots = components(fingerprint_links(classes, distance))
+    return name_groups(fps, components(fingerprint_links(classes, distance)), classes)
+
+
+def name_groups(fps: DataFrame, roots: DataFrame, classes: DataFrame | None = None) -> DataFrame:
+    """*fps* (doc_id, fp) with component_id by the *roots* of components(); *classes*: (fp, rep), the smallest doc_id of each fp."""
+    if classes is None:
+        classes = written(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")), "classes")
     rooted = classes.join(roots, classes["fp"] == roots["node"], "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
     named = rooted.groupBy("root").agg(F.min("rep").alias("component_id"))
     by_fp = rooted.join(named, "root").select("fp", "component_id")
@@ -264,7 +270,11 @@ def keep_one(docs: DataFrame, **options) -> DataFrame:
 
     Groups without any doc_id keep all their rows. Of rows that repeat the kept doc_id one stays.
     """
-    found = near_duplicates(docs, **options)
+    return keep_first(docs, near_duplicates(docs, **options))
+
+
+def keep_first(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """*docs* with the rows that keep_one() keeps of the groups *found* (doc_id, component_id)."""
     kept = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(F.count(F.lit(1)).alias("_rows"))
     kept = kept.select(F.col("doc_id").alias("_id"), "_rows")
     met = docs.join(kept, docs["doc_id"].eqNullSafe(kept["_id"]))
