@@ -101,6 +101,24 @@ def cider_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     return X.cider(_pairs(spark, sf_dir), "doc_id", "hyp", "ref").withColumn("cider", F.round("cider", 6))
 
 
+def _whole_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("hyp"), (F.col("doc_id") % 97).alias("item_id"))
+    return d.join(table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("ref")), "item_id")
+
+
+@query("O113 O272 O47")
+def bleu_corpus_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As bleu_corpus, over whole texts in all languages."""
+    found = X.bleu(_whole_pairs(spark, sf_dir), "doc_id", "hyp", "ref")
+    return found.select(*[F.round(c, 6).alias(c) for c in found.columns])
+
+
+@query("O114")
+def cider_corpus_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As cider_corpus, over whole texts in all languages."""
+    return X.cider(_whole_pairs(spark, sf_dir), "doc_id", "hyp", "ref").withColumn("cider", F.round("cider", 6))
+
+
 @query("O153", """
 SELECT l_orderkey, l_linenumber, round(0.6 * CASE WHEN stddev_pop(l_quantity) OVER w > 0 THEN (l_quantity - avg(l_quantity) OVER w) / stddev_pop(l_quantity) OVER w ELSE l_quantity END +
   0.4 * CASE WHEN stddev_pop(l_discount) OVER w > 0 THEN (l_discount - avg(l_discount) OVER w) / stddev_pop(l_discount) OVER w ELSE l_discount END, 4) + 0.0 AS fused
