@@ -38,3 +38,9 @@ def test_bleu_scores_whole_texts_of_all_languages(spark, texts):
     want = [math.exp(sum(map(math.log, p[:n])) / n) * (math.exp(1 - 1 / x) if x < 1 else 1) for n in range(1, 5)]
     assert list(QUERIES["bleu_corpus_whole"](spark, sf).first()) == pytest.approx(want, abs=2e-6)
     assert {r.doc_id for r in QUERIES["cider_corpus_whole"](spark, sf).collect()} == {0, 1, 2, 97}
+
+
+def test_garbage_is_judged_on_whole_texts(spark, texts):
+    sf, docs, _ = texts
+    got = {r.doc_id: r.text for r in QUERIES["garbage_filter_whole"](spark, sf).collect()}
+    assert got == {d: "" if d == 2 else t for d, t, _ in docs}

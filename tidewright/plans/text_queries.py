@@ -162,6 +162,12 @@ def garbage_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.when(T.is_garbage(line, 3), "").otherwise(line).alias("text"))
 
 
+@query("O54")
+def garbage_filter_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As garbage_filter, asked about and returning whole texts."""
+    return table(spark, sf_dir, "documents").select("doc_id", F.when(T.is_garbage(F.col("text"), 3), "").otherwise(F.col("text")).alias("text"))
+
+
 @query("O173", f"""
 SELECT a.conv_id, a.turn, round(coalesce(len(list_intersect(a.w, b.w)) / nullif(len(list_distinct(list_concat(a.w, b.w))), 0), 0), 6) AS jaccard
 FROM (SELECT conv_id, turn, list_distinct({_WORDS % 'lower(text)'}) AS w FROM conversations) a
