@@ -44,3 +44,11 @@ def test_garbage_is_judged_on_whole_texts(spark, texts):
     sf, docs, _ = texts
     got = {r.doc_id: r.text for r in QUERIES["garbage_filter_whole"](spark, sf).collect()}
     assert got == {d: "" if d == 2 else t for d, t, _ in docs}
+
+
+def test_transcript_keeps_all_lines(spark, texts):
+    sf, _, _ = texts
+    got = {(r.conv_id, r.turn): (r.content, r.labels) for r in QUERIES["parse_transcript_whole"](spark, sf).collect()}
+    own = {k: v[0] for k, v in got.items()}
+    assert own == {(1, 0): "first\nsecond", (1, 1): "one\ntwo\nthree", (1, 3): "first\nsecond", (2, 0): "y\nz", (2, 1): "last \nline"}
+    assert got[2, 0][1] == "initiative|instruction,feedback" and got[1, 1][1] == "initiative|other"

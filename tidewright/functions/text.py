@@ -182,8 +182,11 @@ def step_name(line: Column) -> Column:
 
 
 def parse_turn(line: Column) -> Column:
-    """struct(time, role, content, labels) of "[t s] Role: text [a|b]"; null for other roles, bad times and asides in brackets."""
-    pattern = r"^\[(.*?)s\] (.*?): (.*)"
+    """struct(time, role, content, labels) of "[t s] Role: text [a|b]"; null for other roles, bad times and asides in brackets.
+
+    The text may have several lines.
+    """
+    pattern = r"^\[(.*?)s\] (.*?): ((?s:.*))"
     time = F.regexp_extract(line, pattern, 1).try_cast("double")
     role = F.lower(F.regexp_extract(line, pattern, 2))
     raw = F.trim(F.regexp_extract(line, pattern, 3))

@@ -147,6 +147,15 @@ def parse_transcript(spark: SparkSession, sf_dir: str) -> DataFrame:
     return said.withColumn("t", T.parse_turn(line)).filter("t IS NOT NULL").select("conv_id", "turn", F.round("t.time", 3).alias("time"), "t.role", "t.content", "t.labels")
 
 
+@query("O176 O195")
+def parse_transcript_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As parse_transcript, with all lines of each turn."""
+    tag = F.when((F.col("turn") % 2 == 0) & (F.col("role") == "assistant"), " [Initiative|instruction, feedback]").otherwise("")
+    line = F.concat(F.lit("["), F.col("time").cast("string"), F.lit("s] "), F.initcap("role"), F.lit(": "), F.trim("text"), tag)
+    said = D.turns(spark, sf_dir).withColumn("t", T.parse_turn(line)).filter("t IS NOT NULL")
+    return said.select("conv_id", "turn", F.round("t.time", 3).alias("time"), "t.role", "t.content", "t.labels")
+
+
 @query("O205 O204", """
 SELECT event_id, step_id, transition FROM steps""", ("timed", "steps"))
 def parse_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
