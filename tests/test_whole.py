@@ -52,3 +52,24 @@ def test_transcript_keeps_all_lines(spark, texts):
     own = {k: v[0] for k, v in got.items()}
     assert own == {(1, 0): "first\nsecond", (1, 1): "one\ntwo\nthree", (1, 3): "first\nsecond", (2, 0): "y\nz", (2, 1): "last \nline"}
     assert got[2, 0][1] == "initiative|instruction,feedback" and got[1, 1][1] == "initiative|other"
+
+
+def test_nothing_is_left_out_by_its_number(spark, sf_dir, texts):
+    from tidewright.plans import derived as D
+
+    events = D.timed(spark, sf_dir).collect()
+    moves = [(r.user_id, r.step_id, r.time) for r in D.steps(spark, sf_dir).collect() if r.transition != "reset"]
+    want = Counter()
+    for e in events:
+        if e.event_type == "click":
+            want[e.event_id] = len({s for u, s, t in moves if u == e.user_id and t <= e.time})
+    assert Counter(r.probe_id for r in QUERIES["asof_state_whole"](spark, sf_dir).collect()) == +want
+    spans = {r.user_id for r in D.spans(spark, sf_dir).collect()}
+    signups = {e.event_id for e in events if e.event_type == "signup" and e.user_id in spans}
+    assert signups <= {r.event_id for r in QUERIES["annotation_state_whole"](spark, sf_dir).collect()}
+    told = QUERIES["count_narration_whole"](spark, sf_dir).collect()
+    assert sum(int(x.split()[0]) for r in told for x in r.text.split(", ")) == len(events)
+    sf, _, turns = texts
+    assert Counter((r.conv_id, r["at"]) for r in QUERIES["segment_locator_whole"](spark, sf).collect()) == Counter({(1, 0): 2, (1, 1): 1, (1, 2): 1, (1, 4): 1, (2, 0): 1, (2, 1): 1})
+    pairs = {(r.conv_id, r.split_turn, r.context_turn) for r in QUERIES["overlap_context_whole"](spark, sf).collect()}
+    assert pairs == {(c, a, b) for c, a, _, _ in turns for d, b, _, _ in turns if c == d and b < a}

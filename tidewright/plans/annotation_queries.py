@@ -78,6 +78,13 @@ def annotation_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.annotation_state(probes, D.spans(spark, sf_dir).withColumnRenamed("span_id", "node_id"), ["user_id"], "time")
 
 
+@query("O64")
+def annotation_state_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As annotation_state, for every signup."""
+    probes = D.timed(spark, sf_dir).filter("event_type = 'signup'").select("user_id", "event_id", "time")
+    return A.annotation_state(probes, D.spans(spark, sf_dir).withColumnRenamed("span_id", "node_id"), ["user_id"], "time")
+
+
 @query("O79 O306", """
 SELECT k, clip, kind, CASE WHEN kind = 'turn' THEN f END AS first_bad FROM (SELECT o_orderkey AS k, o_orderkey % 3 AS clip, len(list_filter([o_custkey % 9, o_custkey % 12], lambda e: e <= n)) AS f,
   CASE WHEN n IS NULL THEN 'missing' WHEN o_custkey % 7 >= n THEN 'clip start' WHEN o_custkey % 8 > n THEN 'clip end' WHEN o_custkey % 9 > n OR o_custkey % 12 > n THEN 'turn' END AS kind
@@ -131,6 +138,12 @@ def count_narration(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.count_narration(table(spark, sf_dir, "events").filter("event_id % 9 = 0"), "user_id", "event_type", "event_id")
 
 
+@query("O119")
+def count_narration_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As count_narration, over every event."""
+    return A.count_narration(table(spark, sf_dir, "events"), "user_id", "event_type", "event_id")
+
+
 @query("O108")
 def turn_taking_all_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = D.frames(spark, sf_dir)
@@ -148,6 +161,17 @@ def overlap_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     return band_join(cut, other, ["conv_id"], "ct", "dt", -60, 0).filter("context_turn < split_turn").select("conv_id", "split_turn", "context_turn")
 
 
+@query("O135")
+def overlap_context_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As overlap_context, for a split at every turn."""
+    from tidewright.operators.relations import band_join
+
+    t = D.turns(spark, sf_dir)
+    cut = t.select("conv_id", F.col("turn").alias("split_turn"), F.col("time").alias("ct"))
+    other = t.select("conv_id", F.col("turn").alias("context_turn"), F.col("time").alias("dt"))
+    return band_join(cut, other, ["conv_id"], "ct", "dt", -60, 0).filter("context_turn < split_turn").select("conv_id", "split_turn", "context_turn")
+
+
 @query("O201", "SELECT event_type, CASE event_type WHEN 'error' THEN 3 ELSE 0 END AS code, count(*) AS n FROM events GROUP BY ALL")
 def second_code_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     codes = {"no_change": 0, "start": 1, "complete": 2, "error": 3}  # fixed values: the other, incompatible code table

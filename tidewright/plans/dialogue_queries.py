@@ -151,6 +151,15 @@ def segment_locator(spark: SparkSession, sf_dir: str) -> DataFrame:
     return met.groupBy("conv_id", "p").agg(F.min("turn").alias("at")).select("conv_id", "at")
 
 
+@query("O286")
+def segment_locator_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As segment_locator, for every turn."""
+    c = table(spark, sf_dir, "conversations")
+    probe = c.select(F.col("conv_id").alias("i"), F.col("turn").alias("p"), F.col("role").alias("r"), F.col("text").alias("t"))
+    met = probe.join(c, (F.col("i") == c["conv_id"]) & F.col("r").eqNullSafe(c["role"]) & F.col("t").eqNullSafe(c["text"]))
+    return met.groupBy("conv_id", "p").agg(F.min("turn").alias("at")).select("conv_id", "at")
+
+
 @query("O290 O252", """
 SELECT event_id, CASE WHEN value > 60 THEN 'clear' WHEN b.v IS NOT NULL AND b.v > value THEN 'other' ELSE 'own' END AS decision FROM events e LEFT JOIN (SELECT event_id - 1 AS k, value AS v FROM events) b ON b.k = e.event_id""")
 def two_phase(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -107,6 +107,13 @@ def asof_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.state_as_of(probes, D.steps(spark, sf_dir), ["user_id"], "probe_time", ["time", "event_id"])
 
 
+@query("O68 O64 O242")
+def asof_state_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As asof_state, for every click."""
+    probes = D.timed(spark, sf_dir).filter("event_type = 'click'").select("user_id", F.col("event_id").alias("probe_id"), F.col("time").alias("probe_time"))
+    return S.state_as_of(probes, D.steps(spark, sf_dir), ["user_id"], "probe_time", ["time", "event_id"])
+
+
 @query("O69", """
 SELECT user_id, event_id, step_id, coalesce(lag(state) OVER (PARTITION BY user_id, step_id ORDER BY time, event_id), 'not_started') AS before
 FROM (SELECT *, CASE transition WHEN 'start' THEN 'in_progress' WHEN 'complete' THEN 'completed' ELSE 'not_started' END AS state FROM steps)""", _E)
