@@ -73,3 +73,19 @@ def test_nothing_is_left_out_by_its_number(spark, sf_dir, texts):
     assert Counter((r.conv_id, r["at"]) for r in QUERIES["segment_locator_whole"](spark, sf).collect()) == Counter({(1, 0): 2, (1, 1): 1, (1, 2): 1, (1, 4): 1, (2, 0): 1, (2, 1): 1})
     pairs = {(r.conv_id, r.split_turn, r.context_turn) for r in QUERIES["overlap_context_whole"](spark, sf).collect()}
     assert pairs == {(c, a, b) for c, a, _, _ in turns for d, b, _, _ in turns if c == d and b < a}
+
+
+def test_first_match_by_source_order(spark, sf_dir):
+    from tidewright.plans import COVERS
+    from tidewright.plans import derived as D
+
+    events = D.timed(spark, sf_dir).collect()
+    clicks = [e for e in events if e.event_type == "click"]
+    spans = D.spans(spark, sf_dir).collect()
+    held = {c.event_id: min((s.span_id for s in spans if s.user_id == c.user_id and s.start_ts <= c.time <= s.end_ts), default=None) for c in clicks}
+    near = {c.event_id: min((v.event_id for v in events if v.event_type == "view" and v.user_id == c.user_id and abs(v.time - c.time) < 1800), default=None) for c in clicks}
+    got = [(r.event_id, r.span_id) for r in QUERIES["point_in_interval_first"](spark, sf_dir).collect()]
+    assert sorted(got) == sorted((c, s) for c, s in held.items() if s is not None)
+    got = [(r.click_id, r.view_id) for r in QUERIES["near_time_first"](spark, sf_dir).collect()]
+    assert sorted(got) == sorted((c, v) for c, v in near.items() if v is not None)
+    assert not {"O138", "O139"} & {o for covers in COVERS.values() for o in covers}

@@ -26,7 +26,7 @@ def turn_costs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _costed(spark, sf_dir).select("conv_id", "turn", "cost")
 
 
-@query("O133 O138 O139")
+@query("O133")
 def budget_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.split_by_budget(_costed(spark, sf_dir), "conv_id", "turn", "cost", 600)
 

@@ -158,14 +158,14 @@ def first_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.first_match_join(o, li, [F.col("o_orderkey") == F.col("l_orderkey")], ["o_orderkey"], ["l_linenumber"]).select("o_orderkey", "l_linenumber")
 
 
-@query("O60 O63", """
+@query("O60", """
 SELECT e.user_id, e.event_id, s.span_id FROM timed e JOIN spans s ON e.user_id = s.user_id AND e.time BETWEEN s.start_ts AND s.end_ts WHERE e.event_type = 'click'""", ("timed", "steps", "spans"))
 def point_in_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
     points = D.timed(spark, sf_dir).filter("event_type = 'click'").select("user_id", "event_id", "time")
     return R.point_in_interval(points, D.spans(spark, sf_dir), ["user_id"], "time", 86400.0).select("user_id", "event_id", "span_id")
 
 
-@query("O65 O66 O72", """
+@query("O72", """
 SELECT a.user_id, a.event_id AS click_id, b.event_id AS view_id FROM timed a JOIN timed b ON a.user_id = b.user_id AND a.event_type = 'click' AND b.event_type = 'view' AND b.time - a.time BETWEEN -1800 AND 1800""", ("timed",))
 def near_time_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = D.timed(spark, sf_dir)
@@ -174,6 +174,24 @@ def near_time_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.band_join(a, b, ["user_id"], "ta", "tb", -1800, 1800).select("user_id", "click_id", "view_id")
 
 
+@query("O63")
+def point_in_interval_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each click with the first span, by source order, that holds it."""
+    points = D.timed(spark, sf_dir).filter("event_type = 'click'").select("user_id", "event_id", "time")
+    met = R.point_in_interval(points, D.spans(spark, sf_dir), ["user_id"], "time", 86400.0)
+    return R.top_per_group(met, ["event_id"], ["span_id"]).select("user_id", "event_id", "span_id")
+
+
+@query("O65 O66")
+def near_time_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each click with the first view, by source order, less than 1800 seconds off; a view may meet several clicks."""
+    t = D.timed(spark, sf_dir)
+    a = t.filter("event_type = 'click'").select("user_id", F.col("event_id").alias("click_id"), F.col("time").alias("ta"))
+    b = t.filter("event_type = 'view'").select("user_id", F.col("event_id").alias("view_id"), F.col("time").alias("tb"))
+    met = R.band_join(a, b, ["user_id"], "ta", "tb", -1800, 1800).filter("abs(tb - ta) < 1800")
+    return R.top_per_group(met, ["click_id"], ["view_id"]).select("user_id", "click_id", "view_id")
+
+
 @query("O70", """
 SELECT a.user_id, a.event_id, round(min(abs(a.time - b.time)), 4) AS distance FROM timed a JOIN timed b ON a.user_id = b.user_id AND a.event_type = 'click' AND b.event_type = 'view' GROUP BY a.user_id, a.event_id""", ("timed",))
 def nearest_event(spark: SparkSession, sf_dir: str) -> DataFrame:
