@@ -280,6 +280,17 @@ def test_pipeline_stages_hold_what_they_promise(spark):
         assert stage(spark, empty, sf).count() == 0
 
 
+def test_only_copies_with_the_same_label_leave_the_toxicity_sample():
+    from tidewright.llm.toxicity import without_copies
+
+    a = np.arange(20, dtype=np.int32)
+    other = np.concatenate([a[:4], np.arange(100, 116, dtype=np.int32)])  # the same smallest features, another text
+    near = np.concatenate([a[:18], np.array([50, 51], np.int32)])
+    none = np.empty(0, np.int32)
+    rows = [(a, (0, 0)), (other, (0, 0)), (near, (0, 0)), (a, (1, 0)), (a, (1, 0)), (none, (0, 0)), (none, (0, 0))]
+    assert without_copies([f for f, _ in rows], [y for _, y in rows]) == [0, 1, 3, 5]
+
+
 def test_products_of_codes_are_exact():
     from tidewright.llm.block_search import _product
 
