@@ -36,19 +36,19 @@ def test_bleu_scores_whole_texts_of_all_languages(spark, texts):
     p = [(sum(sum((grams(h, n) & grams(r, n)).values()) for h, r in pairs) + 1e-15) / (sum(max(len(h) - n + 1, 0) for h, _ in pairs) + 1e-9) for n in range(1, 5)]
     x = sum(len(h) for h, _ in pairs) / sum(len(r) for _, r in pairs)
     want = [math.exp(sum(map(math.log, p[:n])) / n) * (math.exp(1 - 1 / x) if x < 1 else 1) for n in range(1, 5)]
-    assert list(QUERIES["bleu_corpus_whole"](spark, sf).first()) == pytest.approx(want, abs=2e-6)
-    assert {r.doc_id for r in QUERIES["cider_corpus_whole"](spark, sf).collect()} == {0, 1, 2, 97}
+    assert list(QUERIES["bleu_corpus"](spark, sf).first()) == pytest.approx(want, abs=2e-6)
+    assert {r.doc_id for r in QUERIES["cider_corpus"](spark, sf).collect()} == {0, 1, 2, 97}
 
 
 def test_garbage_is_judged_on_whole_texts(spark, texts):
     sf, docs, _ = texts
-    got = {r.doc_id: r.text for r in QUERIES["garbage_filter_whole"](spark, sf).collect()}
+    got = {r.doc_id: r.text for r in QUERIES["garbage_filter"](spark, sf).collect()}
     assert got == {d: "" if d == 2 else t for d, t, _ in docs}
 
 
 def test_transcript_keeps_all_lines(spark, texts):
     sf, _, _ = texts
-    got = {(r.conv_id, r.turn): (r.content, r.labels) for r in QUERIES["parse_transcript_whole"](spark, sf).collect()}
+    got = {(r.conv_id, r.turn): (r.content, r.labels) for r in QUERIES["parse_transcript"](spark, sf).collect()}
     own = {k: v[0] for k, v in got.items()}
     assert own == {(1, 0): "first\nsecond", (1, 1): "one\ntwo\nthree", (1, 3): "first\nsecond", (2, 0): "y\nz", (2, 1): "last \nline"}
     assert got[2, 0][1] == "initiative|instruction,feedback" and got[1, 1][1] == "initiative|other"
@@ -63,15 +63,15 @@ def test_nothing_is_left_out_by_its_number(spark, sf_dir, texts):
     for e in events:
         if e.event_type == "click":
             want[e.event_id] = len({s for u, s, t in moves if u == e.user_id and t <= e.time})
-    assert Counter(r.probe_id for r in QUERIES["asof_state_whole"](spark, sf_dir).collect()) == +want
+    assert Counter(r.probe_id for r in QUERIES["asof_state"](spark, sf_dir).collect()) == +want
     spans = {r.user_id for r in D.spans(spark, sf_dir).collect()}
     signups = {e.event_id for e in events if e.event_type == "signup" and e.user_id in spans}
-    assert signups <= {r.event_id for r in QUERIES["annotation_state_whole"](spark, sf_dir).collect()}
-    told = QUERIES["count_narration_whole"](spark, sf_dir).collect()
+    assert signups <= {r.event_id for r in QUERIES["annotation_state"](spark, sf_dir).collect()}
+    told = QUERIES["count_narration"](spark, sf_dir).collect()
     assert sum(int(x.split()[0]) for r in told for x in r.text.split(", ")) == len(events)
     sf, _, turns = texts
-    assert Counter((r.conv_id, r["at"]) for r in QUERIES["segment_locator_whole"](spark, sf).collect()) == Counter({(1, 0): 2, (1, 1): 1, (1, 2): 1, (1, 4): 1, (2, 0): 1, (2, 1): 1})
-    pairs = {(r.conv_id, r.split_turn, r.context_turn) for r in QUERIES["overlap_context_whole"](spark, sf).collect()}
+    assert Counter((r.conv_id, r["at"]) for r in QUERIES["segment_locator"](spark, sf).collect()) == Counter({(1, 0): 2, (1, 1): 1, (1, 2): 1, (1, 4): 1, (2, 0): 1, (2, 1): 1})
+    pairs = {(r.conv_id, r.split_turn, r.context_turn) for r in QUERIES["overlap_context"](spark, sf).collect()}
     assert pairs == {(c, a, b) for c, a, _, _ in turns for d, b, _, _ in turns if c == d and b < a}
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewright.operators.relations import point_in_interval
+
 #: Label of positions that aren't learnt.
 IGNORE = -100
 
@@ -38,13 +40,26 @@ def steps_with_mistakes(coarse: DataFrame, fine: DataFrame, mistakes: DataFrame,
     return out.select(key, (F.col("start") / fps).alias("start_ts"), (F.col("end") / fps).alias("end_ts"), "narration", "mistake", F.coalesce("substeps", F.lit(0)).alias("substeps"))
 
 
-def annotation_state(probes: DataFrame, nodes: DataFrame, key: list[str], at: str) -> DataFrame:
-    """For each probe: the active node (the latest begun that holds the time), how many are completed, and the next to begin."""
-    met = probes.join(nodes.select(*key, "node_id", "start_ts", "end_ts"), key)
-    t, s, e = F.col(at), F.col("start_ts"), F.col("end_ts")
-    return met.groupBy(*probes.columns).agg(
-        F.max_by("node_id", F.when(t.between(s, e), F.struct("start_ts", "node_id"))).alias("active"), F.count_if(e < t).alias("completed"), F.min_by("node_id", F.when(s > t, F.struct("start_ts", "node_id"))).alias("upcoming")
-    )
+def annotation_state(probes: DataFrame, nodes: DataFrame, key: list[str], at: str, width: float = 3600.0) -> DataFrame:
+    """For each probe: the active node (the latest begun that holds the time), how many are completed, and the next to begin.
+
+    Probes of keys without nodes are left out. The active node comes from a join by buckets of *width*; the others from one pass over starts,
+    ends and probes sorted together. Probes that repeat share a row.
+    """
+    spans = nodes.select(*key, "node_id", "start_ts", "end_ts")
+    known = probes.join(spans.select(*key).distinct(), key, "left_semi").distinct()
+    held = point_in_interval(known, spans.filter("start_ts <= end_ts"), key, at, width)
+    active = held.groupBy(*probes.columns).agg(F.max_by("node_id", F.struct("start_ts", "node_id")).alias("active"))
+    starts = spans.select(*key, F.col("start_ts").alias("_t"), F.lit(1).alias("_kind"), F.struct(F.col("start_ts").alias("s"), F.col("node_id").alias("n")).alias("_node"))
+    ends = spans.select(*key, F.col("end_ts").alias("_t"), F.lit(1).alias("_kind"), F.lit(1).alias("_end"))
+    asked = known.withColumns({"_t": F.col(at), "_kind": F.lit(0)})
+    # at one time probes come first, so that what ends then isn't completed; and what begins then isn't yet to come
+    both = asked.unionByName(ends, allowMissingColumns=True).unionByName(starts.withColumn("_kind", F.lit(-1)), allowMissingColumns=True)
+    w = Window.partitionBy(*key).orderBy("_t", "_kind")
+    completed = F.count("_end").over(w.rowsBetween(Window.unboundedPreceding, 0))
+    later = F.first("_node", ignorenulls=True).over(Window.partitionBy(*key).orderBy("_t", "_kind", F.col("_node.n")).rowsBetween(0, Window.unboundedFollowing))
+    seen = both.withColumns({"completed": completed, "upcoming": later["n"]}).filter("_kind = 0").select(*probes.columns, "completed", "upcoming")
+    return seen.join(active, probes.columns, "left").select(*probes.columns, "active", "completed", "upcoming")
 
 
 def bound_mismatches(samples: DataFrame, frames: DataFrame, key: str) -> DataFrame:

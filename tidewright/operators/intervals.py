@@ -97,13 +97,31 @@ def span_statistics(spans: DataFrame, key: list[str]) -> DataFrame:
     )
 
 
-def temporal_iou(a: DataFrame, b: DataFrame, key: list[str]) -> DataFrame:
-    """Intersection over union of every pair of intervals of a key, where they meet at all."""
-    right = b.select(*key, *[F.col(c).alias(f"other_{c}") for c in b.columns if c not in key])
+def temporal_iou(a: DataFrame, b: DataFrame, key: list[str], scales: int = 24, least: float = 1.0) -> DataFrame:
+    """Intersection over union of every pair of intervals of a key, where they meet at all.
+
+    Time is cut into cells of *least* times a power of two. An interval belongs to the smallest scale whose cells are as long as it (the
+    largest, if none is), where it touches two cells at most. Intervals of two scales meet in the cells of the larger; so pairs are
+    found by equal keys, and only near ones are compared. A pair that shares two cells counts in the first.
+    """
+    level = F.least(F.ceil(F.log2(F.greatest((F.col("end_ts") - F.col("start_ts")) / least, F.lit(1.0)))), F.lit(scales)).cast("int")
+    left, right = (df.filter("start_ts <= end_ts").withColumn(own, level) for df, own in ((a, "_la"), (b, "_lb")))
+    levels = sorted(r[0] for r in left.select("_la").union(right.select("_lb")).distinct().collect()) or [0]  # scales + 1 numbers at most
+
+    def celled(df: DataFrame, own: str, first: str) -> DataFrame:
+        width = F.pow(F.lit(2.0), F.col("_at")) * least
+        spread = df.withColumn("_at", F.explode(F.array(*map(F.lit, levels)))).filter(F.col("_at") >= F.col(own))
+        cells = F.sequence(F.floor(F.col("start_ts") / width), F.floor(F.col("end_ts") / width))
+        return spread.withColumns({first: F.floor(F.col("start_ts") / width), "_cell": F.explode(cells)})
+
+    up_a, up_b = celled(left, "_la", "_fa"), celled(right, "_lb", "_fb")
+    right_cols = up_b.select(*key, "_at", "_cell", "_fb", "_lb", *[F.col(c).alias(f"other_{c}") for c in b.columns if c not in key])
+    pairs = up_a.join(right_cols, [*key, "_at", "_cell"])
+    pairs = pairs.filter((F.col("_at") == F.greatest("_la", "_lb")) & (F.col("_cell") == F.greatest("_fa", "_fb")) & (F.col("start_ts") <= F.col("other_end_ts")) & (F.col("other_start_ts") <= F.col("end_ts")))
     both = F.least("end_ts", "other_end_ts") - F.greatest("start_ts", "other_start_ts")
     union = F.greatest("end_ts", "other_end_ts") - F.least("start_ts", "other_start_ts")
-    pairs = a.join(right, [*[a[k] == right[k] for k in key], (a["start_ts"] <= right["other_end_ts"]), (right["other_start_ts"] <= a["end_ts"])])
-    return pairs.drop(*[right[k] for k in key]).withColumn("iou", F.coalesce(F.try_divide(F.greatest(both, F.lit(0.0)), union), F.lit(0.0)))
+    iou = F.coalesce(F.try_divide(F.greatest(both, F.lit(0.0)), union), F.lit(0.0))
+    return pairs.withColumn("iou", iou).select(*a.columns, *[f"other_{c}" for c in b.columns if c not in key], "iou")
 
 
 def absorb_contained(blocks: DataFrame, key: str, ident: str) -> DataFrame:

@@ -19,22 +19,32 @@ def state_after(transition: Column, results: dict[str, str] = RESULT) -> Column:
 
 
 def state_history(steps: DataFrame, key: list[str], order: list[str], results: dict[str, str] = RESULT) -> DataFrame:
-    """After each transition, all steps of the key seen so far with their states, as "S1:completed,S2:in_progress"."""
+    """After each transition, all steps of the key seen so far with their states, as "S1:completed,S2:in_progress".
+
+    Each row meets the distinct steps of its key, as many as its state may name, and the last state of each is carried forward.
+    """
     ranked = steps.withColumn("_rank", F.row_number().over(Window.partitionBy(*key).orderBy(*order)))
-    moves = ranked.withColumn("_state", state_after(F.col("transition"), results)).filter("_state IS NOT NULL")
-    nxt = F.lead("_rank").over(Window.partitionBy(*key, "step_id").orderBy("_rank"))
-    held = moves.withColumn("_until", nxt).select(*key, F.col("step_id").alias("_s"), "_state", F.col("_rank").alias("_from"), "_until")
-    joined = ranked.join(held.withColumnsRenamed({k: f"_k{i}" for i, k in enumerate(key)}), [F.col(k) == F.col(f"_k{i}") for i, k in enumerate(key)] + [F.col("_rank") >= F.col("_from"), F.col("_until").isNull() | (F.col("_rank") < F.col("_until"))], "left")
-    text = F.array_join(F.array_sort(F.collect_list(F.when(F.col("_s").isNotNull(), F.concat_ws(":", "_s", "_state")))), ",")
-    return joined.groupBy(*key, *order, "step_id", "transition").agg(text.alias("state"))
+    state = state_after(F.col("transition"), results)
+    named = ranked.filter(state.isNotNull()).select(*key, F.col("step_id").alias("_s")).distinct()
+    carried = F.last(F.when(F.col("step_id") == F.col("_s"), state), ignorenulls=True)
+    w = Window.partitionBy(*key, "_s").orderBy("_rank").rowsBetween(Window.unboundedPreceding, 0)
+    seen = ranked.join(named, key, "left").withColumn("_state", carried.over(w))
+    text = F.array_join(F.array_sort(F.collect_list(F.when(F.col("_state").isNotNull(), F.concat_ws(":", "_s", "_state")))), ",")
+    return seen.groupBy(*key, *order, "step_id", "transition", "_rank").agg(text.alias("state")).drop("_rank")
 
 
 def state_as_of(probes: DataFrame, steps: DataFrame, key: list[str], probe_time: str, order: list[str], results: dict[str, str] = RESULT) -> DataFrame:
-    """For each probe, each step's state after the last transition at or before the probe's time."""
+    """For each probe, each step's state after the last transition at or before the probe's time.
+
+    Each probe meets the distinct steps of its key, as many as its answer may name. Probes and transitions of a step are then sorted
+    together by time, and the last state is carried forward: no probe meets the transitions themselves.
+    """
     moves = steps.withColumn("_state", state_after(F.col("transition"), results)).filter("_state IS NOT NULL")
-    moves = moves.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(key)], "step_id", "_state", F.struct(*order).alias("_at"))
-    met = probes.join(moves, [F.col(k) == F.col(f"_k{i}") for i, k in enumerate(key)] + [F.col("_at")[order[0]] <= F.col(probe_time)])
-    return met.groupBy(*probes.columns, "step_id").agg(F.max_by("_state", "_at").alias("state"))
+    asked = probes.join(moves.select(*key, "step_id").distinct(), key).withColumns({"_t": F.col(probe_time), "_probe": F.lit(1)})
+    made = moves.select(*key, "step_id", "_state", *[F.col(c).alias("_t" if j == 0 else f"_o{j}") for j, c in enumerate(order)], F.lit(0).alias("_probe"))
+    w = Window.partitionBy(*key, "step_id").orderBy("_t", "_probe", *[f"_o{j}" for j in range(1, len(order))]).rowsBetween(Window.unboundedPreceding, 0)
+    both = asked.unionByName(made, allowMissingColumns=True).withColumn("state", F.last("_state", ignorenulls=True).over(w))
+    return both.filter("_probe = 1 AND state IS NOT NULL").select(*probes.columns, "step_id", "state")
 
 
 def transition_validity(steps: DataFrame, key: list[str], order: list[str]) -> DataFrame:

@@ -72,15 +72,8 @@ def steps_with_mistakes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("O64", """
 SELECT p.user_id, p.event_id, p.time, max_by(span_id, (start_ts, span_id)) FILTER (p.time BETWEEN start_ts AND end_ts) AS active, count(*) FILTER (end_ts < p.time) AS completed, min_by(span_id, (start_ts, span_id)) FILTER (start_ts > p.time) AS upcoming
-FROM (SELECT user_id, event_id, time FROM timed WHERE event_type = 'signup' AND event_id % 4 = 0) p JOIN spans USING (user_id) GROUP BY ALL""", ("timed", "steps", "spans"))
+FROM (SELECT user_id, event_id, time FROM timed WHERE event_type = 'signup') p JOIN spans USING (user_id) GROUP BY ALL""", ("timed", "steps", "spans"))
 def annotation_state(spark: SparkSession, sf_dir: str) -> DataFrame:
-    probes = D.timed(spark, sf_dir).filter("event_type = 'signup' AND event_id % 4 = 0").select("user_id", "event_id", "time")
-    return A.annotation_state(probes, D.spans(spark, sf_dir).withColumnRenamed("span_id", "node_id"), ["user_id"], "time")
-
-
-@query("O64")
-def annotation_state_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As annotation_state, for every signup."""
     probes = D.timed(spark, sf_dir).filter("event_type = 'signup'").select("user_id", "event_id", "time")
     return A.annotation_state(probes, D.spans(spark, sf_dir).withColumnRenamed("span_id", "node_id"), ["user_id"], "time")
 
@@ -88,11 +81,11 @@ def annotation_state_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("O79 O306", """
 SELECT k, clip, kind, CASE WHEN kind = 'turn' THEN f END AS first_bad FROM (SELECT o_orderkey AS k, o_orderkey % 3 AS clip, len(list_filter([o_custkey % 9, o_custkey % 12], lambda e: e <= n)) AS f,
   CASE WHEN n IS NULL THEN 'missing' WHEN o_custkey % 7 >= n THEN 'clip start' WHEN o_custkey % 8 > n THEN 'clip end' WHEN o_custkey % 9 > n OR o_custkey % 12 > n THEN 'turn' END AS kind
-  FROM orders LEFT JOIN (SELECT l_orderkey, count(*) AS n FROM lineitem WHERE l_quantity > 10 GROUP BY 1) ON l_orderkey = o_orderkey) WHERE kind IS NOT NULL""")
+  FROM orders LEFT JOIN (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey) WHERE kind IS NOT NULL""")
 def bound_mismatches(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = F.col("o_custkey")
     samples = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), (F.col("o_orderkey") % 3).alias("clip"), (c % 7).alias("clip_start"), (c % 8).alias("clip_end"), F.array(c % 9, c % 12).alias("turn_ends"))
-    frames = table(spark, sf_dir, "lineitem").filter("l_quantity > 10").groupBy(F.col("l_orderkey").alias("k")).agg(F.count(F.lit(1)).alias("n_frames"))
+    frames = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("k")).agg(F.count(F.lit(1)).alias("n_frames"))
     return A.bound_mismatches(samples, frames, "k").withColumn("first_bad", F.col("first_bad").cast("long"))
 
 
@@ -133,14 +126,8 @@ def split_membership(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("O119", """
-SELECT user_id, string_agg(n || ' ' || event_type || CASE WHEN n > 1 THEN 's' ELSE '' END, ', ' ORDER BY f) AS text FROM (SELECT user_id, event_type, count(*) AS n, min(event_id) AS f FROM events WHERE event_id % 9 = 0 GROUP BY ALL) GROUP BY user_id""")
+SELECT user_id, string_agg(n || ' ' || event_type || CASE WHEN n > 1 THEN 's' ELSE '' END, ', ' ORDER BY f) AS text FROM (SELECT user_id, event_type, count(*) AS n, min(event_id) AS f FROM events GROUP BY ALL) GROUP BY user_id""")
 def count_narration(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return A.count_narration(table(spark, sf_dir, "events").filter("event_id % 9 = 0"), "user_id", "event_type", "event_id")
-
-
-@query("O119")
-def count_narration_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As count_narration, over every event."""
     return A.count_narration(table(spark, sf_dir, "events"), "user_id", "event_type", "event_id")
 
 
@@ -151,21 +138,10 @@ def turn_taking_all_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("O135", """
-SELECT c.conv_id, c.turn AS split_turn, d.turn AS context_turn FROM turns c JOIN turns d ON c.conv_id = d.conv_id AND d.turn < c.turn AND d.time >= c.time - 60 WHERE c.turn % 3 = 2""", ("turns",))
+SELECT c.conv_id, c.turn AS split_turn, d.turn AS context_turn FROM turns c JOIN turns d ON c.conv_id = d.conv_id AND d.turn < c.turn AND d.time >= c.time - 60""", ("turns",))
 def overlap_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidewright.operators.relations import band_join
 
-    t = D.turns(spark, sf_dir)
-    cut = t.filter("turn % 3 = 2").select("conv_id", F.col("turn").alias("split_turn"), F.col("time").alias("ct"))
-    other = t.select("conv_id", F.col("turn").alias("context_turn"), F.col("time").alias("dt"))
-    return band_join(cut, other, ["conv_id"], "ct", "dt", -60, 0).filter("context_turn < split_turn").select("conv_id", "split_turn", "context_turn")
-
-
-@query("O135")
-def overlap_context_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As overlap_context, for a split at every turn."""
-    from tidewright.operators.relations import band_join
-
     t = D.turns(spark, sf_dir)
     cut = t.select("conv_id", F.col("turn").alias("split_turn"), F.col("time").alias("ct"))
     other = t.select("conv_id", F.col("turn").alias("context_turn"), F.col("time").alias("dt"))

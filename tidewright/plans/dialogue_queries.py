@@ -143,17 +143,8 @@ def conversation_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flat.withColumn("m", meta).select("conv_id", F.col("pos").cast("long").alias("idx"), "turns", "m.uid", "m.len")
 
 
-@query("O286", "SELECT c.conv_id, min(d.turn) AS at FROM conversations c JOIN conversations d ON c.conv_id = d.conv_id AND c.role = d.role AND c.text = d.text WHERE c.turn % 3 = 1 GROUP BY c.conv_id, c.turn")
+@query("O286", "SELECT c.conv_id, min(d.turn) AS at FROM conversations c JOIN conversations d ON c.conv_id = d.conv_id AND c.role = d.role AND c.text = d.text GROUP BY c.conv_id, c.turn")
 def segment_locator(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = table(spark, sf_dir, "conversations")
-    probe = c.filter("turn % 3 = 1").select(F.col("conv_id").alias("i"), F.col("turn").alias("p"), F.col("role").alias("r"), F.col("text").alias("t"))
-    met = probe.join(c, (F.col("i") == c["conv_id"]) & F.col("r").eqNullSafe(c["role"]) & F.col("t").eqNullSafe(c["text"]))
-    return met.groupBy("conv_id", "p").agg(F.min("turn").alias("at")).select("conv_id", "at")
-
-
-@query("O286")
-def segment_locator_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As segment_locator, for every turn."""
     c = table(spark, sf_dir, "conversations")
     probe = c.select(F.col("conv_id").alias("i"), F.col("turn").alias("p"), F.col("role").alias("r"), F.col("text").alias("t"))
     met = probe.join(c, (F.col("i") == c["conv_id"]) & F.col("r").eqNullSafe(c["role"]) & F.col("t").eqNullSafe(c["text"]))

@@ -100,16 +100,9 @@ def state_history(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("O68 O64 O242", f"""
-WITH {_MOVES}, p AS (SELECT user_id, event_id AS probe_id, time AS probe_time FROM timed WHERE event_type = 'click' AND event_id % 10 = 0)
+WITH {_MOVES}, p AS (SELECT user_id, event_id AS probe_id, time AS probe_time FROM timed WHERE event_type = 'click')
 SELECT p.*, m.step_id, max_by(m.state, (m.time, m.event_id)) AS state FROM p JOIN moves m ON m.user_id = p.user_id AND m.time <= p.probe_time GROUP BY ALL""", _E)
 def asof_state(spark: SparkSession, sf_dir: str) -> DataFrame:
-    probes = D.timed(spark, sf_dir).filter("event_type = 'click' AND event_id % 10 = 0").select("user_id", F.col("event_id").alias("probe_id"), F.col("time").alias("probe_time"))
-    return S.state_as_of(probes, D.steps(spark, sf_dir), ["user_id"], "probe_time", ["time", "event_id"])
-
-
-@query("O68 O64 O242")
-def asof_state_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As asof_state, for every click."""
     probes = D.timed(spark, sf_dir).filter("event_type = 'click'").select("user_id", F.col("event_id").alias("probe_id"), F.col("time").alias("probe_time"))
     return S.state_as_of(probes, D.steps(spark, sf_dir), ["user_id"], "probe_time", ["time", "event_id"])
 
@@ -148,9 +141,9 @@ def state_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("O127 O128", """
 WITH e AS (SELECT DISTINCT user_id, step_id, 'start' AS transition, start_ts AS time FROM spans UNION SELECT user_id, step_id, 'complete', end_ts FROM spans WHERE end_ts > start_ts)
-SELECT e.* FROM e WHERE NOT EXISTS (SELECT 1 FROM steps s WHERE s.event_id % 2 = 0 AND s.user_id = e.user_id AND s.step_id = e.step_id AND s.transition = e.transition AND s.time = e.time)""", ("timed", "steps", "spans"))
+SELECT e.* FROM e WHERE NOT EXISTS (SELECT 1 FROM steps s WHERE s.transition = 'start' AND s.user_id = e.user_id AND s.step_id = e.step_id AND s.transition = e.transition AND s.time = e.time)""", ("timed", "steps", "spans"))
 def spans_to_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.spans_to_events(D.spans(spark, sf_dir), ["user_id"], D.steps(spark, sf_dir).filter("event_id % 2 = 0"))
+    return S.spans_to_events(D.spans(spark, sf_dir), ["user_id"], D.steps(spark, sf_dir).filter("transition = 'start'"))
 
 
 @query("O266 O145", """

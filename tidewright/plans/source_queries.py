@@ -80,9 +80,9 @@ def frame_range(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("video_uid", "frame_idx", "k", "time")
 
 
-@query("O11", "SELECT o_orderkey AS video_uid, n_frames FROM orders LEFT JOIN (SELECT l_orderkey, count(*) AS n_frames FROM lineitem WHERE l_quantity > 25 GROUP BY l_orderkey) ON l_orderkey = o_orderkey")
+@query("O11", "SELECT o_orderkey AS video_uid, n_frames FROM orders LEFT JOIN (SELECT l_orderkey, count(*) AS n_frames FROM lineitem GROUP BY l_orderkey) ON l_orderkey = o_orderkey")
 def frame_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    frames = table(spark, sf_dir, "lineitem").filter("l_quantity > 25").select(F.col("l_orderkey").cast("string").alias("video_uid"))
+    frames = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").cast("string").alias("video_uid"))
     videos = table(spark, sf_dir, "orders").select(F.concat(F.when(F.col("o_orderkey") % 2 == 0, "grp-").otherwise(""), F.col("o_orderkey").cast("string")).alias("video_uid"))
     return S.frame_counts(frames, videos).select(F.regexp_replace("video_uid", "^grp-", "").cast("long").alias("video_uid"), "n_frames")
 

@@ -137,19 +137,8 @@ def extract_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("O176 O195", r"""
 SELECT conv_id, turn, round(time, 3) AS time, role, content, CASE WHEN role = 'user' THEN '' WHEN turn % 2 = 0 THEN 'initiative|instruction,feedback' ELSE 'initiative|other' END AS labels
-FROM (SELECT *, trim(split_part(text, chr(10), 1)) AS content FROM turns) WHERE role IN ('user', 'assistant') AND NOT starts_with(content, '(')
-  AND NOT regexp_matches(content, '\[.*?\|.*?\]')""", ("turns",))
+FROM (SELECT *, trim(regexp_replace(trim(text), '\[.*?\|.*?\]', '', 'g')) AS content FROM turns) WHERE role IN ('user', 'assistant') AND NOT starts_with(trim(text), '(')""", ("turns",))
 def parse_transcript(spark: SparkSession, sf_dir: str) -> DataFrame:
-    first = F.trim(F.split("text", "\n")[0])
-    tag = F.when((F.col("turn") % 2 == 0) & (F.col("role") == "assistant"), " [Initiative|instruction, feedback]").otherwise("")
-    said = D.turns(spark, sf_dir).filter(~first.rlike(r"\[.*?\|.*?\]"))
-    line = F.concat(F.lit("["), F.col("time").cast("string"), F.lit("s] "), F.initcap("role"), F.lit(": "), first, tag)
-    return said.withColumn("t", T.parse_turn(line)).filter("t IS NOT NULL").select("conv_id", "turn", F.round("t.time", 3).alias("time"), "t.role", "t.content", "t.labels")
-
-
-@query("O176 O195")
-def parse_transcript_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As parse_transcript, with all lines of each turn."""
     tag = F.when((F.col("turn") % 2 == 0) & (F.col("role") == "assistant"), " [Initiative|instruction, feedback]").otherwise("")
     line = F.concat(F.lit("["), F.col("time").cast("string"), F.lit("s] "), F.initcap("role"), F.lit(": "), F.trim("text"), tag)
     said = D.turns(spark, sf_dir).withColumn("t", T.parse_turn(line)).filter("t IS NOT NULL")
@@ -164,16 +153,9 @@ def parse_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("O54", f"""
-SELECT doc_id, CASE WHEN len(w) > 3 AND len(list_distinct(w)) = 1 THEN '' ELSE first_line END AS text
-FROM (SELECT doc_id, first_line, {_WORDS % 'first_line'} AS w FROM (SELECT doc_id, split_part(text, chr(10), 1) AS first_line FROM documents))""")
+SELECT doc_id, CASE WHEN len(w) > 3 AND len(list_distinct(w)) = 1 THEN '' ELSE text END AS text
+FROM (SELECT doc_id, text, {_WORDS % 'text'} AS w FROM documents)""")
 def garbage_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    line = F.split("text", "\n")[0]
-    return table(spark, sf_dir, "documents").select("doc_id", F.when(T.is_garbage(line, 3), "").otherwise(line).alias("text"))
-
-
-@query("O54")
-def garbage_filter_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As garbage_filter, asked about and returning whole texts."""
     return table(spark, sf_dir, "documents").select("doc_id", F.when(T.is_garbage(F.col("text"), 3), "").otherwise(F.col("text")).alias("text"))
 
 
