@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidewright.sources.scratch import written
+
 Model = Callable[[list[str]], list[str | None]]
 
 
@@ -28,18 +30,24 @@ def generate(items: DataFrame, prompt: str, model: Model = stub_model, samples:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
-            texts = [model([p if k == 0 else f"{p} #{k}" for k in range(samples)]) for p in rows[prompt]]
+            prompts = rows[prompt].tolist()
+            answers = model([p if k == 0 else f"{p} #{k}" for p in prompts for k in range(samples)])  # the whole batch in one call
+            texts = [answers[j * samples : (j + 1) * samples] for j in range(len(prompts))]
             yield rows.assign(ok=[None not in t for t in texts], texts=[[x for x in t if x is not None] for t in texts])
 
     return items.mapInPandas(run, ", ".join([*kinds, "ok boolean", "texts array<string>"]))
 
 
 def generate_with_retries(items: DataFrame, prompt: str, model: Model = stub_model, rounds: int = 3, valid: str = "true") -> DataFrame:
-    """*items* with ok, text and tries: rows that fail, or whose text isn't *valid* (SQL), are asked again, up to *rounds* times."""
+    """*items* with ok, text and tries: rows that fail, or whose text isn't *valid* (SQL), are asked again, up to *rounds* times.
+
+    Each round is written to the shared folder, so a prompt is sent once a round, however its answers are read.
+    """
     todo, done = items.withColumn("_prompt", F.col(prompt)), []
     columns = items.columns
     for n in range(1, rounds + 1):
         asked = generate(todo, "_prompt", model).withColumn("text", F.try_element_at("texts", F.lit(1))).withColumn("tries", F.lit(n))
+        asked = written(asked, f"round-{n}")
         good = F.col("ok") & F.expr(valid)
         if n < rounds:
             done.append(asked.filter(good).select(*columns, F.lit(True).alias("ok"), "text", "tries"))

@@ -19,20 +19,22 @@ def fold_groups(df: DataFrame, key: str, order: list[str], columns: list[str], f
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        carry: list[pd.DataFrame] = []
-        for batch in batches:
-            if not len(batch):
+        held: list[pd.DataFrame] = []  # parts of the last group, which may go on in the next batch; joined once, when it has ended
+        for rows in batches:
+            if not len(rows):
                 continue
-            rows = pd.concat([*carry, batch], ignore_index=True) if carry else batch
             k = rows[key]
-            before = k.shift()
-            start = np.flatnonzero(~((k == before) | (k.isna() & before.isna())).to_numpy() | (np.arange(len(rows)) == 0))
+            before = k.shift(fill_value=held[-1][key].iat[-1] if held else k.iat[0])
+            start = np.flatnonzero(~((k == before) | (k.isna() & before.isna())).to_numpy() | (np.arange(len(rows)) == 0) & (not held))
+            if held and len(start):
+                yield fold(pd.concat([*held, rows.iloc[: start[0]]], ignore_index=True))
+                held = []
             done = [fold(rows.iloc[a:b].reset_index(drop=True)) for a, b in zip(start[:-1], start[1:], strict=True)]
-            carry = [rows.iloc[start[-1] :]]
+            held.append(rows.iloc[start[-1] :] if len(start) else rows)
             if done:
                 yield pd.concat(done, ignore_index=True)
-        if carry:
-            yield fold(carry[0].reset_index(drop=True))
+        if held:
+            yield fold(pd.concat(held, ignore_index=True))
 
     wanted = list(dict.fromkeys([key, *order, *columns]))
     return df.select(*wanted).repartition(key).sortWithinPartitions(key, *order).mapInPandas(run, schema)

@@ -36,19 +36,29 @@ def ngrams(words: Column, n: int) -> Column:
 
 
 def _counted(df: DataFrame, key: list[str], words: str, most: int) -> DataFrame:
-    """(key, n, gram, c): the n-grams of each row up to *most* with their counts."""
-    each = F.array(*[F.struct(F.lit(n).alias("n"), ngrams(F.col(words), n).alias("g")) for n in range(1, most + 1)])
+    """(key, n, gram, c): the n-grams of each row up to *most*, as 64-bit hashes, with their counts."""
+    hashed = lambda n: F.transform(ngrams(F.col(words), n), lambda g: F.xxhash64(g))
+    each = F.array(*[F.struct(F.lit(n).alias("n"), hashed(n).alias("g")) for n in range(1, most + 1)])
     flat = df.select(*key, F.explode(each).alias("x")).select(*key, "x.n", F.explode("x.g").alias("gram"))
     return flat.groupBy(*key, "n", "gram").agg(F.count(F.lit(1)).alias("c"))
 
 
+def _worded(pairs: DataFrame, key: str, hyp: str, ref: str) -> tuple[DataFrame, DataFrame]:
+    """((key, rid, h, r size) of each pair; (rid, r, times) of each distinct reference): many pairs may share one."""
+    w = pairs.select(key, words_of(F.col(hyp)).alias("h"), words_of(F.col(ref)).alias("r"), F.xxhash64(ref).alias("rid"))
+    return w.select(key, "rid", "h", F.size("r").alias("rs")), w.groupBy("rid").agg(F.first("r").alias("r"), F.count(F.lit(1)).alias("times"))
+
+
 def bleu(pairs: DataFrame, key: str, hyp: str, ref: str, most: int = 4) -> DataFrame:
-    """Corpus BLEU-1 to BLEU-*most* of one hypothesis and one reference each: clipped counts, brevity penalty, small smoothing terms."""
-    w = pairs.select(key, words_of(F.col(hyp)).alias("h"), words_of(F.col(ref)).alias("r"))
-    hyps, refs = _counted(w, [key], "h", most), _counted(w, [key], "r", most).withColumnRenamed("c", "rc")
-    right = hyps.join(refs, [key, "n", "gram"]).groupBy("n").agg(F.sum(F.least("c", "rc")).alias("right"))
+    """Corpus BLEU-1 to BLEU-*most* of one hypothesis and one reference each: clipped counts, brevity penalty, small smoothing terms.
+
+    References that several pairs share are counted once.
+    """
+    w, distinct = _worded(pairs, key, hyp, ref)
+    hyps, refs = _counted(w, [key, "rid"], "h", most), _counted(distinct, ["rid"], "r", most).withColumnRenamed("c", "rc")
+    right = hyps.join(refs, ["rid", "n", "gram"]).groupBy("n").agg(F.sum(F.least("c", "rc")).alias("right"))
     size = lambda n: F.greatest(F.size("h") - n + 1, F.lit(0))
-    counters = [(f"g{n}", size(n)) for n in range(1, most + 1)] + [("hl", F.size("h")), ("rl", F.size("r"))]
+    counters = [(f"g{n}", size(n)) for n in range(1, most + 1)] + [("hl", F.size("h")), ("rl", F.col("rs"))]
     rows = w.select(F.explode(F.array(*[F.struct(F.lit(name).alias("name"), value.cast("long").alias("v")) for name, value in counters])).alias("x")).select("x.name", "x.v")
     rows = rows.unionByName(right.select(F.concat(F.lit("c"), F.col("n").cast("string")).alias("name"), F.col("right").alias("v")))
     names = [name for name, _ in counters] + [f"c{n}" for n in range(1, most + 1)]
@@ -68,18 +78,20 @@ def cider(pairs: DataFrame, key: str, hyp: str, ref: str, most: int = 4, sigma:
 
     Document frequencies are those of the references; a length is the number of bigrams.
     """
-    w = pairs.select(key, words_of(F.col(hyp)).alias("h"), words_of(F.col(ref)).alias("r"))
-    n_docs = F.log(w.agg(F.count(F.lit(1)).cast("double").alias("n")).scalar())
-    refs = _counted(w, [key], "r", most)
-    df = refs.groupBy("n", "gram").agg(F.count(F.lit(1)).alias("df"))
+    w, distinct = _worded(pairs, key, hyp, ref)
+    n_docs = F.log(distinct.agg(F.sum("times").cast("double").alias("n")).scalar())
+    refs = _counted(distinct, ["rid", "times"], "r", most)
+    df = refs.groupBy("n", "gram").agg(F.sum("times").alias("df"))
     weigh = lambda t: t.join(df, ["n", "gram"], "left").withColumn("w", F.col("c") * (n_docs - F.log(F.greatest(F.coalesce("df", F.lit(1)), F.lit(1)).cast("double")))).drop("df", "c")
-    hw, rw = weigh(_counted(w, [key], "h", most)), weigh(refs)
-    norm = lambda t, name: t.groupBy(key, "n").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias(name))
-    dots = hw.join(rw.withColumnRenamed("w", "rw"), [key, "n", "gram"]).groupBy(key, "n").agg(F.sum(F.least("w", "rw") * F.col("rw")).alias("dot"))
-    cos = dots.join(norm(hw, "hn"), [key, "n"]).join(norm(rw, "rn"), [key, "n"])
+    hw, rw = weigh(_counted(w, [key, "rid"], "h", most)), weigh(refs.drop("times"))
+    rn = rw.groupBy("rid", "n").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("rn"))
+    met = hw.join(rw.withColumnRenamed("w", "rw"), ["rid", "n", "gram"], "left")
+    # one pass gives both a text's norm and its product with its reference
+    dots = met.groupBy(key, "rid", "n").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("hn"), F.sum(F.least("w", "rw") * F.col("rw")).alias("dot"))
+    cos = dots.filter("dot IS NOT NULL").join(rn, ["rid", "n"])
     value = F.when((F.col("hn") != 0) & (F.col("rn") != 0), F.col("dot") / (F.col("hn") * F.col("rn"))).otherwise(F.col("dot"))
     summed = cos.groupBy(key).agg(F.sum(value).alias("s"))
-    delta = F.greatest(F.size("h") - 1, F.lit(0)) - F.greatest(F.size("r") - 1, F.lit(0))
+    delta = F.greatest(F.size("h") - 1, F.lit(0)) - F.greatest(F.col("rs") - 1, F.lit(0))
     penalty = F.exp(-(delta * delta) / F.lit(2 * sigma * sigma))
     return w.select(key, penalty.alias("p")).join(summed, key, "left").select(key, (F.coalesce("s", F.lit(0.0)) * F.col("p") / most * 10).alias("cider"))
 
@@ -93,10 +105,10 @@ def zscore_fusion(df: DataFrame, group: list[str], first: str, second: str, weig
 
 def softmax_confidence(df: DataFrame, group: list[str], score: str, threshold: float) -> DataFrame:
     """(group, confidence, is_clear): the greatest softmax share of a group's scores."""
-    top = F.max(score)
-    shares = df.groupBy(*group).agg(top.alias("_top"), F.collect_list(score).alias("_all"))
-    total = F.aggregate(F.col("_all"), F.lit(0.0), lambda s, x: s + F.exp(x - F.col("_top")))
-    return shares.select(*group, (1 / total).alias("confidence"), (1 / total >= threshold).alias("is_clear"))
+    top = df.groupBy(*[F.col(g).alias(f"_g{j}") for j, g in enumerate(group)]).agg(F.max(score).alias("_top"))
+    met = df.join(top, [F.col(g).eqNullSafe(F.col(f"_g{j}")) for j, g in enumerate(group)])
+    total = met.groupBy(*group).agg(F.sum(F.exp(F.col(score) - F.col("_top"))).alias("_total"))
+    return total.select(*group, (1 / F.col("_total")).alias("confidence"), (1 / F.col("_total") >= threshold).alias("is_clear"))
 
 
 def gap_confidence(scores: Column) -> Column:
@@ -130,5 +142,7 @@ def two_level_mean(df: DataFrame, outer: list[str], inner: list[str], value: str
 def validation_summary(df: DataFrame, valid: str, message: str) -> DataFrame:
     """Valid and invalid rows, their rate, and the first three distinct messages in order of text."""
     ok = F.col(valid)
-    errors = F.slice(F.array_sort(F.collect_set(F.when(~ok, F.col(message)))), 1, 3)
-    return df.agg(F.count_if(ok).alias("valid"), F.count_if(~ok).alias("invalid"), _over(F.count_if(ok), F.count(F.lit(1))).alias("rate"), F.array_join(errors, "; ").alias("errors"))
+    first = df.filter(~ok & F.col(message).isNotNull()).select(F.col(message).alias("m")).distinct().orderBy("m").limit(3)
+    errors = first.agg(F.array_join(F.array_sort(F.collect_list("m")), "; ").alias("errors"))
+    counts = df.agg(F.count_if(ok).alias("valid"), F.count_if(~ok).alias("invalid"), _over(F.count_if(ok), F.count(F.lit(1))).alias("rate"))
+    return counts.withColumn("errors", errors.scalar())

@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(app: str = "tidewright", cpus: str | None = None, **conf: str) -> SparkSession:
-    """A local session with the settings the engine expects; on a cluster pass your own instead.
+    """A local session with the settings the engine expects; on a cluster pass your own instead, or settings in *conf*.
 
-    Adaptive execution stays on so that partition counts, skewed joins and small
+    The small number of shuffle partitions is for local runs of one process: a cluster's session sets its own. Adaptive execution stays on so that partition counts, skewed joins and small
     broadcasts are decided from run-time sizes rather than from constants here.
     """
     cores = cpus or os.environ.get("BENCH_CPUS", "*")
