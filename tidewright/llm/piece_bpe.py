@@ -6,8 +6,8 @@ at a place, and the one that belongs there is the one that is compatible with th
 prefix before it, that is, whose pair with it encodes to just these two. The ids are then read backwards from the end.
 
 No piece of these vocabularies crosses from a word into a following blank, or holds a line feed, so a text is
-encoded word by word and the words' ids are kept in a bounded table. Where a run of blanks is involved, whose
-pieces may share one score, ties are settled by running the merges themselves.
+encoded word by word and the words' ids are kept in a bounded table. Words of any length, blank runs and characters that no
+piece holds all go through the table. The merges themselves run only on pairs of pieces, to test whether they are compatible.
 """
 
 from __future__ import annotations
@@ -41,6 +41,7 @@ class PieceModel:
         if any(MARK in p.lstrip(MARK) or "\n" in p for p in self.ids):
             raise ValueError("a piece goes on after a word's end, so words can't be encoded one by one")
         self.bytes_of = {i: bytes([b]) for b, i in self.byte_ids.items()} | {i: p.replace(MARK, " ").encode() for p, i in self.ids.items()}
+        self.bytes_named = {str(i): b for i, b in self.bytes_of.items()}
         self.automaton = ahocorasick.Automaton()
         for p, i in self.ids.items():
             if self.merge(p) == [i]:  # other pieces are never the outcome of merges
@@ -85,10 +86,10 @@ class PieceModel:
             fits = self.fits[a, b] = self.merge(self.pieces[a] + self.pieces[b]) == [a, b]
         return fits
 
-    def word(self, unit: str) -> list[int]:
-        """Ids of a word with at most one mark, at its start, by the prefix table."""
+    def unit(self, unit: str) -> list[int]:
+        """Ids of a word with the blanks before it, by the prefix table. A character that no piece holds stands alone, as bytes."""
         n, fits = len(unit), self.fits
-        last: list[int | None] = [None] * (n + 1)  # None after a character that no piece holds: it stands alone, as bytes
+        last: list[int | None] = [None] * (n + 1)  # None at the start and after a character that no piece holds: nothing merges across it
         size = [1] * (n + 1)
         for end, (length, i) in self.automaton.iter(unit):
             before = last[end + 1 - length]
@@ -110,12 +111,6 @@ class PieceModel:
         out.reverse()
         return out
 
-    def unit(self, unit: str) -> list[int]:
-        """Ids of a word with the blanks before it; all characters that no piece holds separate what can be merged."""
-        if unit[1:2] == MARK or len(unit) > 200 or not unit.isprintable():
-            return self.merge(unit)
-        return self.word(unit)
-
     def units(self, text: str) -> list[str]:
         return _UNITS(MARK + text.replace(" ", MARK)) if text else []
 
@@ -126,22 +121,29 @@ class PieceModel:
     def encode_joined(self, text: str | None) -> str:
         """The ids in decimal, joined by commas; words met before are looked up."""
         words, parts = self.words, self.units(text or "")
-        out = []
-        for unit in parts:
-            have = words.get(unit)
-            if have is None:
-                have = ",".join(map(str, self.unit(unit)))
-                if len(unit) <= 40:
-                    if len(words) >= self.cache_words:
-                        words.clear()
-                    words[unit] = have
-            out.append(have)
+        out = list(map(words.get, parts))
+        if None in out:
+            for at, have in enumerate(out):
+                if have is None:
+                    unit = parts[at]
+                    out[at] = words.get(unit) or ",".join(map(str, self.unit(unit)))
+                    if len(unit) <= 40:
+                        if len(words) >= self.cache_words:
+                            words.clear()
+                        words[unit] = out[at]
         return ",".join(out)
 
     def decode(self, ids: Iterable[int]) -> str:
         """The text of *ids*: pieces joined, marks as blanks, the dummy prefix's blank dropped, byte runs read as UTF-8."""
-        raw = b"".join(map(self.bytes_of.__getitem__, ids))
-        return raw.decode("utf-8", "replace").removeprefix(" ")
+        return self._read(map(self.bytes_of.__getitem__, ids))
+
+    def decode_joined(self, joined: str) -> str:
+        """decode() of ids in decimal, joined by commas."""
+        return self._read(map(self.bytes_named.__getitem__, joined.split(","))) if joined else ""
+
+    @staticmethod
+    def _read(parts: Iterable[bytes]) -> str:
+        return b"".join(parts).decode("utf-8", "replace").removeprefix(" ")
 
 
 _UNITS = re.compile(f"\n|{MARK}+[^{MARK}\n]*|[^{MARK}\n]+").findall
@@ -155,11 +157,12 @@ def load_model(path: str) -> PieceModel:
     return _models[path]
 
 
-def piece_encode(docs: DataFrame, model_path: str, texts: bool = True) -> DataFrame:
+def piece_encode(docs: DataFrame, model_path: str) -> DataFrame:
     """*docs* (text, ...) with the columns ids (array of int) and decoded (text) added.
 
-    Null and empty texts give no ids and an empty decoded text. Other columns pass through, but columns named ids or
-    decoded are replaced. *model_path* must be readable on every executor (the vocabulary files are installed with Python).
+    Null and empty texts give no ids and an empty decoded text. Texts of any length are encoded whole. Rows are independent, so
+    repeated rows and ties stay as they are, and an empty table gives an empty table. Other columns, nulls in them too, pass
+    through, but columns named ids or decoded are replaced. *model_path* must be readable on every executor (the vocabulary files are installed with Python).
     """
     docs = docs.drop("ids", "decoded")
     schema = StructType([*docs.schema.fields, StructField("ids", ArrayType(IntegerType())), StructField("decoded", StringType())])
@@ -178,7 +181,10 @@ def piece_encode(docs: DataFrame, model_path: str, texts: bool = True) -> DataFr
 
 
 def piece_digests(docs: DataFrame, model_path: str, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """*keep* columns with n_tokens, ids_sha256 and decoded_sha256 of each whole text's encoding and its decoding."""
+    """*keep* columns with n_tokens, ids_sha256 and decoded_sha256 of each whole text's encoding and its decoding.
+
+    Null and empty texts have no tokens, and the digests of an empty string. Columns that aren't in *keep* don't matter.
+    """
     from hashlib import sha256
 
     fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
@@ -189,7 +195,7 @@ def piece_digests(docs: DataFrame, model_path: str, keep: tuple[str, ...] = ("do
             rows = []
             for t in batch.column(len(keep)):
                 joined = model.encode_joined(t.as_py())
-                decoded = model.decode(map(int, joined.split(","))) if joined else ""
+                decoded = model.decode_joined(joined)
                 n = joined.count(",") + 1 if joined else 0
                 rows.append((n, sha256(joined.encode()).hexdigest(), sha256(decoded.encode()).hexdigest()))
             n, a, b = zip(*rows, strict=True) if rows else ((), (), ())
