@@ -4,24 +4,26 @@ Each language has a probability for every piece of a fixed vocabulary. The proba
 cut it into pieces, found by the forward recursion; that of a text is the product over its words, so the words of a text are
 counted and each is summed once. The probabilities are learnt by expectation and maximisation: the
 backward recursion gives the expected number of times that each piece is used, over all segmentations.
-Words of one length are worked on together, for all languages at once.
+An automaton lists the pieces that a word holds. Many words are worked on together, for all languages at once, in logarithms, so
+a word may have any length.
 """
 
 from __future__ import annotations
 
 from collections import Counter, defaultdict
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewright.llm.shared import held_out
+from tidewright.llm.shared import held_out, written
 
-#: Longest piece that is used, and longest stretch of a word that is summed as one; a longer word is several stretches.
-_PIECE, _WORD = 8, 24
+#: More than the longest piece of any vocabulary.
+_LONGEST = 256
 
 
 def load_vocabulary(path: str) -> dict[str, int]:
@@ -31,58 +33,88 @@ def load_vocabulary(path: str) -> dict[str, int]:
     model = sentencepiece.SentencePieceProcessor(model_file=path)
     n = model.get_piece_size()
     pieces = [model.id_to_piece(i) for i in range(n) if not (model.is_byte(i) or model.is_control(i) or model.is_unknown(i))]
-    return {p: i for i, p in enumerate(p for p in pieces if len(p) <= _PIECE)}
+    return {p: i for i, p in enumerate(pieces)}
 
 
 def words_of(text: str) -> Iterator[str]:
-    """Lower-cased words with the start mark, cut into stretches of at most _WORD characters; words without a letter don't count."""
+    """Lower-cased whole words with the start mark; words without a letter don't count."""
     for word in text.lower().split():
-        if len(word) < _WORD:
-            if word.isalpha() or any(map(str.isalpha, word)):
-                yield "▁" + word
-        elif any(map(str.isalpha, word)):
-            marked = "▁" + word
-            for i in range(0, len(marked), _WORD):
-                yield marked[i : i + _WORD]
-
-
-def _spans(words: list[str], vocabulary: dict[str, int]) -> dict[tuple[int, int], np.ndarray]:
-    """Rows of the pieces at every place of equally long words; the last row stands for a single unknown character, -1 for none."""
-    n, unknown = len(words[0]), len(vocabulary)
-    found = {}
-    for i in range(n):
-        for j in range(i + 1, min(n, i + _PIECE) + 1):
-            missing = unknown if j == i + 1 else -1
-            found[i, j] = np.fromiter((vocabulary.get(w[i:j], missing) for w in words), np.int64, len(words))
-    return found
-
-
-def _forward(spans: dict[tuple[int, int], np.ndarray], p: np.ndarray, n: int, count: int) -> np.ndarray:
-    """Sums over the segmentations of each prefix: (n + 1, words, languages). Row -1 of *p* is zero."""
-    alpha = np.zeros((n + 1, count, p.shape[1]))
-    alpha[0] = 1
-    for j in range(1, n + 1):
-        for i in range(max(0, j - _PIECE), j):
-            alpha[j] += alpha[i] * p[spans[i, j]]
-    return alpha
-
-
-def _backward(spans: dict[tuple[int, int], np.ndarray], p: np.ndarray, n: int, count: int) -> np.ndarray:
-    beta = np.zeros((n + 1, count, p.shape[1]))
-    beta[n] = 1
-    for i in range(n - 1, -1, -1):
-        for j in range(i + 1, min(n, i + _PIECE) + 1):
-            beta[i] += p[spans[i, j]] * beta[j]
-    return beta
-
-
-def _by_length(words: list[str], most: int = 20_000) -> Iterator[list[int]]:
-    lengths = defaultdict(list)
+        if word.isalpha() or any(map(str.isalpha, word)):
+            yield "▁" + word
+
+
+class Lattice:
+    """All places of pieces in *words*. Word w has a node before each of its characters and one after the last."""
+
+    def __init__(self, words: list[str], finder: PieceFinder) -> None:
+        lengths = np.fromiter(map(len, words), np.int64, len(words))
+        self.first = np.concatenate([[0], np.cumsum(lengths[:-1] + 1)]) if len(words) else lengths
+        self.last = self.first + lengths
+        self.nodes = int(lengths.sum()) + len(words)
+        # joined with line feeds, which no word holds, a character's place is its node
+        ends, rows, sizes = finder.find("\n".join(words))
+        self.row, self.start, self.end = rows, ends - sizes, ends
+        word = np.searchsorted(self.first, self.start, "right") - 1
+        self.depth, self.rest = ends - self.first[word], self.last[word] - self.start
+        self.word = word
+
+
+class PieceFinder:
+    """Finds every place of every piece of a vocabulary; a character that is no piece counts as one of the row after the last."""
+
+    def __init__(self, vocabulary: dict[str, int]) -> None:
+        import ahocorasick
+
+        self.automaton = ahocorasick.Automaton()
+        for piece, row in vocabulary.items():
+            if "\n" not in piece:
+                self.automaton.add_word(piece, row * _LONGEST + len(piece))
+        if vocabulary:
+            self.automaton.make_automaton()
+        self.unknown = len(vocabulary)
+        self.single = np.array(sorted({ord(p) for p in vocabulary if len(p) == 1} | {10}), np.uint32)
+
+    def find(self, joined: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ends, rows, lengths) of the places of pieces in *joined*."""
+        hits = np.fromiter(chain.from_iterable(self.automaton.iter(joined)) if self.unknown else (), np.int64).reshape(-1, 2)
+        chars = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
+        alone = np.flatnonzero(~np.isin(chars, self.single)) + 1
+        ends = np.concatenate([hits[:, 0] + 1, alone])
+        rows = np.concatenate([hits[:, 1] // _LONGEST, np.full(len(alone), self.unknown)])
+        return ends, rows, np.concatenate([hits[:, 1] % _LONGEST, np.ones(len(alone), np.int64)])
+
+
+def _sums(lattice: Lattice, p: np.ndarray, forward: bool) -> np.ndarray:
+    """Logarithms of the sums over the segmentations before each node (or after it): (nodes, languages).
+
+    Steps go by the distance from a word's start (or end), over all words at once. Each sum is taken in proportion to that of
+    the neighbouring node, so neither long words nor unlikely ones underflow.
+    """
+    to, by, step, near = (lattice.end, lattice.start, lattice.depth, -1) if forward else (lattice.start, lattice.end, lattice.rest, 1)
+    order = np.lexsort((to, step))
+    to, by, row = to[order], by[order], lattice.row[order]
+    out = np.zeros((lattice.nodes, p.shape[1]))
+    cuts = np.flatnonzero(np.diff(step[order])) + 1
+    for a, b in zip([0, *cuts], [*cuts, len(to)], strict=True):
+        if a == b:
+            continue
+        at = to[a:b]
+        new = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
+        parts = np.exp(out[by[a:b]] - out[at + near]) * p[row[a:b]]
+        out[at[new]] = out[at[new] + near] + np.log(np.add.reduceat(parts, new, axis=0))
+    return out
+
+
+def _chunks(words: list[str], most_chars: int = 400_000) -> Iterator[slice]:
+    """Slices of *words* of about *most_chars* characters."""
+    begin = size = 0
     for at, word in enumerate(words):
-        lengths[len(word)].append(at)
-    for group in lengths.values():
-        for i in range(0, len(group), most):
-            yield group[i : i + most]
+        size += len(word) + 1
+        if size >= most_chars:
+            yield slice(begin, at + 1)
+            begin, size = at + 1, 0
+    if begin < len(words):
+        yield slice(begin, len(words))
 
 
 def _portions(texts: pa.Array, most_chars: int = 2_000_000) -> Iterator[list[str | None]]:
@@ -100,23 +132,30 @@ def _portions(texts: pa.Array, most_chars: int = 2_000_000) -> Iterator[list[str
 
 @dataclass
 class LanguageModel:
-    """languages in order; p: probability of each piece (rows; then one for an unknown character, then zeros) by language."""
+    """languages in order; p: probability of each piece (rows; then one for an unknown character) by language."""
 
     languages: list[str]
     p: np.ndarray
     vocabulary: dict[str, int]
+    finder: PieceFinder = field(init=False, repr=False)
+
+    def __post_init__(self) -> None:
+        self.finder = PieceFinder(self.vocabulary)
 
     def word_scores(self, words: list[str]) -> np.ndarray:
         """Log probability of each word in each language."""
         out = np.zeros((len(words), len(self.languages)))
-        for group in _by_length(words):
-            own = [words[i] for i in group]
-            n = len(own[0])
-            out[group] = np.log(_forward(_spans(own, self.vocabulary), self.p, n, len(own))[n])
+        for part in _chunks(words):
+            lattice = Lattice(words[part], self.finder)
+            out[part] = _sums(lattice, self.p, True)[lattice.last]
         return out
 
-    def scorer(self, cache_words: int = 500_000):
-        """A function from texts to (language, share of its probability) each; und and 0 where a text has no letter."""
+    def scorer(self, cache_cells: int = 2_000_000):
+        """A function from texts to (language, share of its probability) each; und and 0 where a text has no letter.
+
+        The scores of words are kept in a table of *cache_cells* numbers at most, whatever the number of languages.
+        """
+        cache_words = max(1, cache_cells // max(1, len(self.languages)))
         rows: dict[str, int] = {}
         table = np.zeros((cache_words, len(self.languages)))
 
@@ -157,37 +196,37 @@ class LanguageModel:
 
 def fit_languages(counts: list[Counter[str]], languages: list[str], vocabulary: dict[str, int], rounds: int = 3, smoothing: float = 0.1) -> LanguageModel:
     """Expectation and maximisation over the words' *counts* of each language; every piece keeps *smoothing* of a use."""
-    k, unknown = len(languages), len(vocabulary)
+    k, n_rows = len(languages), len(vocabulary) + 1
     words = sorted(set().union(*counts)) if counts else []
     weight = np.array([[c[w] for c in counts] for w in words], float).reshape(-1, k)
-    p = np.full((unknown + 2, k), 1 / (unknown + 1))
-    p[-1] = 0
-    groups = [(group, _spans([words[i] for i in group], vocabulary)) for group in _by_length(words)]
+    model = LanguageModel(languages, np.full((n_rows, k), 1 / n_rows), vocabulary)
     for _ in range(rounds):
-        used = np.full((unknown + 2, k), smoothing)
-        for group, spans in groups:
-            n = len(words[group[0]])
-            alpha, beta = _forward(spans, p, n, len(group)), _backward(spans, p, n, len(group))
-            share = weight[group] / alpha[n]
-            for (i, j), row in spans.items():
-                use = alpha[i] * p[row] * beta[j] * share
-                for lang in range(k):
-                    used[:, lang] += np.bincount(np.where(row < 0, unknown + 1, row), use[:, lang], unknown + 2)
-        used[-1] = 0
-        p = used / used.sum(axis=0)
-    return LanguageModel(languages, p, vocabulary)
-
-
-def fit_on_documents(docs: DataFrame, vocabulary_path: str, per_language: int = 300, **options) -> LanguageModel:
-    """The model learnt from about *per_language* documents of each language (a documented bound), none of them held out.
-
-    Words are counted over whole texts, on the executors; the counts of that sample go to the driver.
+        used = np.full((n_rows, k), smoothing)
+        for part in _chunks(words):
+            lattice = Lattice(words[part], model.finder)
+            before, after = _sums(lattice, model.p, True), _sums(lattice, model.p, False)
+            whole = before[lattice.last][lattice.word]
+            use = np.exp(before[lattice.start] + after[lattice.end] - whole) * model.p[lattice.row] * weight[part][lattice.word]
+            for lang in range(k):
+                used[:, lang] += np.bincount(lattice.row, use[:, lang], n_rows)
+        model.p = used / used.sum(axis=0)
+    return model
+
+
+def fit_on_documents(docs: DataFrame, vocabulary_path: str, per_language: int = 300, rows: int = 30_000, **options) -> LanguageModel:
+    """The model learnt from about *per_language* documents of each language, about *rows* of all together at most, none held out.
+
+    Both bounds are parameters; the first gives way to the second, down to one document of a language. Words are counted over
+    whole texts, on the executors; the counts of that sample go to the driver. Documents without doc_id or lang aren't learnt from.
+    Without any that can be, no language is known.
     """
     known = docs.filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-    sizes = known.groupBy("lang").agg(F.count(F.lit(1)).alias("_n")).persist()
-    if sizes.count() <= 100_000:  # a row per language: with so few it can go to every executor
+    sizes = written(known.groupBy("lang").agg(F.count(F.lit(1)).alias("_n")), "languages")
+    n = sizes.count()
+    if n <= 100_000:  # a row per language: with so few it can go to every executor
         sizes = F.broadcast(sizes)
-    chosen = F.pmod(F.xxhash64(F.lit(11), F.col("doc_id")), F.col("_n")) < per_language
+    each = max(1, min(per_language, rows // max(1, n)))
+    chosen = F.pmod(F.xxhash64(F.lit(11), F.col("doc_id")), F.col("_n")) < each
     sample = known.select("doc_id", "lang", "text").join(sizes, "lang").filter(chosen).select("lang", "text")
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -205,14 +244,16 @@ def fit_on_documents(docs: DataFrame, vocabulary_path: str, per_language: int =
         counts[lang][word] = n
     languages = sorted(counts)
     if not languages:
-        return LanguageModel([], np.zeros((0, 0)), {})
+        return LanguageModel([], np.zeros((1, 0)), {})
     return fit_languages([counts[x] for x in languages], languages, load_vocabulary(vocabulary_path), **options)
 
 
 def predict_language(docs: DataFrame, model: LanguageModel) -> DataFrame:
     """(doc_id, lang_pred, score): the likeliest language of each whole text and its share of the probability.
 
-    A text that is null or has no letter is und, with score 0, and so is every text where no language was learnt.
+    A text that is null, empty or has no letter is und, with score 0, and so is every text where no language was learnt. Texts of
+    any length count whole. Of languages that tie the first by code point is taken. Every row of *docs* (doc_id, text) gives a row,
+    repeated ones and those without doc_id too; other columns don't matter, and an empty table gives an empty table.
     """
     sent = docs.sparkSession.sparkContext.broadcast((model.languages, model.p.astype(np.float32), model.vocabulary))
 
