@@ -34,7 +34,7 @@ def _matrix(table: pa.Table, column: str) -> np.ndarray:
 
 def _quantise(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(codes, scales, residual norms): x = scale * code + residual, codes from -127 to 127."""
-    scale = np.abs(x).max(axis=1) / 127
+    scale = np.abs(x).max(axis=1, initial=0) / 127
     scale[scale == 0] = 1
     code = np.rint(x / scale[:, None]).astype(np.int8)
     return code, scale, np.sqrt(((x - scale[:, None] * code) ** 2).sum(axis=1))
@@ -46,33 +46,49 @@ def _product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (a.astype(kind) @ b.astype(kind).T).astype(np.float64)
 
 
+def _distances(points: np.ndarray, query: np.ndarray) -> np.ndarray:
+    """Euclidean distances, summed in the order of the components; where the squares leave the range of doubles, in scaled numbers."""
+    exact = np.zeros(len(points))
+    for d in (points - query).T:  # as a plain loop over the components would
+        exact += d * d
+    out = np.sqrt(exact)
+    for j in np.flatnonzero(~np.isfinite(exact) | (exact < 1e-290)):
+        d = np.abs(points[j] - query)
+        most = d.max(initial=0.0)
+        out[j] = most * np.sqrt(((d / most) ** 2).sum()) if 0 < most < np.inf else most
+    return out
+
+
 def search_tile(queries: np.ndarray, points: np.ndarray, ids: np.ndarray, k: int) -> list[tuple[int, int, float]]:
-    """(query's row, id, distance) of each query's *k* nearest *points*, ties to the smaller id; found through the bounds."""
+    """(query's row, id, distance) of each query's *k* nearest *points*, ties to the smaller id; found through the bounds.
+
+    A bound that isn't a number, as components of 1e200 make, excludes nothing: such pairs are computed again.
+    """
     out: list[tuple[int, int, float]] = []
-    pc, ps, pr = _quantise(points)
-    pn = (points**2).sum(axis=1)
-    hats = np.sqrt(pn) + pr
-    for at in range(0, len(queries), 256):
-        q = queries[at : at + 256]
-        qc, qs, qr = _quantise(q)
-        qn = (q**2).sum(axis=1)
-        square = qn[:, None] + pn[None, :] - 2 * (qs[:, None] * ps[None, :]) * _product(qc, pc)
-        # |a.b - a'.b'| <= |a'| |eb| + |ea| |b|, with a' and b' the quantised vectors; the last term covers rounding
-        size = np.sqrt(qn) + qr
-        slack = 2 * (size[:, None] * pr[None, :] + qr[:, None] * hats[None, :]) + 1e-9 * (qn[:, None] + pn[None, :])
-        kth = np.partition(square + slack, min(k, len(points)) - 1, axis=1)[:, min(k, len(points)) - 1]
-        for i, row in enumerate(square - slack <= kth[:, None]):
-            left = np.flatnonzero(row)
-            exact = np.zeros(len(left))
-            for d in (points[left] - q[i]).T:  # summed in the order of the components, as a plain loop would
-                exact += d * d
-            exact = np.sqrt(exact)
-            order = np.lexsort((ids[left], exact))[:k]
-            out += [(at + i, int(ids[left[j]]), float(exact[j])) for j in order]
+    with np.errstate(over="ignore", invalid="ignore", under="ignore"):
+        pc, ps, pr = _quantise(points)
+        pn = (points**2).sum(axis=1)
+        hats = np.sqrt(pn) + pr
+        for at in range(0, len(queries), 256):
+            q = queries[at : at + 256]
+            qc, qs, qr = _quantise(q)
+            qn = (q**2).sum(axis=1)
+            square = qn[:, None] + pn[None, :] - 2 * (qs[:, None] * ps[None, :]) * _product(qc, pc)
+            # |a.b - a'.b'| <= |a'| |eb| + |ea| |b|, with a' and b' the quantised vectors; the last terms cover rounding
+            size = np.sqrt(qn) + qr
+            slack = 2 * (size[:, None] * pr[None, :] + qr[:, None] * hats[None, :]) + 1e-9 * (qn[:, None] + pn[None, :]) + 1e-280
+            upper = square + slack
+            upper[np.isnan(upper)] = np.inf
+            kth = np.partition(upper, min(k, len(points)) - 1, axis=1)[:, min(k, len(points)) - 1]
+            for i, row in enumerate(~(square - slack > kth[:, None])):
+                left = np.flatnonzero(row)
+                exact = _distances(points[left], q[i])
+                order = np.lexsort((ids[left], exact))[:k]
+                out += [(at + i, int(ids[left[j]]), float(exact[j])) for j in order]
     return out
 
 
-def block_search(vectors: DataFrame, queries: DataFrame, k: int = 10, group_rows: int = 8192, query_rows: int = 1024) -> DataFrame:
+def block_search(vectors: DataFrame, queries: DataFrame, k: int = 10, group_rows: int = 8192, query_rows: int = 8192) -> DataFrame:
     """(query_id, rank, vec_id, score): each query's *k* nearest of *vectors* by Euclidean distance, its own row left out.
 
     Both tables: vec_id long, embedding array of numbers; other columns don't matter. Vectors that are null, zero or
