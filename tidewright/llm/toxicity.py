@@ -25,8 +25,6 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 
 from tidewright.llm.training import labelled_sample
 
-#: Words of open abuse: a public, ordinary list that splits labelled documents into explicit and coded ones.
-EXPLICIT = ("clown", "disgusting", "idiot", "loser", "moron", "pathetic", "scum", "stupid", "trash", "worthless")
 #: The chain's order. The last one is the label itself.
 CATEGORIES = ("explicit", "coded", "toxic")
 #: Stands for "holds any feature" where features are named by their hashes.
@@ -118,12 +116,12 @@ class ChainModel:
         return score
 
 
-def fit_chain(features: list[np.ndarray], labels: np.ndarray, categories: tuple[str, ...], folds: int = 5, least_docs: int = 3, chi2: float = 40.0, purity: float = 0.95, most_features: int = 20_000) -> ChainModel:
+def fit_chain(features: list[np.ndarray], labels: np.ndarray, categories: tuple[str, ...], folds: int = 5, least_docs: int = 3, chi2: float = 40.0, lift: float = 5.0, most_features: int = 20_000) -> ChainModel:
     """The chain over *labels* (rows by categories, 0 or 1). Row j belongs to fold j modulo *folds*.
 
-    A feature is kept if at least *least_docs* rows have it and for some category a share of at least *purity* of them is in it, with a
-    chi-squared statistic of at least *chi2* and more rows than chance gives to any of so many features; at most
-    *most_features* are kept. Common words, which come with length, drop out.
+    A feature is kept if at least *least_docs* rows have it and for some category the share of them that is in it is at least *lift* times
+    the category's own (half of them at most are asked for), with a chi-squared statistic of at least *chi2* and more rows than chance
+    gives to any of so many features; at most *most_features* are kept. Common words, which come with length, drop out.
     """
     n = len(features)
     cols = np.concatenate(features).astype(np.int32) if n else np.zeros(0, np.int32)
@@ -139,7 +137,7 @@ def fit_chain(features: list[np.ndarray], labels: np.ndarray, categories: tuple[
             stat = (a - have * p) ** 2 / (have * p * (1 - p) * (1 - have / n))
         # by chance a rows of a feature are all in the category with p ** a; over all features that must stay unlikely
         sure = a * -math.log(max(p, 1e-9)) >= math.log(max(len(names), 1)) + 8
-        best = np.fmax(best, np.where(sure & (a >= purity * have), np.nan_to_num(stat, posinf=0.0), 0.0))
+        best = np.fmax(best, np.where(sure & (a >= min(0.5, lift * p) * have), np.nan_to_num(stat, posinf=0.0), 0.0))
     able = np.flatnonzero((best >= chi2) & (have >= least_docs))
     chosen = np.sort(names[able[np.argsort(-best[able], kind="stable")[:most_features]]])
     place = np.searchsorted(chosen, cols).clip(0, max(len(chosen) - 1, 0))
@@ -180,41 +178,64 @@ def without_copies(features: list[np.ndarray], labels: list[tuple]) -> list[int]
     return sorted(j for rows in kept.values() for j in rows)
 
 
+def explicit_rows(features: list[np.ndarray], toxic: np.ndarray, share: float = 0.5, least_docs: int = 3) -> np.ndarray:
+    """1 for the toxic rows that hold one of the most telling features, taken by chi-squared until *share* of the toxic rows hold one."""
+    n, total = len(features), int(toxic.sum())
+    if not total or total == n:
+        return np.zeros(n, np.int64)
+    cols = np.concatenate(features)
+    rows = np.repeat(np.arange(n), [len(f) for f in features])
+    names, have = np.unique(cols, return_counts=True)
+    own, counts = np.unique(cols[toxic[rows] == 1], return_counts=True)
+    a, p = np.zeros(len(names)), total / n
+    a[np.searchsorted(names, own)] = counts
+    with np.errstate(divide="ignore", invalid="ignore"):
+        stat = np.nan_to_num((a - have * p) ** 2 / (have * p * (1 - p) * (1 - have / n)), posinf=0.0)
+    able = np.flatnonzero((have >= least_docs) & (a > have * p))
+    held = np.zeros(n, bool)
+    for f in names[able[np.argsort(-stat[able], kind="stable")]]:
+        if held.sum() >= share * total:
+            break
+        held[rows[cols == f]] = True
+        held &= toxic == 1
+    return held.astype(np.int64)
+
+
 def fit_toxicity(docs: DataFrame, labels: DataFrame, rows: int = 6000, **options) -> ChainModel:
     """The chain of CATEGORIES learnt from about *rows* labelled documents (a documented bound), whole texts.
 
-    A document labelled toxic is explicit if it holds a word of EXPLICIT, else coded.
+    *docs*: doc_id, text; *labels*: doc_id, toxic; other columns don't matter. Null texts are empty ones; rows without doc_id or
+    label aren't learnt from; repeated labels count once, with the largest. Without any labelled text the probabilities are one half.
     """
 
     def prepared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            held = [text_words(t.as_py()) for t in batch.column(1)]
-            ids = [sorted(text_features(words)) for words in held]
-            explicit = [not words.isdisjoint(EXPLICIT) for words in held]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(explicit, pa.bool_()), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "label", "explicit", "ids"])
+            ids = [sorted(text_features(text_words(t.as_py()))) for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "label", "ids"])
 
     def fitted(sample: pa.Table) -> pa.Table:
         sample = sample.sort_by("doc_id")
         toxic = np.array([int(y > 0) for y in sample.column("label").to_pylist()], np.int64)
-        explicit = np.array(sample.column("explicit").to_pylist(), bool).astype(np.int64) * toxic
         features = [np.asarray(x.values, np.int32) for x in sample.column("ids")]
+        explicit = explicit_rows(features, toxic)
         first = without_copies(features, list(zip(toxic.tolist(), explicit.tolist(), strict=True)))
         features, toxic, explicit = [features[j] for j in first], toxic[first], explicit[first]
         model = fit_chain(features, np.stack([explicit, toxic - explicit, toxic], axis=1), CATEGORIES, **options)
         return pa.table({"model": pa.array([pickle.dumps(model)], pa.binary())})
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    sample = labelled_sample(docs, labels, "toxic", rows).mapInArrow(prepared, f"doc_id {kind}, label int, explicit boolean, ids array<int>")
+    sample = labelled_sample(docs, labels, "toxic", rows).mapInArrow(prepared, f"doc_id {kind}, label int, ids array<int>")
     # the sample is bounded by *rows*: it is one group, fitted by one task, and only the model comes to the driver
     models = sample.withColumn("one", F.lit(1)).groupBy("one").applyInArrow(fitted, "model binary").collect()
     return pickle.loads(models[0][0]) if models else fit_chain([], np.zeros((0, len(CATEGORIES)), np.int64), CATEGORIES, **options)
 
 
 def score_toxicity(docs: DataFrame, model: ChainModel) -> DataFrame:
-    """*docs* (text, ...) with p_<category> for each category added, scored on whole texts.
+    """*docs* (text, ...) with p_<category> for each category added, scored on whole texts of any length.
 
-    Null and empty texts get the probabilities of a text without features. Other columns pass through, but columns
-    named p_<category> are replaced. Rows and their number never change.
+    Null and empty texts get the probabilities of a text without features. Other columns, nulls in them too, pass through, but
+    columns named p_<category> are replaced. Rows and their number never change: equal texts score alike, repeated rows stay, and an
+    empty table gives an empty table.
     """
     names = [f"p_{c}" for c in model.categories]
     docs = docs.drop(*names)
@@ -232,6 +253,11 @@ def score_toxicity(docs: DataFrame, model: ChainModel) -> DataFrame:
 
 
 def reject_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, **options) -> DataFrame:
-    """*docs* without those whose probability of being toxic is at least *threshold*."""
-    scored = score_toxicity(docs, fit_toxicity(docs, labels, **options))
-    return scored.filter(F.col("p_toxic") < threshold).select(*docs.columns)
+    """*docs* without those whose probability of being toxic is at least *threshold*, under the names and order of its columns.
+
+    The scores stand under names of their own, so columns of any name pass through. Nulls and copies as in score_toxicity().
+    """
+    model = fit_toxicity(docs, labels, **options)
+    held = docs.select("text", F.struct(*[F.col(f"`{c}`").alias(f"c{j}") for j, c in enumerate(docs.columns)]).alias("row"))
+    kept = score_toxicity(held, model).filter(F.col("p_toxic") < threshold)
+    return kept.select(*[F.col(f"row.c{j}").alias(c) for j, c in enumerate(docs.columns)])
