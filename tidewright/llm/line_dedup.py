@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewright.llm.shared import ascii_lower, written
+from tidewright.llm.shared import ascii_lower, unused_names, written
 
 _STRIP = " \t\n\x0b\x0c\r"
 
@@ -34,10 +34,10 @@ def line_dedup(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> DataF
     *min_docs* documents hold lose all their lines, except in the largest doc_id that holds them,
     which keeps every one. Other lines stay in place, whatever their number.
 
-    Null or empty texts are one empty line. Rows with the same doc_id are one document when holders
+    Null or empty texts are one empty line; texts of any length are taken whole. Rows with the same doc_id are one document when holders
     are counted. Rows without doc_id count together as one document that ranks below every other.
-    An empty table gives an empty table. Other columns pass through, except that kept_text,
-    n_lines and n_dropped replace columns of those names.
+    An empty table gives an empty table. Other columns, nulls in them and any names too, pass through, except that
+    kept_text, n_lines and n_dropped replace columns of those names.
     """
     docs = docs.drop("kept_text", "n_lines", "n_dropped")
     slim = docs.select("doc_id", "text")
@@ -63,28 +63,25 @@ def line_dedup(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> DataF
     )
     # as a table of its own it is shuffled for the join alone, so that adaptive execution can split the rows of a hot line
     common = written(common, "common-lines")
+    d, a, b, ka, kb, lost_at, split = unused_names(7, docs)
     lost = (
         keys.join(common, ["h1", "h2"])
         .filter(~F.col("row.d").eqNullSafe(F.col("keeper")))
         .groupBy("row")
-        .agg(F.collect_set("pos").alias("_lost"))
-        .select(F.col("row.d").alias("_d"), F.col("row.a").alias("_a"), F.col("row.b").alias("_b"), "_lost")
+        .agg(F.collect_set("pos").alias(lost_at))
+        .select(F.col("row.d").alias(d), F.col("row.a").alias(a), F.col("row.b").alias(b), lost_at)
     )
-    keyed = docs.withColumns({"_ka": F.xxhash64("text"), "_kb": F.xxhash64(F.lit(7), F.col("text"))})
-    met = keyed.join(
-        lost,
-        (keyed["_ka"] == lost["_a"]) & (keyed["_kb"] == lost["_b"]) & keyed["doc_id"].eqNullSafe(lost["_d"]),
-        "left",
-    ).drop("_ka", "_kb", "_a", "_b", "_d")
+    keyed = docs.withColumns({ka: F.xxhash64("text"), kb: F.xxhash64(F.lit(7), F.col("text"))})
+    met = keyed.join(lost, (F.col(ka) == F.col(a)) & (F.col(kb) == F.col(b)) & F.col("doc_id").eqNullSafe(F.col(d)), "left")
     n_lines = F.size(_lines(F.col("text"))).cast("long")
-    left = F.array_except(F.sequence(F.lit(0), F.size("_split") - 1), F.col("_lost"))
-    kept = F.when(F.col("_lost").isNull(), F.coalesce("text", F.lit(""))).otherwise(
-        F.array_join(F.transform(left, lambda i: F.element_at(F.col("_split"), i + 1)), "\n")
+    left = F.array_except(F.sequence(F.lit(0), F.size(split) - 1), F.col(lost_at))
+    kept = F.when(F.col(lost_at).isNull(), F.coalesce("text", F.lit(""))).otherwise(
+        F.array_join(F.transform(left, lambda i: F.element_at(F.col(split), i + 1)), "\n")
     )
     return (
         met.withColumn("n_lines", n_lines)
-        .withColumn("n_dropped", F.coalesce(F.size("_lost"), F.lit(0)).cast("long"))
-        .withColumn("_split", F.when(F.col("_lost").isNotNull(), _lines(F.col("text"))))
+        .withColumn("n_dropped", F.coalesce(F.size(lost_at), F.lit(0)).cast("long"))
+        .withColumn(split, F.when(F.col(lost_at).isNotNull(), _lines(F.col("text"))))
         .withColumn("kept_text", kept)
-        .drop("_split", "_lost")
+        .drop(d, a, b, ka, kb, lost_at, split)
     )

@@ -62,7 +62,7 @@ def op4_subword_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     decided, _ = mix(_table(spark, sf_dir, "documents"))
-    return decided.select("doc_id", "size", "source_size", "target", "taken")
+    return decided.select("doc_id", "size", "source_size", "target", "taken", "first_slot")
 
 
 def op6_block_search(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -125,21 +125,40 @@ k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id)
 SELECT query_id, rank, vec_id, score FROM k WHERE rank <= 10""",
     "op5_source_mix": r"""
 WITH d AS (
-  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
-         md5(coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+  SELECT doc_id, source, row_number() OVER () AS r, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size, text IS NULL AS n,
+         md5(coalesce(doc_id::VARCHAR, '') || '/' || md5(coalesce(text, ''))) AS h FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
 w AS (SELECT *, 3 * source_size AS cap, (row_number() OVER (ORDER BY source IS NULL, source) - 1) % 3 + 1 AS w,
              sum(source_size) OVER ()::BIGINT AS total FROM s),
 r AS (SELECT *, (total - coalesce(sum(cap) OVER o, 0))::BIGINT / (sum(w) OVER () - coalesce(sum(w) OVER o, 0))::BIGINT AS level, cap / w AS ratio
       FROM w WINDOW o AS (ORDER BY cap / w, w, source IS NULL, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 l AS (SELECT level FROM r WHERE level <= ratio ORDER BY ratio, w, source IS NULL, source LIMIT 1),
-t AS (SELECT source, source_size, coalesce(least(cap::DOUBLE, (SELECT level FROM l) * w), 0.0) AS target FROM r),
-p AS (SELECT d.doc_id, d.size, t.source_size, t.target, floor(t.target)::BIGINT AS goal,
-             (sum(d.size) OVER (PARTITION BY d.source ORDER BY d.h, d.doc_id, d.size ROWS UNBOUNDED PRECEDING) - d.size)::BIGINT AS start
-      FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
+t AS (SELECT source, CASE WHEN source IS NULL THEN '0' ELSE '1' || source END AS sid, source_size,
+             coalesce(least(cap::DOUBLE, (SELECT level FROM l) * w), 0.0) AS target, floor(coalesce(least(cap::DOUBLE, (SELECT level FROM l) * w), 0.0))::BIGINT AS goal FROM r),
+p AS (SELECT d.doc_id, d.r, d.size, t.sid, t.source_size, t.target, t.goal,
+             (sum(d.size) OVER (PARTITION BY d.source ORDER BY d.h, d.doc_id, d.n, d.r ROWS UNBOUNDED PRECEDING) - d.size)::BIGINT AS start
+      FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+a AS (SELECT sid, source_size, ceil(source_size / 4096)::BIGINT AS nb, goal // source_size AS passes, goal % source_size AS rest,
+             (goal // source_size) * ceil(source_size / 4096)::BIGINT + ceil((goal % source_size) / 4096)::BIGINT AS need
+      FROM t WHERE source_size > 0 AND goal > 0),
+e AS (SELECT *, (sum(need) OVER o - need)::BIGINT / (sum(need) OVER ())::BIGINT AS f, (sum(need) OVER o)::BIGINT / (sum(need) OVER ())::BIGINT AS g
+      FROM a WINDOW o AS (ORDER BY sid ROWS UNBOUNDED PRECEDING)),
+u AS (SELECT n AS slot, ((n + 1) * 0.6180339887498949::DOUBLE) % 1.0::DOUBLE AS u FROM range((SELECT coalesce(sum(need), 0)::BIGINT FROM a)) x(n)),
+k AS (SELECT u.slot, e.sid, row_number() OVER (PARTITION BY e.sid ORDER BY u.slot) - 1 AS k FROM u JOIN e ON e.f <= u.u AND u.u < e.g),
+m AS (SELECT a.sid, a.need, coalesce(max(k.k) + 1, 0) AS got FROM a LEFT JOIN k ON a.sid = k.sid GROUP BY a.sid, a.need),
+o AS (SELECT *, coalesce(sum(need - got) OVER (ORDER BY sid ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS late FROM m WHERE got < need),
+z AS (SELECT slot, sid, k FROM k UNION ALL
+      SELECT x.k - o.got + o.late + (SELECT count(*) FROM u), o.sid, x.k FROM o, LATERAL (SELECT unnest(range(o.got, o.need)) AS k) x),
+b AS (SELECT z.sid, z.k % a.nb AS b, (z.k % a.nb) * 4096 AS lo,
+             least((z.k % a.nb + 1) * 4096, CASE WHEN z.k >= a.passes * a.nb THEN a.rest ELSE a.source_size END) AS hi, min(z.slot) AS slot
+      FROM z JOIN a ON z.sid = a.sid WHERE z.k < a.need GROUP BY ALL),
+q AS (SELECT sid, r, start, size, unnest(range(start // 4096, (start + size - 1) // 4096 + 1)) AS b FROM p WHERE size > 0),
+f AS (SELECT q.r, min(b.slot)::BIGINT AS first_slot FROM q JOIN b ON q.sid = b.sid AND q.b = b.b
+      WHERE least(q.start + q.size, b.hi) > greatest(q.start, b.lo) GROUP BY q.r)
 SELECT doc_id, size, source_size, target,
-       CASE WHEN size = 0 THEN 0 ELSE size * (goal // source_size) + greatest(0, least(start + size, goal % source_size) - start) END::BIGINT AS taken
-FROM p""",
+       CASE WHEN size = 0 THEN 0 ELSE size * (goal // source_size) + greatest(0, least(start + size, goal % source_size) - start) END::BIGINT AS taken,
+       first_slot
+FROM p LEFT JOIN f ON p.r = f.r""",
     "op7_line_dedup": r"""
 WITH l AS (
   SELECT doc_id, r, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i

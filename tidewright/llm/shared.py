@@ -31,7 +31,15 @@ def spread(table: DataFrame) -> DataFrame:
     anything else could run it.
     """
     cores = table.sparkSession.sparkContext.defaultParallelism
-    return table.repartition(cores) if table.rdd.getNumPartitions() < cores else table
+    parts = table._jdf.queryExecution().toRdd().getNumPartitions()
+    return table.repartition(cores) if parts < cores else table
+
+
+def unused_names(n: int, *tables: DataFrame) -> list[str]:
+    """*n* column names that none of *tables* has."""
+    taken = {c.lower() for t in tables for c in t.columns}
+    names = (f"_{j}_" for j in range(n + len(taken)))
+    return [name for name in names if name not in taken][:n]
 
 
 def word_count(text: Column) -> Column:
