@@ -2,8 +2,10 @@
 
 The writer stores bytes losslessly as the ancillary data of silent MPEG-1 layer III frames: units of 192 bytes,
 up to four in a frame, so that frames vary in bitrate; a tag holds the length and a table frame the count, size and seek
-points. The reader knows nothing of the writer. It parses a leading tag, finds frame headers again after any damage, checks
-checksums, reads the table, and gives the exact number of samples and the offset of every frame.
+points. The reader knows nothing of the writer. It parses leading and closing tags, finds frame headers again after any damage,
+checks the checksums of layers I and III, reads either kind of table, and gives the exact number of samples, without an encoder's
+delay and padding where the table states them, and the offset of every frame. Layer II's checksums, which need its allocation
+tables, free format, compressed tags and APE tags are not read.
 """
 
 from __future__ import annotations
@@ -78,7 +80,10 @@ def crc16(data: bytes) -> int:
 
 @dataclass
 class AudioInfo:
-    """What a stream holds. offsets: where each sound frame begins; samples: of these frames together, the table frame not counted."""
+    """What a stream holds. offsets: where each sound frame begins; samples: of these frames together, the table frame not counted.
+
+    delay and padding: samples that the encoder added at either end; cut: bytes of a last frame that the data ends within.
+    """
 
     tags: dict[str, str] = field(default_factory=dict)
     offsets: list[int] = field(default_factory=list)
@@ -88,6 +93,9 @@ class AudioInfo:
     checked: int = 0
     damaged: int = 0
     skipped: int = 0
+    delay: int = 0
+    padding: int = 0
+    cut: int = 0
 
     @property
     def hertz(self) -> int:
@@ -95,7 +103,7 @@ class AudioInfo:
 
     @property
     def duration(self) -> float:
-        return self.samples / self.hertz if self.hertz else 0.0
+        return max(0, self.samples - self.delay - self.padding) / self.hertz if self.hertz else 0.0
 
 
 def _syncsafe(raw: bytes) -> int:
@@ -103,30 +111,72 @@ def _syncsafe(raw: bytes) -> int:
 
 
 def _parse_tag(data: bytes) -> tuple[dict[str, str], int]:
-    """(text frames of a leading ID3v2 tag, bytes that it takes)."""
+    """(text frames of a leading ID3v2 tag of version 2, 3 or 4, bytes that it takes)."""
     if data[:3] != b"ID3" or len(data) < 10:
         return {}, 0
-    end, at, tags = 10 + _syncsafe(data[6:10]), 10, {}
-    whole = _syncsafe if data[3] >= 4 else lambda raw: int.from_bytes(raw, "big")
-    while at + 10 <= min(end, len(data)) and data[at : at + 1].isalnum():
-        name, size = data[at : at + 4].decode("ascii", "replace"), whole(data[at + 4 : at + 8])
-        body = data[at + 10 : at + 10 + size]
-        if name.startswith("T") and body:
-            text = body[1:].decode({0: "latin-1", 1: "utf-16", 2: "utf-16-be"}.get(body[0], "utf-8"), "replace")
-            key, _, value = text.partition("\0") if name == "TXXX" else (name, "", text)
+    version, flags = data[3], data[5]
+    size = _syncsafe(data[6:10])
+    body, tags = data[10 : 10 + size], {}
+    if flags & 0x80 and version < 4:  # unsynchronised: a zero byte stands after each FF
+        body = body.replace(b"\xff\x00", b"\xff")
+    whole = _syncsafe if version >= 4 else lambda raw: int.from_bytes(raw, "big")
+    at, name_size, head = (0, 3, 6) if version == 2 else (0, 4, 10)
+    if flags & 0x40 and version > 2:  # an extended header; only version 3 leaves its own size field out of the size
+        at = whole(body[:4]) + 4 * (version == 3)
+    while at + head <= len(body) and body[at : at + 1].isalnum():
+        name = body[at : at + name_size].decode("ascii", "replace")
+        length = int.from_bytes(body[at + 3 : at + 6], "big") if version == 2 else whole(body[at + 4 : at + 8])
+        content = body[at + head : at + head + length]
+        if version >= 4 and body[at + 9] & 2:
+            content = content.replace(b"\xff\x00", b"\xff")
+        if name.startswith("T") and content:
+            text = content[1:].decode({0: "latin-1", 1: "utf-16", 2: "utf-16-be"}.get(content[0], "utf-8"), "replace")
+            key, _, value = text.partition("\0") if name in ("TXXX", "TXX") else (name, "", text)
             tags[key] = value.rstrip("\0")
-        at += 10 + size
-    return tags, end
+        at += head + length
+    return tags, 10 + size + 10 * (version == 4 and flags >> 4 & 1)
+
+
+def _closing_tag(raw: bytes) -> dict[str, str]:
+    """Fields of the 128 bytes of an ID3v1 tag that hold anything."""
+    places = {"title": (3, 33), "artist": (33, 63), "album": (63, 93), "year": (93, 97), "comment": (97, 127)}
+    found = {k: raw[a:b].split(b"\0")[0].decode("latin-1").rstrip() for k, (a, b) in places.items()}
+    return {k: v for k, v in found.items() if v}
 
 
 _headers: dict[bytes, Header | None] = {}
 _sums: dict[bytes, int] = {}
 
 
+def _alike(a: Header, b: Header | None) -> bool:
+    """Whether frames of one stream may have these headers."""
+    return b is not None and (a.version, a.layer, a.hertz) == (b.version, b.layer, b.hertz)
+
+
+def _covered(data: bytes, at: int, head: Header) -> bytes:
+    """The bits that a protected frame's checksum covers, whole bytes in layers I and III; none in layer II."""
+    body = at + 6
+    if head.layer == 3:
+        return data[at + 2 : at + 4] + data[body : body + head.side]
+    if head.layer == 1:  # four bits of allocation for each subband and channel; joint stereo shares those from a bound on
+        mode, bound = data[at + 3] >> 6, 4 * ((data[at + 3] >> 4 & 3) + 1)
+        nibbles = 32 * head.channels if mode != 1 else 32 + bound
+        return data[at + 2 : at + 4] + data[body : body + nibbles // 2]
+    return b""
+
+
 def parse_audio(data: bytes) -> AudioInfo:
-    """Every frame of *data*. A header counts if its frame ends with the data, at another header, or at a closing tag."""
+    """Every frame of *data*. A header counts if it follows a like frame, or its own frame ends with the data, at a like frame or at a closing tag.
+
+    What is none is skipped, and a last frame that the data cuts short isn't counted. Any bytes give a result.
+    """
     tags, at = _parse_tag(data)
     info, n = AudioInfo(tags), len(data)
+    at = min(at, n)
+    if n - at >= 128 and data[n - 128 : n - 125] == b"TAG":
+        info.tags |= {k: v for k, v in _closing_tag(data[n - 128 :]).items() if k not in tags}
+        n -= 128
+    expected = -1  # where a frame would follow the last one
     while at + 4 <= n:
         raw = data[at : at + 4]
         if raw in _headers:
@@ -137,23 +187,27 @@ def parse_audio(data: bytes) -> AudioInfo:
                 _headers.clear()
         if head is not None:
             end = at + head.length
-            if end > n or (end < n and parse_header(data[end : end + 4]) is None and data[end : end + 3] != b"TAG"):
+            if end > n:
+                if info.headers and _alike(info.headers[-1], head):
+                    info.cut = n - at
+                    return info
+                head = None
+            elif end < n and not (at == expected and _alike(info.headers[-1], head)) and not _alike(head, parse_header(data[end : end + 4])):
                 head = None
         if head is None:
-            if data[at : at + 3] == b"TAG" and n - at == 128:
-                break
-            later = data.find(b"\xff", at + 1)
+            later = data.find(b"\xff", at + 1, n)
             later = n if later < 0 else later
             info.skipped += later - at
             at = later
             continue
         body = at + 4 + 2 * head.protected
-        mark = data[body + head.side : body + head.side + 4]
-        if not info.offsets and info.table is None and mark in (b"Xing", b"Info"):
-            info.table = _parse_table(data[body + head.side : end])
+        first = not info.offsets and info.table is None
+        if first and data[body + head.side : body + head.side + 4] in (b"Xing", b"Info"):
+            _parse_table(info, data[body + head.side : end])
+        elif first and data[at + 36 : at + 40] == b"VBRI":
+            _parse_fraunhofer(info, data[at + 36 : end])
         else:
-            if head.protected and head.layer == 3:
-                covered = data[at + 2 : at + 4] + data[body : body + head.side]
+            if head.protected and (covered := _covered(data, at, head)):
                 if covered not in _sums:
                     if len(_sums) > 100_000:
                         _sums.clear()
@@ -163,12 +217,14 @@ def parse_audio(data: bytes) -> AudioInfo:
             info.offsets.append(at)
             info.headers.append(head)
             info.samples += head.samples
+            expected = end
         at = end
+    info.skipped += n - at
     return info
 
 
-def _parse_table(raw: bytes) -> tuple[int, int, bytes]:
-    """(frames, bytes, 100 seek points) of a variable-bitrate table; what is not given is 0 or empty."""
+def _parse_table(info: AudioInfo, raw: bytes) -> None:
+    """Frames, bytes and 100 seek points of a variable-bitrate table, and the delay and padding that an encoder may state after it."""
     flags, at = int.from_bytes(raw[4:8], "big"), 8
     frames = size = 0
     points = b""
@@ -177,8 +233,23 @@ def _parse_table(raw: bytes) -> tuple[int, int, bytes]:
     if flags & 2:
         size, at = int.from_bytes(raw[at : at + 4], "big"), at + 4
     if flags & 4:
-        points = raw[at : at + 100]
-    return frames, size, points
+        points, at = raw[at : at + 100], at + 100
+    at += 4 * bool(flags & 8)
+    if raw[at : at + 4] in (b"LAME", b"Lavf", b"Lavc", b"L3.9"):
+        both = int.from_bytes(raw[at + 21 : at + 24], "big")
+        info.delay, info.padding = both >> 12, both & 4095
+    info.table = frames, size, points
+
+
+def _parse_fraunhofer(info: AudioInfo, raw: bytes) -> None:
+    """The same of the other kind of table: its entries are the bytes of equal numbers of frames, as big-endian numbers times a scale."""
+    if len(raw) >= 26:
+        info.delay = int.from_bytes(raw[6:8], "big")
+        size, frames = int.from_bytes(raw[10:14], "big"), int.from_bytes(raw[14:18], "big")
+        entries, width = int.from_bytes(raw[18:20], "big"), int.from_bytes(raw[22:24], "big")
+        info.table = frames, size, raw[26 : 26 + entries * width]
+    else:
+        info.table = 0, 0, b""
 
 
 def _frame_start(units: int) -> bytes:
@@ -225,12 +296,16 @@ def describe(info: AudioInfo) -> str:
     seek = crc32(np.asarray(info.offsets, ">i8").tobytes())
     return (
         f"hz={info.hertz};frames={len(info.offsets)};samples={info.samples};seconds={info.duration:.6f};kbps={','.join(map(str, rates))};"
-        f"table={frames},{size},{crc32(points):08x};checked={info.checked};damaged={info.damaged};skipped={info.skipped};seek={seek:08x}"
+        f"table={frames},{size},{crc32(points):08x};checked={info.checked};damaged={info.damaged};skipped={info.skipped};cut={info.cut};seek={seek:08x}"
     )
 
 
 def texts_to_audio(docs: DataFrame) -> DataFrame:
-    """*docs* (text, ...) with the text replaced by media, the stream that stores its UTF-8 bytes. Null texts are empty ones."""
+    """*docs* (text, ...) with the text replaced by media, the stream that stores its UTF-8 bytes.
+
+    Null texts are empty ones; texts of any length are stored whole. Other columns, nulls in them too, pass through, but a column
+    named media is replaced. Rows and their number never change, repeated ones too; an empty table gives an empty table.
+    """
     docs = docs.drop("media")
     at = docs.columns.index("text")
     rest = [f for f in docs.schema.fields if f.name != "text"]
@@ -264,7 +339,12 @@ def probe_audio(media: DataFrame, key: str = "doc_id") -> DataFrame:
 
 
 def audio_digests(media: DataFrame) -> DataFrame:
-    """(doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature) of stored streams."""
+    """(doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature) of stored streams (doc_id, media).
+
+    Null media are empty streams. A stream that texts_to_audio() didn't write has no length tag, so its n_bytes is null, and what lies where
+    the units would be counts as payload. Equal streams give equal values; repeated rows and rows without doc_id have a row each;
+    other columns don't matter; an empty table gives an empty table.
+    """
     kind = media.schema["doc_id"].dataType.simpleString()
     names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
     kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
@@ -273,10 +353,10 @@ def audio_digests(media: DataFrame) -> DataFrame:
         for batch in batches:
             rows = []
             for m in batch.column(1):
-                data = m.as_py()
+                data = m.as_py() or b""
                 info = parse_audio(data)
-                payload = audio_payload(data, info)
-                rows.append((int(info.tags["bytes"]), len(payload), sha256(payload).hexdigest(), crc32(payload[-16:]), len(data), sha256(data).hexdigest(), describe(info)))
+                payload, length = audio_payload(data, info), info.tags.get("bytes", "")
+                rows.append((int(length) if length.isdecimal() else None, len(payload), sha256(payload).hexdigest(), crc32(payload[-16:]), len(data), sha256(data).hexdigest(), describe(info)))
             columns = list(zip(*rows, strict=True)) if rows else [[]] * len(kinds)
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, t) for c, t in zip(columns, kinds, strict=True)]], names)
 
