@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidewright.operators import frames as R
@@ -26,25 +26,53 @@ def turn_costs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _costed(spark, sf_dir).select("conv_id", "turn", "cost")
 
 
-@query("O133")
+_COSTED = """f AS (SELECT *, coalesce(max(e) OVER (PARTITION BY conv_id ORDER BY time, rr, turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s FROM (
+  SELECT *, greatest(max(floor(time * 2)) OVER (PARTITION BY conv_id ORDER BY time, rr, turn ROWS UNBOUNDED PRECEDING), 0)::BIGINT AS e FROM (SELECT *, CASE WHEN role = 'assistant' THEN 1 ELSE 2 END AS rr FROM turns))),
+c AS (SELECT conv_id, turn, role, time, (e - s + greatest(length(text) // 4, 1) + 10)::BIGINT AS cost, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS rn FROM f)"""
+# one row a step of the loop: b is where the open part begins, i the row looked at, u what is used; a cut part is lo to hi
+_SPLIT = f"""{_COSTED}, l AS (SELECT conv_id, list(cost ORDER BY rn) AS p, list(role ORDER BY rn) AS ro, count(*) AS n FROM c GROUP BY conv_id),
+w AS (SELECT conv_id, p, ro, n, 1::BIGINT AS b, 1::BIGINT AS i, 0::BIGINT AS u, NULL::BIGINT AS lo, NULL::BIGINT AS hi FROM l UNION ALL
+  SELECT conv_id, p, ro, n, CASE WHEN NOT cut THEN b WHEN reply IS NOT NULL THEN reply + 1 ELSE least(i, coalesce(drop_to, i)) END,
+    CASE WHEN cut AND reply IS NOT NULL THEN reply + 1 ELSE i + 1 END,
+    CASE WHEN NOT cut THEN v WHEN reply IS NOT NULL THEN 0 ELSE v - coalesce(list_sum(p[b : least(i, coalesce(drop_to, i)) - 1]), 0) END::BIGINT,
+    CASE WHEN cut AND reply IS NOT NULL THEN b END, CASE WHEN cut THEN reply END
+  FROM (SELECT *, u + p[i] AS v, u + p[i] > 600 AND i > b AS cut, list_max(list_filter(range(b, i), lambda x: ro[x] = 'assistant')) AS reply,
+    list_min(list_filter(range(b, i + 1), lambda x: u + p[i] - coalesce(list_sum(p[b : x - 1]), 0) <= 600)) AS drop_to FROM w WHERE i <= n)),
+parts AS (SELECT conv_id, lo, hi FROM w WHERE hi IS NOT NULL UNION ALL SELECT conv_id, b, n FROM (SELECT *, list_contains(ro[b : n], 'assistant') AS said FROM w WHERE i > n) WHERE said),
+split AS (SELECT c.conv_id, c.turn, c.role, c.time, (dense_rank() OVER (PARTITION BY c.conv_id ORDER BY lo) - 1)::INT AS segment FROM c JOIN parts ON c.conv_id = parts.conv_id AND c.rn BETWEEN lo AND hi)"""
+
+
+@query("O133", f"WITH RECURSIVE {_SPLIT} SELECT conv_id, turn, segment FROM split", ("turns",))
 def budget_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.split_by_budget(_costed(spark, sf_dir), "conv_id", "turn", "cost", 600)
 
 
-@query("O134 O135 O283")
+@query("O134 O135 O283", f"""
+WITH RECURSIVE {_COSTED}, x AS (SELECT c.*, (SELECT coalesce(sum(o.cost), 0) FROM c o WHERE o.conv_id = c.conv_id AND o.rn < c.rn AND o.time >= c.time - 60)::BIGINT AS before FROM c),
+w AS (SELECT conv_id, turn, rn, time, 0 AS segment, cost AS u, 1 AS held, FALSE AS cut FROM x WHERE rn = 1 UNION ALL
+  SELECT x.conv_id, x.turn, x.rn, x.time, w.segment + t.cut::INT, CASE WHEN t.cut THEN x.before ELSE w.u END + x.cost, CASE WHEN t.cut THEN 1 ELSE w.held + 1 END, t.cut
+  FROM w JOIN x ON x.conv_id = w.conv_id AND x.rn = w.rn + 1, LATERAL (SELECT w.held >= 2 AND w.u + x.cost > 540 AS cut) t)
+SELECT conv_id, turn, segment::INT AS segment, FALSE AS is_context FROM w UNION ALL
+SELECT w.conv_id, c.turn, w.segment::INT, TRUE FROM w JOIN c ON w.cut AND c.conv_id = w.conv_id AND c.rn < w.rn AND c.time >= w.time - 60""", ("turns",))
 def budget_split_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.split_with_overlap(_costed(spark, sf_dir), "conv_id", "turn", "cost", 600, context=60.0)
 
 
-@query("O285 O231 O136")
+@query("O285 O231 O136", f"""
+WITH RECURSIVE {_SPLIT} SELECT conv_id, segment, count(*) AS turns, count(*) FILTER (role = 'assistant') AS replies, min(time) AS begins, max(time) AS ends FROM split GROUP BY conv_id, segment""", ("turns",))
 def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     costed = _costed(spark, sf_dir)
     return P.segment_summary(P.split_by_budget(costed, "conv_id", "turn", "cost", 600).join(costed, ["conv_id", "turn"]), ["conv_id"])
 
 
-@query("O137")
+@query("O137", """
+WITH RECURSIVE x AS (SELECT l_orderkey, l_quantity AS q, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity) AS line FROM lineitem),
+w AS (SELECT l_orderkey, line, 0 AS bin, q AS u FROM x WHERE line = 1 UNION ALL
+  SELECT x.l_orderkey, x.line, w.bin + CASE WHEN w.u <> 0 AND w.u + x.q >= 80 THEN 1 ELSE 0 END, x.q + CASE WHEN w.u <> 0 AND w.u + x.q >= 80 THEN 0 ELSE w.u END FROM w JOIN x ON x.l_orderkey = w.l_orderkey AND x.line = w.line + 1)
+SELECT l_orderkey, line, bin::INT AS bin FROM w""")
 def caption_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return P.pack(table(spark, sf_dir, "lineitem"), "l_orderkey", "l_linenumber", "l_quantity", 80)
+    place = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity"))
+    return P.pack(table(spark, sf_dir, "lineitem").withColumn("line", place.cast("long")), "l_orderkey", "line", "l_quantity", 80)
 
 
 @query("O140")
@@ -53,7 +81,11 @@ def adjust_time(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.adjust_times(turns, "conv_id", "turn")
 
 
-@query("O143")
+@query("O143", """
+WITH RECURSIVE x AS (SELECT conv_id, turn, len(string_split(text, chr(10))) AS n, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS rn FROM conversations),
+w AS (SELECT conv_id, turn, rn, 0 AS chunk, n AS u FROM x WHERE rn = 1 UNION ALL
+  SELECT x.conv_id, x.turn, x.rn, w.chunk + (w.u > 5)::INT, x.n + CASE WHEN w.u > 5 THEN 0 ELSE w.u END FROM w JOIN x ON x.conv_id = w.conv_id AND x.rn = w.rn + 1)
+SELECT conv_id, turn, chunk::INT AS chunk FROM w""")
 def chunk_by_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").withColumn("lines", F.size(F.split("text", "\n")))
     return P.chunk_by_weight(turns, "conv_id", "turn", "lines", 5)

@@ -107,7 +107,12 @@ def temporal_iou(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("user_id", "span_id", "other_span_id", F.round("iou", 6).alias("iou"))
 
 
-@query("O76")
+@query("O76", """
+WITH RECURSIVE x AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS rn FROM blocks),
+w AS (SELECT user_id, event_id, rn, NULL::BIGINT AS outer_id, [{'i': event_id, 's': start_ts, 'e': end_ts}] AS kept FROM x WHERE rn = 1 UNION ALL
+  SELECT x.user_id, x.event_id, x.rn, t.o, CASE WHEN t.o IS NULL THEN list_append(w.kept, {'i': x.event_id, 's': x.start_ts, 'e': x.end_ts}) ELSE w.kept END
+  FROM w JOIN x ON x.user_id = w.user_id AND x.rn = w.rn + 1, LATERAL (SELECT list_filter(w.kept, lambda k: k.e IS NOT NULL AND k.s <= x.start_ts AND coalesce(x.end_ts, x.start_ts) <= k.e)[1].i AS o) t)
+SELECT b.user_id, b.event_id, b.start_ts, b.end_ts, (SELECT count(*) FROM w a WHERE a.user_id = b.user_id AND a.outer_id = b.event_id) AS absorbed FROM blocks b JOIN w ON w.user_id = b.user_id AND w.event_id = b.event_id AND w.outer_id IS NULL""", ("timed", "blocks"))
 def absorb_contained(spark: SparkSession, sf_dir: str) -> DataFrame:
     return I.absorb_contained(D.blocks(spark, sf_dir), "user_id", "event_id")
 

@@ -26,7 +26,8 @@ def query(covers: str, sql: str = "", uses: tuple[str, ...] = ()) -> Callable[[Q
             ctes = ",\n".join(f"{t} AS ({DERIVED_SQL[t]})" for t in _closure(uses))
             body = sql.strip()
             if ctes:
-                body = f"WITH {ctes},\n{body[5:]}" if body[:5].upper() == "WITH " else f"WITH {ctes}\n{body}"
+                head = next((h for h in ("WITH RECURSIVE ", "WITH ") if body.startswith(h)), "")
+                body = f"{head}{ctes},\n{body[len(head):]}" if head else f"WITH {ctes}\n{body}"
             SQL[name] = body
         return function
 

@@ -47,7 +47,12 @@ def stream_session(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("begins", "ends")})
 
 
-@query("O239 O240")
+@query("O239 O240", """
+WITH RECURSIVE x AS (SELECT conv_id, turn, length(text) // 4 AS cost, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS rn FROM conversations),
+w AS (SELECT conv_id, turn, rn, [cost] AS held, 0::BIGINT AS dropped FROM x WHERE rn = 1 UNION ALL
+  SELECT x.conv_id, x.turn, x.rn, CASE WHEN t.full_ THEN list_concat(t.f[1:1], t.f[-2:]) ELSE t.f END, CASE WHEN t.full_ THEN list_sum(t.f) - list_sum(list_concat(t.f[1:1], t.f[-2:])) ELSE 0 END::BIGINT
+  FROM w JOIN x ON x.conv_id = w.conv_id AND x.rn = w.rn + 1, LATERAL (SELECT list_append(w.held, x.cost) AS f, list_sum(list_append(w.held, x.cost)) >= 300 AND len(w.held) + 1 > 3 AS full_) t)
+SELECT conv_id, turn, list_sum(held)::BIGINT AS size, dropped FROM w""")
 def stream_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = stream_of(spark, sf_dir, "conversations").select("conv_id", "turn", T.approximate_tokens(F.col("text")).alias("cost"))
     return run_to_table(S.context_sizes(turns, "conv_id", "turn", "cost", "drop_middle", 300))
