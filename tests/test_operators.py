@@ -273,3 +273,77 @@ def test_generation_retries_what_fails(spark):
 def test_binary_metrics_without_division(spark):
     r = X.binary_metrics(spark.createDataFrame([(1, 0, 0), (1, -100, 1)], "g long, t int, p int"), ["g"], "t", "p").first()
     assert (r.tn, r.tp, r.precision, r.recall, r.f1, r.balanced_accuracy) == (1, 0, 0.0, 0.0, 0.0, 0.5)
+
+
+def test_prepared_clips_keep_room_and_carry_progress(spark):
+    from tidewright.operators.packing import cut_parts, prepare_clips
+
+    role = ["user", "assistant", "user", "assistant", "assistant", "user"]
+    assert cut_parts(role, [10] * 6, 25) == [(0, 1), (2, 3), (4, 5)]
+    assert cut_parts(role, [10] * 6, 25, lambda reply: 0 if reply is None else 10) == [(0, 1), (3, 3), (4, 4)]
+    assert cut_parts(["user"] * 3, [10] * 3, 15) == [] and cut_parts([], [], 5) == []
+    rows = [(1, i, r, f"so far {i}" if r == "assistant" else None, "know", i * 4, i * 4 + 4, 40, 10) for i, r in enumerate(role)]
+    rows += [(2, 0, "assistant", "w " * 4000, None, 0, 4, 40, 10)]
+    df = spark.createDataFrame(rows, "k int, t int, role string, progress string, knowledge string, start_frame long, end_frame long, n_frames long, cost long")
+    got = prepare_clips(df, "k", "t", "cost", 50, ("P",), summaries=False, context=(1, 1)).filter("k = 1").orderBy("clip").collect()
+    assert [(r.k, r["first"], r["last"], r.start_frame, r.end_frame) for r in got] == [(1, 0, 3, 0, 16), (1, 4, 5, 14, 24)]
+    assert [r.system_prompt for r in got] == ["P", "P so far 3 Task knowledge: know"]
+    with_summaries = prepare_clips(df, "k", "t", "cost", 73, ("P",)).orderBy("clip").collect()  # 23 are kept free; the second conversation needs too many
+    assert [(r.k, r["last"], r.progress) for r in with_summaries] == [(1, 3, "so far 3"), (1, 5, "so far 4")]
+
+
+def test_strategies_and_the_frame_loop(spark, tmp_path):
+    from tidewright.streaming.runs import run_to_table
+    from tidewright.streaming.stateful import frame_loop, overflow
+
+    costs = [10, 20, 30, 40, 50]
+    assert [overflow(costs, p, 100, states=7) for p in ("none", "drop_all", "drop_middle", "summarize", "summarize_with_dst")] == [costs, [], [10, 40, 50], [20], [27]]
+    with pytest.raises(ValueError, match="none of"):
+        overflow(costs, "other", 100)
+    rows = [(1, 0, 0.5, "Task knowledge: x", "a", "r"), (1, 1, 1.0, None, "a", None), (1, 2, 1.5, None, "b", None), (1, 3, 2.0, None, "c", None), (2, 0, 0.5, None, None, None)]
+    path = str(tmp_path / "frames")
+    spark.createDataFrame(rows, "v int, f int, time double, system string, said string, ref string").coalesce(1).write.parquet(path)
+    stream = lambda: spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
+    loop = lambda **o: {(r.v, r.f): r.gen for r in run_to_table(frame_loop(stream(), "v", ["f"], **o)).collect()}
+    assert loop(max_time=1.5) == {(1, 0): "a", (1, 1): "", (1, 2): "b", (2, 0): ""}
+    assert loop(use_reference=True)[1, 1] == "a"  # the reference "r" was fed back, so "a" is new again
+    heard = loop(speaker=lambda said, last, known: f"{last}|{known}")
+    assert heard[1, 1] == "|Task knowledge: x|Task knowledge: x"
+
+
+def test_scans_that_check(spark):
+    from tidewright.sources import files as S
+
+    frames = spark.createDataFrame([("a", i, "YQ==", b"f" if i else None) for i in range(3)], "video_uid string, frame_idx long, image string, feature binary")
+    assert [bytes(r.data) for r in S.decoded_frames(frames, 2.0).orderBy("frame_idx").collect()] == [b"a", b"f", b"f"]
+    clips = spark.createDataFrame([("a", 0, 4), ("a", 0, 3), ("b", 1, 1)], "video_uid string, clip_start int, clip_end int")
+    assert [r.error for r in S.checked_clips(frames, clips).orderBy("video_uid", "clip_end").collect()] == [None, "clip ends at 4 of 3", "clip ends at 1 of 0"]
+    with pytest.raises(Exception, match="clip ends at 4 of 3"):
+        S.checked_clips(frames, clips, strict=True).collect()
+    files = spark.createDataFrame([("/d/x_12.tsv",), ("/d/a_12.tsv",)], "path string")
+    videos = spark.createDataFrame([(12,), (13,)], "id int")
+    assert {r.id: r.path for r in S.file_of_each(files, videos, "id").collect()} == {12: "/d/a_12.tsv", 13: None}
+    with pytest.raises(Exception, match="no annotation file for 13"):
+        S.file_of_each(files, videos, "id", strict=True).collect()
+
+
+def test_parse_errors_point_at_the_place(spark):
+    from tidewright.operators.validators import parse_errors
+
+    rows = parse_errors(spark.createDataFrame([(1, '{"a": 1}'), (2, '{\n"a" 1}'), (3, None)], "k int, t string"), "k", "t").orderBy("k").collect()
+    assert [(r.k, r.line, r.column) for r in rows] == [(2, 2, 5), (3, 1, 1)] and rows[0].context[len(rows[0].pointer) - 1] == "1"
+
+
+def test_prompts_are_sent_once_a_round(spark):
+    from tidewright.operators.generation import generate_with_retries, map_spans
+
+    calls = spark.sparkContext.accumulator(0)
+
+    def failing(prompts):
+        calls.add(len(prompts))
+        return [None] * len(prompts)
+
+    out = generate_with_retries(spark.range(20).selectExpr("cast(id AS string) p"), "p", failing, rounds=3)
+    assert out.filter("ok").count() == 0 and out.count() == 20 and calls.value == 60
+    never = map_spans(spark.createDataFrame([(1, 3, 2)], "k int, blocks int, steps int"), "k", lambda ps: ["[2, 1, 1]"] * len(ps)).first()
+    assert never.mapping is None and never.tries == 3

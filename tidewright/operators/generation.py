@@ -38,9 +38,10 @@ def generate(items: DataFrame, prompt: str, model: Model = stub_model, samples:
     return items.mapInPandas(run, ", ".join([*kinds, "ok boolean", "texts array<string>"]))
 
 
-def generate_with_retries(items: DataFrame, prompt: str, model: Model = stub_model, rounds: int = 3, valid: str = "true") -> DataFrame:
+def generate_with_retries(items: DataFrame, prompt: str, model: Model = stub_model, rounds: int = 3, valid: str = "true", guidance: str | None = None) -> DataFrame:
     """*items* with ok, text and tries: rows that fail, or whose text isn't *valid* (SQL), are asked again, up to *rounds* times.
 
+    A repeated prompt says so, and holds the column *guidance*, if that is given: help for the model that is never returned itself.
     Each round is written to the shared folder, so a prompt is sent once a round, however its answers are read.
     """
     todo, done = items.withColumn("_prompt", F.col(prompt)), []
@@ -51,7 +52,7 @@ def generate_with_retries(items: DataFrame, prompt: str, model: Model = stub_mod
         good = F.col("ok") & F.expr(valid)
         if n < rounds:
             done.append(asked.filter(good).select(*columns, F.lit(True).alias("ok"), "text", "tries"))
-            todo = asked.filter(~good).withColumn("_prompt", F.concat("_prompt", F.lit(" (again)"))).select(*columns, "_prompt")
+            todo = asked.filter(~good).withColumn("_prompt", F.concat_ws(" ", "_prompt", F.lit("(again)"), *([F.col(guidance)] if guidance and n == 1 else []))).select(*columns, "_prompt")
         else:
             done.append(asked.select(*columns, good.alias("ok"), F.when(good, F.col("text")).alias("text"), "tries"))
     out = done[0]
@@ -60,6 +61,24 @@ def generate_with_retries(items: DataFrame, prompt: str, model: Model = stub_mod
     return out
 
 
+def map_spans(items: DataFrame, key: str, model: Model, rounds: int = 3) -> DataFrame:
+    """(key, mapping, tries) by a model that maps *blocks* to *steps* (numbers of each): an array with each block's step, from 1.
+
+    An answer counts if it is a JSON array with a step of each block that never falls and uses every step. A rejected prompt is sent again with a
+    mapping that steps evenly through both, from either end, as guidance; the guidance is never returned. A row that is still wrong after the
+    last round has no mapping.
+    """
+    even = F.transform(F.sequence(F.lit(1), F.col("blocks").cast("int")), lambda i: F.ceil(i * F.col("steps") / F.col("blocks")).cast("int"))
+    back = F.transform(F.sequence(F.lit(1), F.col("blocks").cast("int")), lambda i: (F.floor((i - 1) * F.col("steps") / F.col("blocks")) + 1).cast("int"))
+    told = F.concat_ws(" ", F.lit("forward"), F.to_json(even), F.lit("backward"), F.to_json(back))
+    prompt = F.concat_ws(" ", F.lit("map"), F.col("blocks").cast("string"), F.lit("blocks to"), F.col("steps").cast("string"), F.lit("steps of"), F.col(key).cast("string"))
+    parsed = "from_json(text, 'array<int>')"
+    rising = f"forall(sequence(2, greatest(blocks, 2)), i -> blocks < 2 OR element_at({parsed}, cast(i AS int)) >= element_at({parsed}, cast(i - 1 AS int)))"
+    valid = f"coalesce(size({parsed}) = blocks AND array_size(array_distinct({parsed})) = steps AND array_min({parsed}) = 1 AND array_max({parsed}) = steps AND {rising}, false)"
+    asked = generate_with_retries(items.withColumns({"_told": told, "_ask": prompt}), "_ask", model, rounds, valid, "_told")
+    return asked.select(key, F.when(F.col("ok"), F.expr(parsed)).alias("mapping"), "tries")
+
+
 def break_ties(choices: DataFrame, key: list[str], model: Model | None = None) -> DataFrame:
     """(key, step): of each key's choices (step, confidence) the most confident, the smallest step of equals; a model may answer instead."""
     best = choices.groupBy(*key).agg(F.max_by("step", F.struct("confidence", -F.col("step"))).alias("step"), F.concat_ws(",", F.sort_array(F.collect_list(F.col("step").cast("string")))).alias("_p"))

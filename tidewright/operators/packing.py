@@ -7,6 +7,7 @@ fit a task by far.
 from __future__ import annotations
 
 from collections.abc import Callable
+from zlib import crc32
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -26,37 +27,96 @@ def turn_cost(frames: Column, text: Column, per_frame: int, extra: int = 10) ->
     return F.coalesce(frames, F.lit(0)) * per_frame + F.greatest(F.floor(F.char_length(text) / 4), F.lit(1)) + extra
 
 
-def split_by_budget(turns: DataFrame, key: str, order: str, cost: str, most: int) -> DataFrame:
-    """(key, order, segment): turns cut after the last assistant turn that fits, whenever the running cost passes *most*.
+def cut_parts(role: list[str], price: list[int], most: int, opening: Callable[[int | None], int] = lambda reply: 0) -> list[tuple[int, int]]:
+    """(first, last) place of each part of a conversation, cut after the last assistant turn that fits, whenever the running cost passes *most*.
 
-    A cut part that has no assistant turn is dropped from its start until the rest fits; a tail without one is dropped too.
+    A part starts with the cost *opening* of the last reply before it (None for the first). What has no assistant turn is dropped
+    from the part's start until the rest fits; a tail without one is dropped too.
     """
+    parts: list[tuple[int, int]] = []
+    begin = at = 0
+    used = opening(None)
+    while at < len(role):
+        used += price[at]
+        if used > most and at > begin:
+            reply = next((i for i in range(at - 1, begin - 1, -1) if role[i] == "assistant"), None)
+            if reply is None:
+                while begin < at and used > most:
+                    used -= price[begin]
+                    begin += 1
+            else:
+                parts.append((begin, reply))
+                begin, at, used = reply + 1, reply, opening(reply)
+        at += 1
+    if "assistant" in role[begin:]:
+        parts.append((begin, len(role) - 1))
+    return parts
+
+
+def split_by_budget(turns: DataFrame, key: str, order: str, cost: str, most: int) -> DataFrame:
+    """(key, order, segment): the parts of cut_parts(); turns in none are left out."""
 
     def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        role, price = rows["role"].tolist(), rows[cost].tolist()
-        segment, segments, begin, used = [-1] * len(rows), 0, 0, 0
-        at = 0
-        while at < len(rows):
-            used += price[at]
-            if used > most and at > begin:
-                reply = next((i for i in range(at - 1, begin - 1, -1) if role[i] == "assistant"), None)
-                if reply is None:
-                    while begin < at and used > most:
-                        used -= price[begin]
-                        begin += 1
-                else:
-                    segment[begin : reply + 1] = [segments] * (reply + 1 - begin)
-                    segments += 1
-                    begin, at, used = reply + 1, reply, 0
-            at += 1
-        reply = next((i for i in range(len(rows) - 1, begin - 1, -1) if role[i] == "assistant"), None)
-        if reply is not None:
-            segment[begin:] = [segments] * (len(rows) - begin)
+        segment = [-1] * len(rows)
+        for k, (a, b) in enumerate(cut_parts(rows["role"].tolist(), rows[cost].tolist(), most)):
+            segment[a : b + 1] = [k] * (b + 1 - a)
         return rows.assign(segment=segment)[[key, order, "segment"]].query("segment >= 0")
 
     return _per_key(turns, key, order, ["role", cost], fold, "segment int")
 
 
+def _tokens(text: str | None) -> int:
+    return max(1, len(text) // 4) if text else 0
+
+
+def prepare_clips(turns: DataFrame, key: str, order: str, cost: str, most: int, prompts: tuple[str, ...], per_frame: int = 1, longest_summary: int = 768, summaries: bool = True, context: tuple[int, int] = (0, 0), fps: float = 2.0) -> DataFrame:
+    """(key, clip, first, last, start_frame, end_frame, system_prompt, progress): training clips of each conversation.
+
+    *turns*: role, progress (a reply's summary so far, or null), knowledge, start_frame, end_frame, n_frames. With *summaries* the longest
+    of a conversation's ten wordiest summaries is kept free, with a frame and 20 tokens; conversations that would need more than
+    *longest_summary* are left out. A clip opens with a system prompt, picked by a hash; later ones add the progress of the last reply before
+    them and the knowledge. A clip that doesn't reach the end of the video closes with the progress of its last reply. Later clips
+    keep some seconds of frames from before them, picked from *context* by a hash. Clips without frames are left out.
+    """
+    kind, place = dict(turns.dtypes)[key], dict(turns.dtypes)[order]
+    schema = f"`{key}` {kind}, clip int, first {place}, last {place}, start_frame long, end_frame long, system_prompt string, progress string"
+    names = [key, "clip", "first", "last", "start_frame", "end_frame", "system_prompt", "progress"]
+
+    def fold(rows: pd.DataFrame) -> pd.DataFrame:
+        name, role = rows[key].iloc[0], rows["role"].tolist()
+        said = [None if pd.isna(p) else p for p in rows["progress"]]
+        known = rows["knowledge"].iloc[0]
+        known = "" if pd.isna(known) else f"Task knowledge: {known}"
+        room = most
+        if summaries:
+            top = sorted((p for p in said if p is not None), key=lambda p: -len(p.split()))[:10]
+            reserve = max(map(_tokens, top), default=0) + per_frame + 20
+            if reserve > longest_summary:
+                return pd.DataFrame([], columns=names)
+            room -= reserve
+        pick = lambda n, what: crc32(f"{name}/{n}/{what}".encode()) % len(what)
+
+        def prompt(n: int, reply: int | None) -> str:
+            before = next((said[i] for i in range(-1 if reply is None else reply, -1, -1) if said[i] is not None), None)
+            return " ".join(x for x in (prompts[pick(n, prompts)], before, known if reply is not None else "") if x)
+
+        parts = cut_parts(role, rows[cost].tolist(), room, lambda reply: _tokens(prompt(0, reply)))
+        frames, out = rows[["start_frame", "end_frame"]].to_numpy(), []
+        for n, (a, b) in enumerate(parts):
+            start, end = int(frames[a, 0]), int(frames[b, 1])
+            if n:
+                seconds = range(context[0], context[1] + 1)
+                start = max(0, start - int(seconds[pick(n, seconds)] * fps))
+            if end <= start or end > rows["n_frames"].iloc[0]:
+                continue
+            reply = max((i for i in range(a, b + 1) if role[i] == "assistant"), default=None)
+            progress = said[reply] if summaries and reply is not None and end + 1 < rows["n_frames"].iloc[0] else None
+            out.append([name, len(out), rows[order].iloc[a], rows[order].iloc[b], start, end, prompt(len(out), parts[n - 1][1] if n else None), progress])
+        return pd.DataFrame(out, columns=names)
+
+    return fold_groups(turns, key, [order], ["role", "progress", "knowledge", "start_frame", "end_frame", "n_frames", cost], fold, schema)
+
+
 def split_with_overlap(turns: DataFrame, key: str, order: str, cost: str, most: int, fill: float = 0.9, context: float = 5.0) -> DataFrame:
     """(key, order, segment, is_context): turns added until the cost would pass *fill* of *most* with two turns or more.
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -90,3 +91,23 @@ def length_advice(length: Column, most: int) -> Column:
 def missing_fields(df: DataFrame, required: tuple[str, ...]) -> Column:
     """Names of required columns that are absent or null, comma-joined; empty if none is."""
     return F.concat_ws(",", *[F.when(F.col(c).isNull(), c) if c in df.columns else F.lit(c) for c in required])
+
+
+def parse_errors(texts: DataFrame, key: str, text: str, around: int = 50) -> DataFrame:
+    """(key, line, column, message, context, pointer) of texts that are no JSON: where parsing stops, and what stands around that place."""
+    import json
+
+    kind = texts.schema[key].dataType.simpleString()
+
+    def run(batches):
+        for rows in batches:
+            found = []
+            for k, t in zip(rows[key], rows[text], strict=True):
+                try:
+                    json.loads(t or "")
+                except json.JSONDecodeError as error:
+                    begin = max(0, error.pos - around)
+                    found.append((k, error.lineno, error.colno, error.msg, (t or "")[begin : error.pos + around], " " * (error.pos - begin) + "^"))
+            yield pd.DataFrame(found, columns=[key, "line", "column", "message", "context", "pointer"])
+
+    return texts.select(key, text).mapInPandas(run, f"`{key}` {kind}, line int, column int, message string, context string, pointer string")

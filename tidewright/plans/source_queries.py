@@ -34,7 +34,7 @@ def json_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 def dataset_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "sets")
     c = _conversations(spark, sf_dir)
-    c.select(F.concat(F.lit("["), F.to_json(F.struct(*c.columns)), F.lit("]")).alias("value")).write.option("maxRecordsPerFile", 1).text(f"{path}/raw")  # an array per file
+    S.write_json_arrays(c, f"{path}/raw", F.floor(F.col("conv_id") / 1000))
     rows = S.read_datasets(spark, {"conversations": f"{path}/raw"}, "val", _CONV)
     return S.write_with_manifest(rows, path, "conversations", "val")
 

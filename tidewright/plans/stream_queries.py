@@ -33,13 +33,13 @@ def stream_change(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run_to_table(S.changes(_events(spark, sf_dir).select("user_id", "event_id", "event_type"), "user_id", ["event_id"], "event_type"))
 
 
-@query("O238", "SELECT date_trunc('day', ts) AS begins, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
+@query("O92", "SELECT date_trunc('day', ts) AS begins, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
 def stream_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted = S.window_counts(_events(spark, sf_dir), "ts", "1 day", by=("event_type",))
     return run_to_table(counted, "complete").select(F.col("begins").cast("timestamp_ntz").alias("begins"), "event_type", "n", F.round("total", 4).alias("total"))
 
 
-@query("O238", """
+@query("O106", """
 SELECT user_id, min(ts) AS begins, max(ts) + INTERVAL 2 HOURS AS ends, count(*) AS n FROM (SELECT *, sum(c) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS s
   FROM (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < INTERVAL 2 HOURS THEN 0 ELSE 1 END AS c FROM events)) GROUP BY user_id, s""")
 def stream_session(spark: SparkSession, sf_dir: str) -> DataFrame:

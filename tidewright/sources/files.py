@@ -19,9 +19,9 @@ def limited(df: DataFrame, rows: int | None, order: list | None = None) -> DataF
     return (df.orderBy(*order) if order else df).limit(rows)
 
 
-def read_json_array(spark: SparkSession, path: str, schema: StructType | str, rows: int | None = -1) -> DataFrame:
-    """Rows of files that hold a JSON array (or one object) each."""
-    return limited(spark.read.schema(schema).option("multiLine", True).json(path), rows)
+def read_json_array(spark: SparkSession, path: str, schema: StructType | str, rows: int | None = -1, order: list | None = None) -> DataFrame:
+    """Rows of files that hold a JSON array (or one object) each; the first *rows* of them by *order*."""
+    return limited(spark.read.schema(schema).option("multiLine", True).json(path), rows, order)
 
 
 def read_json_lines(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
@@ -32,19 +32,26 @@ def read_json_lines(spark: SparkSession, path: str, schema: StructType | str) ->
     return spark.read.schema(full).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT).json(path)
 
 
-def read_json_folder(spark: SparkSession, path: str, schema: StructType | str, rows: int | None = -1) -> DataFrame:
-    """Every *.json file below *path* in order of name, with its name; a folder that doesn't exist is an empty table."""
+def read_json_folder(spark: SparkSession, path: str, schema: StructType | str, rows: int | None = -1, order: tuple[str, ...] = ()) -> DataFrame:
+    """Every *.json file below *path*, with its name, capped in order of name and then *order*; a folder that doesn't exist is an empty table."""
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     if not where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where):
         return spark.createDataFrame([], schema).withColumn("file", F.lit(None).cast("string"))
-    df = spark.read.schema(schema).option("multiLine", True).option("pathGlobFilter", "*.json").json(path)
-    return limited(df.withColumn("file", F.input_file_name()), rows, ["file"])
+    df = spark.read.schema(schema).option("multiLine", True).option("pathGlobFilter", "*.{json,txt}").json(path)
+    return limited(df.withColumn("file", F.input_file_name()), rows, ["file", *order])
 
 
-def read_datasets(spark: SparkSession, files: dict[str, str], split: str, schema: StructType | str, rows: int | None = -1) -> DataFrame:
+def write_json_arrays(df: DataFrame, path: str, chunk: Column, by: tuple[str, ...] = ()) -> None:
+    """*df* as JSON arrays, one a file and for each value of *chunk*, which bounds their length; in folders by *by* and chunk."""
+    whole = F.to_json(F.collect_list(F.struct(*[c for c in df.columns if c not in by]))).alias("value")
+    arrays = df.groupBy(*by, F.lpad(chunk.cast("long").cast("string"), 12, "0").alias("chunk")).agg(whole)
+    arrays.write.partitionBy(*by, "chunk").option("maxRecordsPerFile", 1).text(path)
+
+
+def read_datasets(spark: SparkSession, files: dict[str, str], split: str, schema: StructType | str, rows: int | None = -1, order: list | None = None) -> DataFrame:
     """The split's files of several data sets, one below the other, each row stamped with data set, split and file; the cap is on all together."""
     parts = [read_json_array(spark, path, schema).select("*", F.lit(name).alias("_dataset_name"), F.lit(split).alias("_split"), F.lit(path).alias("_file_path")) for name, path in files.items()]
-    return limited(reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts), rows)
+    return limited(reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts), rows, order)
 
 
 def read_videos(spark: SparkSession, path: str) -> DataFrame:
@@ -86,6 +93,45 @@ def frame_counts(frames: DataFrame, videos: DataFrame, prefix: str = "grp-") ->
     return videos.join(n, F.regexp_replace("video_uid", f"^{prefix}", "") == F.col("_u"), "left").drop("_u")
 
 
+def speech_points(rows: DataFrame, kind: str, speech: str) -> DataFrame:
+    """*rows* (start, end in ticks) with time in seconds: the middle of rows of the kind *speech*, the start of others."""
+    middle = F.when(F.col(kind) == speech, (F.col("start") + F.col("end")) / 2).otherwise(F.col("start"))
+    return rows.withColumn("time", ticks_to_seconds(middle))
+
+
+def first_ids_split(df: DataFrame, key: str, n: int = 40) -> DataFrame:
+    """*df* with split: train for the *n* smallest ids, val for the others. The ids are found by a top-n, not by sorting all of them."""
+    first = df.select(key).distinct().orderBy(key).limit(n).select(F.col(key).alias("_id"))
+    return df.join(F.broadcast(first), F.col(key) == F.col("_id"), "left").withColumn("split", F.when(F.col("_id").isNull(), "val").otherwise("train")).drop("_id")
+
+
+def file_of_each(files: DataFrame, videos: DataFrame, key: str, strict: bool = False) -> DataFrame:
+    """*videos* with path: the first of *files* (path) by name whose file name holds the video's id as a part between separators.
+
+    Videos without one have no path; with *strict* they are an error once they are read.
+    """
+    part = F.explode(F.array_distinct(F.split(F.regexp_extract("path", r"([^/]*?)(\.[^./]*)?$", 1), r"[^0-9A-Za-z]+")))
+    named = files.select("path", part.alias("_part")).groupBy("_part").agg(F.min("path").alias("path"))
+    met = videos.join(named, F.col(key).cast("string") == F.col("_part"), "left").drop("_part")
+    if not strict:
+        return met
+    return met.withColumn("path", F.coalesce("path", F.raise_error(F.concat(F.lit("no annotation file for "), F.col(key).cast("string")))))
+
+
+def decoded_frames(frames: DataFrame, fps: float) -> DataFrame:
+    """(video_uid, frame_idx, time, data) of stored frames: a feature where there is one, else the image, which is base64 text."""
+    return frames.select("video_uid", "frame_idx", (F.col("frame_idx") / fps).alias("time"), F.coalesce("feature", F.unbase64("image")).alias("data"))
+
+
+def checked_clips(frames: DataFrame, clips: DataFrame, strict: bool = False) -> DataFrame:
+    """*clips* with n_frames and error: what is wrong with the clip's bounds, or null. With *strict* a wrong one fails once it is read."""
+    n = frames.groupBy("video_uid").agg(F.count(F.lit(1)).alias("n_frames"))
+    met = clips.join(n, "video_uid", "left").na.fill(0, ["n_frames"])
+    wrong = F.when(F.col("clip_end") > F.col("n_frames"), F.concat(F.lit("clip ends at "), F.col("clip_end").cast("string"), F.lit(" of "), F.col("n_frames").cast("string")))
+    wrong = wrong.when(F.col("clip_start") >= F.col("clip_end"), F.lit("clip is empty"))
+    return met.withColumn("error", F.when(wrong.isNotNull(), F.raise_error(wrong)).otherwise(wrong) if strict else wrong)
+
+
 def frame_range(frames: DataFrame, clips: DataFrame) -> DataFrame:
     """Frames from clip_start up to, not including, clip_end of each clip, with its number in the clip."""
     met = frames.join(clips, "video_uid").filter((F.col("frame_idx") >= F.col("clip_start")) & (F.col("frame_idx") < F.col("clip_end")))
@@ -126,8 +172,8 @@ def prepared_name(prefix: str, split: str, length: int, tokens: int, separator:
 
 
 def read_predictions(spark: SparkSession, path: str, schema: str, expected: int | None = None) -> DataFrame:
-    """Files named by sample number, with that number; fails if *expected* samples aren't all there."""
-    df = spark.read.schema(schema).option("multiLine", True).json(path).withColumn("sample_idx", F.regexp_extract(F.input_file_name(), r"(\d+)\.json$", 1).try_cast("long"))
+    """Files (or folders) named by sample number, with that number; fails if *expected* samples aren't all there."""
+    df = spark.read.schema(schema).option("multiLine", True).json(path).withColumn("sample_idx", F.regexp_extract(F.input_file_name(), r"(\d+)(\.json|/[^/]*)$", 1).try_cast("long"))
     if expected is not None and (have := df.select("sample_idx").distinct().count()) != expected:
         raise ValueError(f"{have} of {expected} samples are there")
     return df

@@ -6,7 +6,7 @@ event time; across batches the source must deliver a key in order, as a log per
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -15,7 +15,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 _RESULT = {"start": "in_progress", "complete": "completed"}
 #: What to do when a context is full.
-POLICIES = ("none", "drop_all", "drop_middle", "summarize")
+POLICIES = ("none", "drop_all", "drop_middle", "summarize", "summarize_with_dst")
 
 
 def replay_states(steps: DataFrame, key: str, order: list[str]) -> DataFrame:
@@ -53,32 +53,37 @@ def changes(df: DataFrame, key: str, order: list[str], value: str) -> DataFrame:
     return df.groupBy(key).applyInPandasWithState(run, schema, "before string", "append", GroupStateTimeout.NoTimeout)
 
 
-def overflow(costs: list[int], policy: str, most: int, reserve: int = 0, head: int = 1, tail: int = 2, summary: int = 20) -> list[int]:
+def overflow(costs: list[int], policy: str, most: int, reserve: int = 0, head: int = 1, tail: int = 2, summary: int = 20, states: int = 0) -> list[int]:
     """What is left of a context of items with *costs* once it reaches *most* less *reserve*.
 
     none keeps all; drop_all drops all; drop_middle keeps the first *head* and last *tail* items; summarize puts one item of cost
-    *summary* in the place of all.
+    *summary* in the place of all; summarize_with_dst adds the cost of the steps' *states* to it.
     """
+    if policy not in POLICIES:
+        raise ValueError(f"{policy} is none of {', '.join(POLICIES)}")
     if policy == "none" or sum(costs) < most - reserve:
         return costs
     if policy == "drop_all":
         return []
     if policy == "drop_middle":
         return costs if len(costs) <= head + tail else costs[:head] + costs[-tail:]
-    return [summary]
+    return [summary + (states if policy == "summarize_with_dst" else 0)]
 
 
-def context_sizes(items: DataFrame, key: str, order: str, cost: str, policy: str, most: int) -> DataFrame:
-    """(key, order, size, dropped): the context's size after each item, and what the policy took out of it."""
+def context_sizes(items: DataFrame, key: str, order: str, cost: str, policy: str, most: int, states: str | None = None) -> DataFrame:
+    """(key, order, size, dropped): the context's size after each item, and what the policy took out of it.
+
+    *states*: the column with the cost of the steps' states at each item, for summarize_with_dst.
+    """
     kinds = dict(items.dtypes)
 
     def run(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         held = [int(x) for x in state.get[0].split(",") if x] if state.exists else []
         rows = pd.concat(list(batches)).sort_values(order)
         size, dropped = [], []
-        for c in rows[cost]:
+        for c, s in zip(rows[cost], rows[states] if states else [0] * len(rows), strict=True):
             full = [*held, int(c)]
-            held = overflow(full, policy, most)
+            held = overflow(full, policy, most, states=int(s))
             size.append(sum(held))
             dropped.append(sum(full) - sum(held))
         state.update((",".join(map(str, held)),))
@@ -87,6 +92,49 @@ def context_sizes(items: DataFrame, key: str, order: str, cost: str, policy: str
     return items.groupBy(key).applyInPandasWithState(run, f"{key} {kinds[key]}, {order} {kinds[order]}, size long, dropped long", "held string", "append", GroupStateTimeout.NoTimeout)
 
 
+Speaker = Callable[[str, str, str], str]
+
+
+def stub_speaker(said: str, last: str, knowledge: str) -> str:
+    """What a model would say, made of the frame's text alone: nothing where that is empty or was said last."""
+    return "" if said in ("", last) else said
+
+
+def frame_loop(frames: DataFrame, key: str, order: list[str], speaker: Speaker = stub_speaker, use_reference: bool = False, max_time: float = -1) -> DataFrame:
+    """(key, *order, time, gen, ref) for the frames of each video (system, said, ref, time), one after the other.
+
+    The state of a video is its last message, its knowledge (the first system text that holds "Task knowledge:"), its first system
+    text, and whether it has ended. *use_reference* feeds the reference back as the last message, where there is one, instead of what was
+    generated. The frame that reaches *max_time* is the last.
+    """
+    kinds = dict(frames.dtypes)
+    names = list(dict.fromkeys([key, *order, "time"]))
+    schema = ", ".join(f"{c} {kinds[c]}" for c in names) + ", gen string, ref string"
+
+    def run(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        last, known, first, ended = state.get if state.exists else ("", "", None, False)
+        rows = pd.concat(list(batches)).sort_values(order)
+        out = []
+        for at, r in enumerate(rows.itertuples(index=False)):
+            if ended:
+                break
+            system = r.system or ""
+            first = system if first is None else first
+            known = known or (system if "Task knowledge:" in system else "")
+            gen = speaker(r.said or "", last, known)
+            out.append((at, gen))
+            if use_reference and r.ref is not None:
+                last = r.ref
+            else:
+                last = gen or last
+            ended = 0 < max_time <= r.time
+        state.update((last, known, first or "", ended))
+        if out:
+            yield rows.iloc[[at for at, _ in out]][[*names, "ref"]].assign(gen=[g for _, g in out])[[*names, "gen", "ref"]]
+
+    return frames.groupBy(key).applyInPandasWithState(run, schema, "last string, known string, first string, ended boolean", "append", GroupStateTimeout.NoTimeout)
+
+
 def window_counts(events: DataFrame, time: str, width: str, slide: str | None = None, late: str = "10 minutes", by: tuple[str, ...] = ()) -> DataFrame:
     """Rows per window of event time and *by*; rows later than *late* behind the latest are dropped by the stream."""
     w = F.window(time, width, slide) if slide else F.window(time, width)
