@@ -347,3 +347,42 @@ def test_prompts_are_sent_once_a_round(spark):
     assert out.filter("ok").count() == 0 and out.count() == 20 and calls.value == 60
     never = map_spans(spark.createDataFrame([(1, 3, 2)], "k int, blocks int, steps int"), "k", lambda ps: ["[2, 1, 1]"] * len(ps)).first()
     assert never.mapping is None and never.tries == 3
+
+
+def test_state_is_carried_over_micro_batches(spark, tmp_path):
+    import os
+
+    from tidewright.streaming.runs import run_to_table
+    from tidewright.streaming.stateful import changes, context_sizes, replay_states
+
+    rows = [(u, e, f"S{e % 3}", ("start", "complete", "reset")[e % 5 % 3], 10 + e) for e in range(30) for u in (1, 2)]
+    columns = "user_id long, event_id long, step_id string, transition string, cost long"
+    path = tmp_path / "log"
+    path.mkdir()
+    for n in range(3):  # a file a batch, in order of time
+        spark.createDataFrame(rows[n * 20 : n * 20 + 20], columns).coalesce(1).write.parquet(str(tmp_path / f"part{n}"))
+        source = next((tmp_path / f"part{n}").glob("part-*.parquet"))
+        os.utime(source.rename(path / f"{n}.parquet"), (n + 1, n + 1))
+    whole = tmp_path / "whole"
+    spark.createDataFrame(rows, columns).coalesce(1).write.parquet(str(whole))
+    schema = spark.read.parquet(str(whole)).schema
+    stream = lambda where, **o: spark.readStream.schema(schema).options(**o).parquet(str(where))
+    for run in (lambda s: replay_states(s, "user_id", ["event_id"]), lambda s: changes(s, "user_id", ["event_id"], "step_id"), lambda s: context_sizes(s, "user_id", "event_id", "cost", "drop_middle", 100)):
+        many = run_to_table(run(stream(path, maxFilesPerTrigger=1, pathGlobFilter="*.parquet")))
+        assert sorted(map(str, many.collect())) == sorted(map(str, run_to_table(run(stream(whole))).collect()))
+
+
+def test_matching_in_parts_is_matching_of_the_whole(spark):
+    r = random.Random(3)
+    rows = [(u, f, r.choice(["", "a b", "b c"]), r.choice(["", "a c", "b"])) for u in (1, 2) for f in sorted(r.sample(range(200), 70))]
+    frames = spark.createDataFrame(rows, "u int, frame long, gen string, ref string")
+    candidates = M.match_candidates(frames, ["u"], (-4, 2))
+    cost = {}
+    for c in candidates.collect():
+        cost.setdefault(c.u, {})[c.gen_frame, c.ref_frame] = c.cost
+    got = {}
+    for x in M.match_assign(candidates, "u").collect():
+        got.setdefault(x.u, {})[x.gen_frame] = x.ref_frame
+    for u in cost:
+        want = M.assign(cost[u])
+        assert len(got[u]) == len(want) and sum(cost[u][k] for k in got[u].items()) == pytest.approx(sum(cost[u][k] for k in want.items()))

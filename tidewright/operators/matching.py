@@ -6,7 +6,7 @@ import heapq
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewright.functions.text import jaccard
@@ -96,15 +96,25 @@ def assign(cost: dict[tuple[int, int], float]) -> dict[int, int]:
 
 
 def match_assign(candidates: DataFrame, key: str) -> DataFrame:
-    """(key, gen_frame, ref_frame, text_cost, cost, silent) of the least-cost assignment within each key."""
+    """(key, gen_frame, ref_frame, text_cost, cost, silent) of the least-cost assignment within each key.
+
+    A key's frames are cut where no candidate reaches over: the parts have assignments of their own, so a long history is many folds.
+    """
     kind = candidates.schema[key].dataType.simpleString()
+    least = F.min("ref_frame").over(Window.partitionBy(key).orderBy("gen_frame").rangeBetween(0, Window.unboundedFollowing))
+    reach = F.max("ref_frame").over(Window.partitionBy(key).orderBy("gen_frame").rangeBetween(Window.unboundedPreceding, -1))
+    cut = candidates.withColumn("_cut", F.coalesce(reach < least, F.lit(False)).cast("int"))
+    part = F.sum("_cut").over(Window.partitionBy(key).orderBy("gen_frame"))
+    # every row of a frame that begins a part counts, so the sums rise by more than one: only that they differ matters
+    parts = cut.withColumn("_part", F.concat_ws("/", part.cast("string"), F.col(key).cast("string")))
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         cost = {(int(i), int(j)): float(c) for i, j, c in zip(rows["gen_frame"], rows["ref_frame"], rows["cost"], strict=True)}
         chosen = assign(cost)
-        return rows[[chosen.get(int(i)) == int(j) for i, j in zip(rows["gen_frame"], rows["ref_frame"], strict=True)]]
+        kept = rows[[chosen.get(int(i)) == int(j) for i, j in zip(rows["gen_frame"], rows["ref_frame"], strict=True)]]
+        return kept[[key, "gen_frame", "ref_frame", "text_cost", "cost", "silent"]]
 
-    return fold_groups(candidates, key, ["gen_frame", "ref_frame"], ["text_cost", "cost", "silent"], run, f"{key} {kind}, gen_frame long, ref_frame long, text_cost double, cost double, silent boolean")
+    return fold_groups(parts, "_part", ["gen_frame", "ref_frame"], [key, "text_cost", "cost", "silent"], run, f"{key} {kind}, gen_frame long, ref_frame long, text_cost double, cost double, silent boolean")
 
 
 def turn_taking(frames: DataFrame, matches: DataFrame, key: list[str], fps: float, threshold: float = 0.5) -> DataFrame:

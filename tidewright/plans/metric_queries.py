@@ -10,6 +10,7 @@ from tidewright.operators import metrics as X
 from tidewright.plans import derived as D
 from tidewright.plans.registry import query
 from tidewright.session import table
+from tidewright.sources.scratch import written
 
 _FR = ("timed", "frames")
 _W = r"list_filter(string_split_regex(coalesce(%s, ''), '[ \t\n\r\f\v]+'), lambda w: w <> '')"
@@ -61,7 +62,7 @@ def match_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("O107 O53 O247")
 def turn_taking_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = _frames(spark, sf_dir)
-    matches = M.match_assign(M.match_candidates(f, ["user_id"], (-4, 2)), "user_id")
+    matches = written(M.match_assign(M.match_candidates(f, ["user_id"], (-4, 2)), "user_id"), "matches")  # read twice
     return M.turn_taking(f, matches, ["user_id"], 2.0, 0.4)
 
 
