@@ -41,7 +41,7 @@ def merge_narrations(items: Column) -> Column:
     """The first two narrations that begin with "#C C" and aren't unsure, as one sentence; a second mark inside one ends it."""
 
     def one(t: Column, i: Column) -> Column:
-        again = F.instr(F.substring(t, 2, 1_000_000), "#C C")
+        again = F.instr(F.substring(t, 2, 2147483647), "#C C")
         cut = F.when(again > 0, F.trim(F.substring(t, F.lit(1), again))).otherwise(t)
         return F.replace(cut, F.lit("#C C"), F.when(i == 0, "C").otherwise("and"))
 
@@ -75,7 +75,7 @@ def describe_updates(updates: Column) -> Column:
 
 def system_prompt(steps: Column, states: Column) -> Column:
     """Prompt of an array of struct(step_id, name) and a map of states: overview, persona, states in order of step numbers."""
-    known = F.transform(steps, lambda s: F.struct(F.substring(s["step_id"], 2, 100).try_cast("int").alias("n"), s["step_id"].alias("s"), F.coalesce(F.try_element_at(states, s["step_id"]), F.lit("not_started")).alias("v")))
+    known = F.transform(steps, lambda s: F.struct(F.substring(s["step_id"], 2, 2147483647).try_cast("int").alias("n"), s["step_id"].alias("s"), F.coalesce(F.try_element_at(states, s["step_id"]), F.lit("not_started")).alias("v")))
     line = F.array_join(F.transform(F.array_sort(known), lambda s: F.concat(F.lit("Step "), s["s"], F.lit(": "), s["v"])), ", ")
     overview = F.concat(F.lit(OVERVIEW + "\n"), F.array_join(F.transform(steps, lambda s: F.concat(s["step_id"], F.lit(": "), s["name"])), "\n"), F.lit("\n\n"))
     return F.concat(F.when(F.size(steps) > 0, overview).otherwise(""), F.lit(f"{PERSONA}\n\n{STATE_TITLE}\nCurrent step states - "), line)

@@ -124,7 +124,7 @@ def ends_window(values: Column, k: int) -> Column:
 
 def natural_step_order(step_id: Column) -> tuple[Column, Column]:
     """Order of step ids: by number where one follows the letter, then by text."""
-    return F.substring(step_id, 2, 100).try_cast("int"), step_id
+    return F.substring(step_id, 2, 2147483647).try_cast("int"), step_id
 
 
 def ratio_histogram(positive: Column, total: Column) -> Column:
