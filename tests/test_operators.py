@@ -386,3 +386,15 @@ def test_matching_in_parts_is_matching_of_the_whole(spark):
     for u in cost:
         want = M.assign(cost[u])
         assert len(got[u]) == len(want) and sum(cost[u][k] for k in got[u].items()) == pytest.approx(sum(cost[u][k] for k in want.items()))
+
+
+def test_meteor_of_exact_words(spark):
+    assert X.meteor_of("a b c d".split(), "a b c d".split()) == pytest.approx(1 - 0.5 / 64)
+    assert X.meteor_of("c d a b".split(), "a b c d".split()) == pytest.approx(1 - 0.5 / 8)
+    assert X.meteor_of("a x".split(), "a b c".split()) == pytest.approx(10 * 0.5 / 3 / (1 / 3 + 4.5) * 0.5)
+    assert X.meteor_of("a a a".split(), ["a"]) == pytest.approx(10 / 3 / (1 + 3) * 0.5)
+    assert X.meteor_of([], ["a"]) == X.meteor_of(["a"], []) == 0
+    pairs = spark.createDataFrame([(1, "a b c d", "a b c d"), (2, "x", " "), (3, None, "y")], "k int, h string, r string")
+    got = {r.metric: r.value for r in X.text_scores(pairs, "k", "h", "r", ("meteor", "bleu", "nonsense")).collect()}
+    assert set(got) == {"meteor", "bleu_1", "bleu_2", "bleu_3", "bleu_4"} and got["meteor"] == pytest.approx((1 - 0.5 / 64) / 2)
+    assert {r.value for r in X.text_scores(pairs.filter("k = 2"), "k", "h", "r").collect()} == {0.0}

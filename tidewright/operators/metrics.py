@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections import deque
+from collections.abc import Iterator
+from functools import reduce
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -96,6 +101,61 @@ def cider(pairs: DataFrame, key: str, hyp: str, ref: str, most: int = 4, sigma:
     return w.select(key, penalty.alias("p")).join(summed, key, "left").select(key, (F.coalesce("s", F.lit(0.0)) * F.col("p") / most * 10).alias("cider"))
 
 
+def meteor_of(hyp: list[str], ref: list[str]) -> float:
+    """METEOR's first stage, exact matches, of one pair: weighted harmonic mean with recall, less a penalty for many chunks.
+
+    Words are matched from left to right: to the reference's next place where that goes on a chunk, else to the first free place.
+    """
+    places: dict[str, deque[int]] = {}
+    for j, w in enumerate(ref):
+        places.setdefault(w, deque()).append(j)
+    used, last, matches, chunks = set(), -2, 0, 0
+    for w in hyp:
+        at = last + 1 if last + 1 < len(ref) and last >= -1 and ref[last + 1] == w and last + 1 not in used else None
+        if at is None:
+            free = places.get(w, deque())
+            while free and free[0] in used:
+                free.popleft()
+            at = free.popleft() if free else None
+            chunks += at is not None
+        if at is None:
+            last = -2
+            continue
+        used.add(at)
+        matches, last = matches + 1, at
+    if not matches:
+        return 0.0
+    precision, recall = matches / len(hyp), matches / len(ref)
+    return 10 * precision * recall / (recall + 9 * precision) * (1 - 0.5 * (chunks / matches) ** 3)
+
+
+def meteor(pairs: DataFrame, key: str, hyp: str, ref: str) -> DataFrame:
+    """(key, meteor) of one hypothesis and one reference each, by meteor_of() on words between white space."""
+    kind = pairs.schema[key].dataType.simpleString()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            yield pd.DataFrame({key: rows[key], "meteor": [meteor_of((h or "").split(), (r or "").split()) for h, r in zip(rows[hyp], rows[ref], strict=True)]})
+
+    return pairs.select(key, hyp, ref).mapInPandas(run, f"`{key}` {kind}, meteor double")
+
+
+def text_scores(pairs: DataFrame, key: str, hyp: str, ref: str, names: tuple[str, ...] = ("bleu", "cider", "meteor")) -> DataFrame:
+    """(metric, value) of the metrics in *names* over all pairs with a reference that isn't blank; unknown names are skipped, and 0 stands for no pairs."""
+    valid = pairs.filter(F.size(words_of(F.col(ref))) > 0)
+    mean = lambda df, c: df.agg(F.lit(c).alias("metric"), F.avg(c).alias("value"))
+    known = {
+        "bleu": lambda: bleu(valid, key, hyp, ref).unpivot([], [f"bleu_{n}" for n in range(1, 5)], "metric", "value"),
+        "cider": lambda: mean(cider(valid, key, hyp, ref), "cider"),
+        "meteor": lambda: mean(meteor(valid, key, hyp, ref), "meteor"),
+    }
+    parts = [known[name]() for name in dict.fromkeys(names) if name in known]
+    if not parts:
+        raise ValueError(f"none of {', '.join(names)} is a metric")
+    some = F.coalesce(valid.agg((F.count(F.lit(1)) > 0).alias("s")).scalar(), F.lit(False))
+    return reduce(lambda a, b: a.unionByName(b), parts).withColumn("value", F.when(some, F.coalesce("value", F.lit(0.0))).otherwise(0.0))
+
+
 def zscore_fusion(df: DataFrame, group: list[str], first: str, second: str, weights: tuple[float, float] = (0.6, 0.4)) -> DataFrame:
     """Weighted sum of two scores, each normalised within its group by mean and population deviation; raw where that is 0."""
     w = Window.partitionBy(*group)
@@ -111,18 +171,22 @@ def softmax_confidence(df: DataFrame, group: list[str], score: str, threshold: f
     return total.select(*group, (1 / F.col("_total")).alias("confidence"), (1 / F.col("_total") >= threshold).alias("is_clear"))
 
 
-def gap_confidence(scores: Column) -> Column:
-    """Confidence of an array of scores from the gap between the best two and their range, from 0 to 1."""
-    top = F.slice(F.sort_array(scores, asc=False), 1, 2)
-    span = F.array_max(scores) - F.array_min(scores)
-    gap = F.when(span > 0, (top[0] - top[1]) / span).otherwise(1.0)
+def gap_confidence_of(best: Column, second: Column, least: Column) -> Column:
+    """Confidence in the best of some scores from its gap to the second and their range, from 0 to 1."""
+    span = best - least
+    gap = F.when(span > 0, (best - second) / span).otherwise(1.0)
     raw = 0.7 / (1 + F.exp(-5 * gap)) + 0.3 * F.when(span > 0, span / span).otherwise(0.0)
     return F.least(F.greatest(raw, F.lit(0.0)), F.lit(1.0))
 
 
-def first_argmax(scores: Column) -> Column:
-    """Index, from 0, of the first greatest item of an array."""
-    return (F.array_position(scores, F.array_max(scores)) - 1).cast("int")
+def best_of_groups(df: DataFrame, group: list[str], order: str, score: str) -> DataFrame:
+    """(group, best, confidence, n): the place by *order*, from 0, of each group's first greatest score, and the confidence in it; no group is collected."""
+    w = Window.partitionBy(*group)
+    ranked = df.withColumns({"_pos": F.row_number().over(w.orderBy(order)) - 1, "_rank": F.row_number().over(w.orderBy(F.col(score).desc(), order))})
+    found = ranked.groupBy(*group).agg(
+        F.max(F.when(F.col("_rank") == 1, F.col("_pos"))).alias("best"), F.max(score).alias("_a"), F.max(F.when(F.col("_rank") == 2, F.col(score))).alias("_b"), F.min(score).alias("_c"), F.count(F.lit(1)).alias("n")
+    )
+    return found.select(*group, "best", gap_confidence_of(F.col("_a"), F.col("_b"), F.col("_c")).alias("confidence"), "n")
 
 
 def similarity_statistics(df: DataFrame, confidence: str, clear: str) -> DataFrame:

@@ -102,6 +102,12 @@ def cider_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     return X.cider(_pairs(spark, sf_dir), "doc_id", "hyp", "ref").withColumn("cider", F.round("cider", 6))
 
 
+@query("O115 O272 O47")
+def text_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """METEOR by exact words only: its stems and synonyms need data that isn't here."""
+    return X.text_scores(_pairs(spark, sf_dir), "doc_id", "hyp", "ref", ("bleu", "meteor", "unknown")).withColumn("value", F.round("value", 6))
+
+
 @query("O153", """
 SELECT l_orderkey, l_linenumber, round(0.6 * CASE WHEN min(l_quantity) OVER w < max(l_quantity) OVER w THEN (l_quantity - avg(l_quantity) OVER w) / stddev_pop(l_quantity) OVER w ELSE l_quantity END +
   0.4 * CASE WHEN min(l_discount) OVER w < max(l_discount) OVER w THEN (l_discount - avg(l_discount) OVER w) / stddev_pop(l_discount) OVER w ELSE l_discount END, 4) + 0.0 AS fused
@@ -122,9 +128,8 @@ def softmax_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT user_id, event_type, list_position(s, list_max(s))::INT - 1 AS best, round(0.7 / (1 + exp(-5 * CASE WHEN list_max(s) > list_min(s) THEN (list_sort(s, 'DESC')[1] - list_sort(s, 'DESC')[2]) / (list_max(s) - list_min(s)) ELSE 1 END)) +
   CASE WHEN list_max(s) > list_min(s) THEN 0.3 ELSE 0 END, 6) AS confidence FROM (SELECT user_id, event_type, list(value ORDER BY event_id) AS s FROM events GROUP BY ALL) WHERE len(s) >= 2""")
 def argmax_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct("event_id", "value"))), lambda x: x["value"])
-    e = table(spark, sf_dir, "events").groupBy("user_id", "event_type").agg(ordered.alias("s")).filter(F.size("s") >= 2)
-    return e.select("user_id", "event_type", X.first_argmax(F.col("s")).alias("best"), F.round(X.gap_confidence(F.col("s")), 6).alias("confidence"))
+    found = X.best_of_groups(table(spark, sf_dir, "events"), ["user_id", "event_type"], "event_id", "value").filter("n >= 2")
+    return found.select("user_id", "event_type", "best", F.round("confidence", 6).alias("confidence"))
 
 
 @query("O102 O103", """
