@@ -117,7 +117,12 @@ def absorb_contained(spark: SparkSession, sf_dir: str) -> DataFrame:
     return I.absorb_contained(D.blocks(spark, sf_dir), "user_id", "event_id")
 
 
-@query("O147")
+@query("O147", """
+WITH RECURSIVE x AS (SELECT user_id, event_id, text, start_ts, end_ts, row_number() OVER (PARTITION BY user_id ORDER BY start_ts, event_id) AS rn, list_distinct(string_split(lower(text), ' ')) AS w FROM blocks WHERE end_ts IS NOT NULL),
+r AS (SELECT user_id, rn, event_id AS head, text AS head_text, start_ts AS head_start, w AS head_w, end_ts, 1 AS merged FROM x WHERE rn = 1 UNION ALL
+  SELECT x.user_id, x.rn, CASE WHEN t.joins THEN r.head ELSE x.event_id END, CASE WHEN t.joins THEN r.head_text ELSE x.text END, CASE WHEN t.joins THEN r.head_start ELSE x.start_ts END, CASE WHEN t.joins THEN r.head_w ELSE x.w END, x.end_ts, CASE WHEN t.joins THEN r.merged + 1 ELSE 1 END
+  FROM r JOIN x ON x.user_id = r.user_id AND x.rn = r.rn + 1, LATERAL (SELECT x.start_ts - r.end_ts < 2 AND len(list_intersect(r.head_w, x.w)) / len(list_distinct(list_concat(r.head_w, x.w))) > 0.6 AS joins) t)
+SELECT user_id, head AS event_id, any_value(head_text) AS text, any_value(head_start) AS start_ts, arg_max(end_ts, merged) AS end_ts, max(merged) AS merged FROM r GROUP BY user_id, head""", ("timed", "blocks"))
 def merge_micro_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return I.merge_micro_gaps(_solid(spark, sf_dir), "user_id", "event_id")
 

@@ -121,7 +121,15 @@ def prediction_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.read_predictions(spark, path, "n_name string, sample int", n.count()).select("sample_idx", "n_name")
 
 
-@query("O240")
+@query("O240", """
+WITH RECURSIVE x AS (SELECT conv_id, turn, CASE WHEN length(text) = 0 THEN 0 ELSE greatest(length(text) // 4, 1) END AS cost, turn * 2 AS states, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS rn FROM conversations),
+p AS (SELECT unnest(['none', 'drop_all', 'drop_middle', 'summarize', 'summarize_with_dst']) AS policy),
+w AS (SELECT p.policy, conv_id, 0::BIGINT AS turn, 0::BIGINT AS rn, []::BIGINT[] AS held, 0::BIGINT AS dropped FROM (SELECT DISTINCT conv_id FROM x), p UNION ALL
+  SELECT w.policy, x.conv_id, x.turn, x.rn, u.h, coalesce(list_sum(t.f), 0)::BIGINT - coalesce(list_sum(u.h), 0)::BIGINT
+  FROM w JOIN x ON x.conv_id = w.conv_id AND x.rn = w.rn + 1, LATERAL (SELECT list_append(w.held, x.cost::BIGINT) AS f) t,
+  LATERAL (SELECT CASE WHEN w.policy = 'none' OR list_sum(t.f) < 300 THEN t.f WHEN w.policy = 'drop_all' THEN []::BIGINT[] WHEN w.policy = 'drop_middle' THEN CASE WHEN len(t.f) <= 3 THEN t.f ELSE list_concat(t.f[1:1], t.f[-2:]) END
+    WHEN w.policy = 'summarize' THEN [20::BIGINT] ELSE [20 + x.states::BIGINT] END AS h) u)
+SELECT policy, conv_id, turn, coalesce(list_sum(held), 0)::BIGINT AS size, dropped FROM w WHERE rn > 0""")
 def context_policies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every policy over every conversation, each as a stream; the states' cost is two for each turn before."""
     cost = T.approximate_tokens(F.col("text"))

@@ -174,7 +174,8 @@ def near_time_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.band_join(a, b, ["user_id"], "ta", "tb", -1800, 1800).select("user_id", "click_id", "view_id")
 
 
-@query("O63")
+@query("O63", """
+SELECT p.user_id, p.event_id, min(s.span_id) AS span_id FROM timed p JOIN spans s ON p.event_type = 'click' AND s.user_id = p.user_id AND p.time BETWEEN s.start_ts AND s.end_ts GROUP BY p.user_id, p.event_id""", ("timed", "steps", "spans"))
 def point_in_interval_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each click with the first span, by source order, that holds it."""
     points = D.timed(spark, sf_dir).filter("event_type = 'click'").select("user_id", "event_id", "time")
@@ -182,7 +183,8 @@ def point_in_interval_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.top_per_group(met, ["event_id"], ["span_id"]).select("user_id", "event_id", "span_id")
 
 
-@query("O65 O66")
+@query("O65 O66", """
+SELECT a.user_id, a.event_id AS click_id, min(b.event_id) AS view_id FROM timed a JOIN timed b ON a.event_type = 'click' AND b.event_type = 'view' AND a.user_id = b.user_id AND abs(b.time - a.time) < 1800 GROUP BY a.user_id, a.event_id""", ("timed",))
 def near_time_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each click with the first view, by source order, less than 1800 seconds off; a view may meet several clicks."""
     t = D.timed(spark, sf_dir)
