@@ -147,17 +147,35 @@ def judge_means(spark: SparkSession, sf_dir: str) -> DataFrame:
     return X.two_level_mean(table(spark, sf_dir, "events"), ["event_type"], ["user_id"], "value").withColumn("value", F.round("value", 6))
 
 
-@query("O148 O278 O152")
+# each block's scores over the steps that its user has, by place
+_BLOCKS = """v AS (SELECT user_id, floor(time / 86400)::BIGINT AS block, event_id % 6 AS step, sum(value) AS score FROM timed GROUP BY ALL),
+st AS (SELECT user_id, step, row_number() OVER (PARTITION BY user_id ORDER BY step) AS j FROM (SELECT DISTINCT user_id, step FROM v)),
+bl AS (SELECT user_id, block, row_number() OVER (PARTITION BY user_id ORDER BY block) AS i, count(*) OVER (PARTITION BY user_id) AS n FROM (SELECT DISTINCT user_id, block FROM v)),
+x AS (SELECT bl.user_id, bl.block, i, n, list(coalesce(score, 0.0) ORDER BY j) AS s, list(st.step ORDER BY j) AS steps, count(*) AS m FROM bl JOIN st USING (user_id) LEFT JOIN v ON v.user_id = bl.user_id AND v.block = bl.block AND v.step = st.step GROUP BY ALL)"""
+
+
+@query("O148 O278 O152", f"""
+WITH RECURSIVE {_BLOCKS},
+w AS (SELECT user_id, i, n, list_transform(range(1, m + 1), lambda j: CASE WHEN j = 1 THEN s[1] ELSE -1e300 END) AS best, list_transform(range(1, m + 1), lambda j: [j]) AS paths FROM x WHERE i = 1 UNION ALL
+  SELECT x.user_id, x.i, x.n, list_transform(range(1, x.m + 1), lambda j: greatest(w.best[j], CASE WHEN j > 1 THEN w.best[j - 1] ELSE -1e300 END) + x.s[j]),
+    list_transform(range(1, x.m + 1), lambda j: list_append(CASE WHEN j > 1 AND w.best[j - 1] > w.best[j] THEN w.paths[j - 1] ELSE w.paths[j] END, j)) FROM w JOIN x ON x.user_id = w.user_id AND x.i = w.i + 1),
+e AS (SELECT user_id, paths[list_position(best, list_max(best))] AS path FROM w WHERE i = n)
+SELECT x.user_id, x.block, x.steps[e.path[x.i]] AS step FROM x JOIN e USING (user_id)""", ("timed",))
 def monotonic_dp(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.align_blocks(_scores(spark, sf_dir), "user_id", "dp")
 
 
-@query("O151 O295")
+@query("O151 O295", f"""
+WITH RECURSIVE {_BLOCKS},
+f AS (SELECT user_id, i, 1::BIGINT AS j FROM x WHERE i = 1 UNION ALL SELECT x.user_id, x.i, CASE WHEN f.j + 1 <= x.m AND x.s[f.j + 1] > x.s[f.j] THEN f.j + 1 ELSE f.j END FROM f JOIN x ON x.user_id = f.user_id AND x.i = f.i + 1),
+b AS (SELECT user_id, i, m AS j FROM x WHERE i = n UNION ALL SELECT x.user_id, x.i, CASE WHEN b.j > 1 AND x.s[b.j - 1] > x.s[b.j] THEN b.j - 1 ELSE b.j END FROM b JOIN x ON x.user_id = b.user_id AND x.i = b.i - 1)
+SELECT x.user_id, x.block, CASE WHEN x.s[b.j] > x.s[f.j] THEN x.steps[b.j] ELSE x.steps[f.j] END AS step, round(greatest(x.s[f.j], x.s[b.j]), 4) AS confidence, f.j <> b.j AS conflict
+FROM x JOIN f ON f.user_id = x.user_id AND f.i = x.i JOIN b ON b.user_id = x.user_id AND b.i = x.i""", ("timed",))
 def greedy_passes(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = _scores(spark, sf_dir)
     conf = s.withColumnRenamed("score", "confidence")
     side = lambda how: M.align_blocks(s, "user_id", how).join(conf, ["user_id", "block", "step"], "left").na.fill(0.0, ["confidence"])
-    return M.resolve_conflicts(side("forward"), side("backward"), ["user_id", "block"])
+    return M.resolve_conflicts(side("forward"), side("backward"), ["user_id", "block"]).withColumn("confidence", F.round("confidence", 4))
 
 
 def _scores(spark: SparkSession, sf_dir: str) -> DataFrame:
