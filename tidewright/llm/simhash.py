@@ -1,19 +1,24 @@
 """SimHash near-duplicates found by the generalised pigeonhole principle.
 
-The 64 bits are grouped into partitions of correlated bits. Partition i gets a threshold t_i; if the sum of
+The first 64 bits are grouped into partitions of correlated bits. Partition i gets a threshold t_i; if the sum of
 (t_i + 1) exceeds the allowed distance, then two fingerprints within that distance differ in at most t_i
 bits of some partition i, so no link is lost whatever the thresholds. A dynamic program chooses the thresholds (and
 the number of partitions) that cost least by the candidate counts estimated on a bounded sample of fingerprints.
 Fingerprints meet in buckets: each is filed under its partition's bits with up to t_i / 2 of them flipped, from both
-sides. Every pair in a bucket is verified on all 64 bits, and a bucket leaves at most a spanning forest or, where it is
-small, its verified pairs. Components of the links are found by alternating star contraction.
+sides; where t_i is odd, one more flip is filed to probe with only. Every pair in a bucket is verified on all bits, and a bucket
+leaves its verified pairs where there are no more of them than rows, else a spanning forest. Buckets with very many rows are split over tasks. Components
+of the links are found by alternating star contraction.
+
+A fingerprint may have more words of 64 bits: the search stays on the first, and the others make the verification sharper, so that
+a wide distance on the first doesn't link texts that are unlike. The links can then be checked by the Jaccard similarity of the
+whole shingle sets.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import combinations
-from math import comb
+from math import acos, comb, pi, sqrt
 
 import numpy as np
 import pandas as pd
@@ -21,51 +26,85 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewright.llm.shared import write_table, written
+from tidewright.llm.shared import unused_names, write_table, written
 from tidewright.sources.scratch import forget
 
 #: Bits of each byte value, most significant first.
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.int64)
-_SHIFT = np.arange(8, dtype=np.int64) * 256
-#: Buckets up to this size are compared row against row at growing distance; larger ones are searched as a graph.
+#: Buckets up to this size are compared together, row against row at growing distance; larger ones alone.
 _SMALL = 24
-#: Larger buckets than this are split once more before they are searched.
-_LARGE = 4096
+#: Rows of a larger bucket that are compared with all others at once.
+_BLOCK = 128
+#: Rows of a bucket that stay in one task; larger buckets are split.
+_HOT = 8192
 
 
-def fingerprint(text: str | None, width: int = 4, seed: int = 42) -> int:
-    """SimHash of the words' *width*-word shingles: a bit is 1 if it is set in over half of their XXH64 hashes."""
+def shingle_hashes(text: str | None, width: int, seed: int = 42) -> np.ndarray:
+    """XXH64 hashes of the words' *width*-word shingles, repeats included; fewer words are one shingle, none give none."""
     from xxhash import xxh64_digest
 
     words = (text or "").encode("utf-8", "replace").lower().split()
     if not words:
-        return 0
+        return np.empty(0, np.uint64)
     joined = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate([[0], ends[:-1] + 1])
-    if len(words) < width:
-        digests = xxh64_digest(joined, seed)
-        n = 1
-    else:
-        n = len(words) - width + 1
-        cut = map(slice, starts[:n].tolist(), ends[width - 1 :].tolist())
-        digests = b"".join([xxh64_digest(joined[s], seed) for s in cut])
-    codes = np.frombuffer(digests, np.uint8).reshape(n, 8) + _SHIFT
+    n = max(1, len(words) - width + 1)
+    cut = map(slice, starts[:n].tolist(), ends[min(width, len(words)) - 1 :].tolist())
+    return np.frombuffer(b"".join([xxh64_digest(joined[s], seed) for s in cut]), ">u8").astype(np.uint64)
+
+
+def _majority(hashes: np.ndarray) -> int:
+    """The word whose bits are set in over half of *hashes*."""
+    codes = hashes.astype(">u8").view(np.uint8).reshape(-1, 8) + np.arange(8, dtype=np.int64) * 256
     counts = np.bincount(codes.ravel(), minlength=2048).reshape(8, 256) @ _BITS
-    return int.from_bytes(np.packbits(counts.ravel() * 2 > n).tobytes(), "big")
+    return int.from_bytes(np.packbits(counts.ravel() * 2 > len(hashes)).tobytes(), "big")
+
+
+def fingerprint_words(text: str | None, width: int = 4, seed: int = 42, words: int = 1) -> list[int]:
+    """SimHash of the shingles: *words* numbers of 64 bits. The first is made of the XXH64 hashes, the others of numbers mixed from these."""
+    hashes = shingle_hashes(text, width, seed)
+    if not len(hashes):
+        return [0] * words
+    out = [_majority(hashes)]
+    for j in range(1, words):
+        x = hashes + np.uint64(0x9E3779B97F4A7C15 * j % (1 << 64))  # the splitmix64 step
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        out.append(_majority(x ^ (x >> np.uint64(31))))
+    return out
+
+
+def fingerprint(text: str | None, width: int = 4, seed: int = 42) -> int:
+    """SimHash of the words' *width*-word shingles: a bit is 1 if it is set in over half of their XXH64 hashes."""
+    return fingerprint_words(text, width, seed)[0]
+
+
+def _word_names(words: int) -> list[str]:
+    return ["fp", *[f"fp{j}" for j in range(1, words)]]
+
 
+def _node(words: list[int]) -> int:
+    """What names a fingerprint: its only word, or a hash of all words; as a signed number."""
+    from xxhash import xxh64_intdigest
 
-def fingerprints(docs: DataFrame, width: int = 4, seed: int = 42) -> DataFrame:
-    """(doc_id, fp): the fingerprint of each whole text as a signed long. Null and empty texts have fingerprint 0."""
+    name = words[0] if len(words) == 1 else xxh64_intdigest(np.array(words, np.uint64).tobytes(), 42)
+    return name - (1 << 64) if name >> 63 else name
+
+
+def fingerprints(docs: DataFrame, width: int = 4, seed: int = 42, words: int = 1) -> DataFrame:
+    """(doc_id, node, fp, fp1, ...): the fingerprint of each whole text as signed longs, and its name. Null and empty texts have fingerprint 0."""
+    names = _word_names(words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(1)
-            fps = np.fromiter((fingerprint(t.as_py(), width, seed) for t in texts), np.uint64, len(texts)).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps)], ["doc_id", "fp"])
+            rows = [fingerprint_words(t.as_py(), width, seed, words) for t in batch.column(1)]
+            fps = np.array(rows, np.uint64).reshape(-1, words).view(np.int64)
+            nodes = pa.array(list(map(_node, rows)), pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), nodes, *[pa.array(fps[:, j]) for j in range(words)]], ["doc_id", "node", *names])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, fp long")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, node long, " + ", ".join(f"{c} long" for c in names))
 
 
 def _group_bits(sample: np.ndarray, m: int) -> list[list[int]]:
@@ -88,24 +127,19 @@ def _group_bits(sample: np.ndarray, m: int) -> list[list[int]]:
     return groups
 
 
-def _near(sample: np.ndarray, group: list[int], t: int) -> float:
-    """Estimated share of pairs that differ in at most *t* bits of *group*: measured, plus what even bits would give."""
-    mask = np.uint64(sum(1 << b for b in group))
-    part = sample[:2048] & mask
-    hits, pairs = 0, 0
-    for i in range(0, len(part), 256):
-        d = np.bitwise_count(part[i : i + 256, None] ^ part[None, :])
-        hits += int((d <= t).sum()) - len(d)
-        pairs += d.size - len(d)
-    even = sum(comb(len(group), k) for k in range(t + 1)) / 2.0 ** len(group)
-    return (hits / pairs if pairs else 0.0) + even
+def _near(sample: np.ndarray, group: list[int], most: int) -> np.ndarray:
+    """Shares of the sample's pairs that differ in at most 0, 1, ..., *most* bits of *group*."""
+    part = sample[:1024] & np.uint64(sum(1 << b for b in group))
+    counts = np.bincount(np.bitwise_count(part[:, None] ^ part[None, :]).ravel(), minlength=65)
+    counts[0] -= len(part)  # each with itself
+    return counts.cumsum()[: most + 1] / max(1, counts.sum())
 
 
-def plan_partitions(sample: np.ndarray, n: int, distance: int, row_cost: float = 1.0, pair_cost: float = 0.01) -> list[tuple[list[int], int]]:
-    """[(bits, radius)]: the cheapest set of partitions for *n* fingerprints; radius r covers the threshold 2 r.
+def plan_partitions(sample: np.ndarray, n: int, distance: int, row_cost: float = 1.0, pair_cost: float = 0.01, most_rows: int = 600) -> list[tuple[list[int], int]]:
+    """[(bits, threshold)]: the cheapest set of partitions for *n* fingerprints that files none under more than *most_rows* keys a partition.
 
-    The cost is that of the rows filed plus that of the candidate pairs expected. It decides time only: any
-    plan with sum of (threshold + 1) over *distance* finds every link.
+    The cost is that of the rows filed plus that of the candidate pairs expected: those that even bits would give and those that
+    the sample shows. It decides time only: any plan with sum of (threshold + 1) over *distance* finds every link.
     """
     best: tuple[float, list[tuple[list[int], int]]] | None = None
     for m in range(1, distance + 2):
@@ -114,15 +148,18 @@ def plan_partitions(sample: np.ndarray, n: int, distance: int, row_cost: float =
         state: dict[int, tuple[float, list[tuple[list[int], int]]]] = {0: (0.0, [])}
         for group in groups:
             moves: list[tuple[int, float, int | None]] = [(0, 0.0, None)]
-            for r in range(distance // 2 + 1):
-                rows = sum(comb(len(group), k) for k in range(r + 1))
-                if rows <= 600:
-                    moves.append((2 * r + 1, rows * n * row_cost + _near(sample, group, 2 * r) * n * n / 2 * pair_cost, r))
+            near = _near(sample, group, distance)
+            for t in range(distance + 1):
+                kept, rows = (sum(comb(len(group), k) for k in range(r + 1)) for r in (t // 2, (t + 1) // 2))
+                if rows > most_rows:
+                    break
+                share = kept * rows / 2.0 ** len(group) + near[t]
+                moves.append((t + 1, rows * n * row_cost + share * n * n / 2 * pair_cost, t))
             after: dict[int, tuple[float, list[tuple[list[int], int]]]] = {}
             for have, (cost, chosen) in state.items():
-                for gain, extra, r in moves:
+                for gain, extra, t in moves:
                     to = min(distance + 1, have + gain)
-                    new = (cost + extra, chosen if r is None else [*chosen, (group, r)])
+                    new = (cost + extra, chosen if t is None else [*chosen, (group, t)])
                     if to not in after or new[0] < after[to][0]:
                         after[to] = new
             state = after
@@ -132,102 +169,185 @@ def plan_partitions(sample: np.ndarray, n: int, distance: int, row_cost: float =
     return best[1]
 
 
-def _forest(fps: np.ndarray, distance: int) -> list[tuple[int, int]]:
-    """Links (each within *distance*) that connect what is connected among distinct *fps*: a search that visits each once."""
-    left, out = fps, []
-    while len(left) > 1:
-        stack, left = [left[0]], left[1:]
-        while stack and len(left):
-            at = stack.pop()
-            near = np.bitwise_count(left ^ at) <= distance
-            if near.any():
-                found = left[near]
-                left = left[~near]
-                out += [(int(at), int(x)) for x in found]
-                stack += list(found)
-    return out
-
-
-def _links(fps: np.ndarray, distance: int) -> list[tuple[int, int]]:
-    """As _forest(), for large buckets after a split by exact bits: one of distance + 1 parts of a near pair is equal."""
-    fps = np.unique(fps)
-    if len(fps) <= _LARGE:
-        return _forest(fps, distance)
-    out = []
-    edges = np.linspace(0, 64, distance + 2).astype(int)
-    for a, b in zip(edges[:-1], edges[1:], strict=True):
-        part = (fps >> np.uint64(a)) & np.uint64((1 << int(b - a)) - 1)
-        order = np.argsort(part, kind="stable")
-        for run in np.split(fps[order], np.flatnonzero(np.diff(part[order])) + 1):
-            if len(run) > 1:
-                out += _forest(run, distance)
-    return out
-
-
-def _bucket_links(keys: np.ndarray, fps: np.ndarray, distance: int) -> np.ndarray:
-    """Distinct verified links of whole buckets; *keys* are sorted."""
-    found = []
-    start = np.concatenate([[0], np.flatnonzero(np.diff(keys)) + 1, [len(keys)]])
-    size = np.diff(start)
-    small = np.repeat(size <= _SMALL, size)
-    k, f = keys[small], fps[small]
-    for step in range(1, min(_SMALL, len(k))):
-        same = k[step:] == k[:-step]
-        if not same.any():
-            break
-        a, b = f[step:][same], f[:-step][same]
-        near = (np.bitwise_count(a ^ b) <= distance) & (a != b)
-        found.append(np.stack([np.minimum(a, b)[near], np.maximum(a, b)[near]], axis=1))
-    for i in np.flatnonzero(size > _SMALL):
-        links = _links(fps[start[i] : start[i + 1]], distance)
-        found.append(np.array(links, np.uint64).reshape(-1, 2))
-    return np.unique(np.concatenate(found), axis=0) if found else np.empty((0, 2), np.uint64)
-
-
-def fingerprint_links(distinct: DataFrame, distance: int = 4, sample_rows: int = 4096) -> DataFrame:
-    """(a, b): links between distinct fingerprints (*distinct*: fp) that connect all that lie within *distance*.
-
-    The partitions are planned on *sample_rows* fingerprints at most, those with the smallest hashes.
+class _Rows:
+    """Rows of buckets: key, node, flip (which bits were flipped: 0 for none, below 0 to probe with only) and the words, sorted by key."""
+
+    def __init__(self, key: np.ndarray, node: np.ndarray, flip: np.ndarray, words: np.ndarray, limits: tuple[int, int]) -> None:
+        self.key, self.node, self.flip, self.words, self.limits = key, node, flip, words, limits
+
+    def part(self, at) -> _Rows:
+        return _Rows(self.key[at], self.node[at], self.flip[at], self.words[at], self.limits)
+
+    def meet(self, i, j) -> np.ndarray:
+        """Whether the rows at *i* and *j* are compared here: not probes with probes, nor what two nodes also meet by.
+
+        Nodes with equal flips meet without any too; nodes with unequal flips meet again with these exchanged, so those count
+        that give the smaller node the earlier flip.
+        """
+        a, b = self.flip[i], self.flip[j]
+        first = (self.node[i] < self.node[j]) == (np.abs(a) < np.abs(b))
+        return ((a >= 0) | (b >= 0)) & np.where(a == b, a == 0, first)
+
+    def near(self, i, j) -> np.ndarray:
+        """Whether the rows at *i* and *j* are linked: by the first word's distance and by that of all words."""
+        d = np.bitwise_count(self.words[i] ^ self.words[j])
+        return (d[..., 0] <= self.limits[0]) & (d.sum(axis=-1, dtype=np.int64) <= self.limits[1])
+
+    def forest(self) -> list[np.ndarray]:
+        """Links that connect what is connected in one bucket: a search that visits each row once."""
+        left, out = np.arange(len(self.key)), []
+        while len(left) > 1:
+            stack, left = [left[0]], left[1:]
+            while stack and len(left):
+                at = stack.pop()
+                near = self.near(at, left) & self.meet(at, left)
+                if near.any():
+                    found, left = left[near], left[~near]
+                    out.append(np.stack([np.full(len(found), at), found], axis=1))
+                    stack += found.tolist()
+        return out
+
+    def pairs(self) -> np.ndarray | None:
+        """All links in one bucket, or None if there are more of them than rows."""
+        found, n = [], 0
+        for i in range(0, len(self.key), _BLOCK):
+            close = np.bitwise_count(self.words[i : i + _BLOCK, None, 0] ^ self.words[None, i:, 0]) <= self.limits[0]
+            a, b = np.nonzero(close)
+            ahead = a < b
+            a, b = a[ahead] + i, b[ahead] + i
+            ok = self.meet(a, b)
+            a, b = a[ok], b[ok]
+            ok = self.near(a, b)
+            found.append(np.stack([a[ok], b[ok]], axis=1))
+            n += len(found[-1])
+            if n > len(self.key):
+                return None
+        return np.concatenate(found)
+
+    def links(self) -> np.ndarray:
+        """Distinct verified links of whole buckets, as pairs of nodes."""
+        n = len(self.key)
+        start = np.concatenate([[0], np.flatnonzero(np.diff(self.key)) + 1, [n]])
+        size = np.diff(start)
+        rows, bucket, out = np.flatnonzero(np.repeat(size <= _SMALL, size)), np.repeat(np.arange(len(size)), size), []
+        for step in range(1, _SMALL):
+            rows = rows[rows + step < n]
+            rows = rows[bucket[rows] == bucket[rows + step]]
+            if not len(rows):
+                break
+            close = rows[np.bitwise_count(self.words[rows, 0] ^ self.words[rows + step, 0]) <= self.limits[0]]
+            close = close[self.meet(close, close + step)]
+            close = close[self.near(close, close + step)]
+            out.append(np.stack([close, close + step], axis=1))
+        near = np.concatenate(out) if out else np.empty((0, 2), np.int64)
+        many = np.bincount(bucket[near[:, 0]], minlength=len(size)) > size
+        out = [near[~many[bucket[near[:, 0]]]]]
+        for i in np.flatnonzero(many | (size > _SMALL)):
+            own = self.part(slice(start[i], start[i + 1]))
+            found = None if many[i] else own.pairs()
+            out += [x + start[i] for x in (own.forest() if found is None else [found])]
+        nodes = self.node[np.concatenate(out)]
+        nodes = nodes[nodes[:, 0] != nodes[:, 1]]
+        return np.unique(np.sort(nodes, axis=1), axis=0)
+
+
+def bits_at(similarity: float, bits: int, deviations: float = 0.0) -> int:
+    """Bits in which fingerprints of *bits* bits of sets with this Jaccard similarity differ, on average plus so many standard deviations."""
+    p = acos(2 * similarity / (1 + similarity)) / pi
+    return int(bits * p + deviations * sqrt(bits * p * (1 - p)))
+
+
+def fingerprint_links(nodes: DataFrame, distance: int = 4, sample_rows: int = 4096, words: int = 1, all_bits: int | None = None) -> DataFrame:
+    """(a, b): links between *nodes* (node, fp, fp1, ...; one row each) that connect all that are near.
+
+    Near are nodes whose first words differ in at most *distance* bits and all words together in at most *all_bits*, if that is given.
+    The partitions are planned on *sample_rows* nodes at most, those with the smallest hashes.
     """
-    n = distinct.count()
-    sample = distinct.select("fp").orderBy(F.xxhash64("fp")).limit(sample_rows).toPandas()["fp"].to_numpy(np.int64).view(np.uint64)
+    names = _word_names(words)
+    n = nodes.count()
+    sample = nodes.select("fp").orderBy(F.xxhash64("fp", "node")).limit(sample_rows).toPandas()["fp"].to_numpy(np.int64).view(np.uint64)
     if n < 2:
-        return distinct.select(F.col("fp").alias("a"), F.col("fp").alias("b")).limit(0)
+        return nodes.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0)
+    limits = (distance, 64 * words if all_bits is None else all_bits)
     signed = lambda bits: int(np.uint64(sum(1 << b for b in bits)).astype(np.int64))
     filed: list[Column] = []
-    for i, (group, radius) in enumerate(plan_partitions(sample, n, distance)):
-        flips = [signed(c) for r in range(radius + 1) for c in combinations(group, r)]
+    for i, (group, t) in enumerate(plan_partitions(sample, n, distance)):
         masked = F.col("fp").bitwiseAND(F.lit(signed(group)))
-        filed += [F.xxhash64(F.lit(i), masked.bitwiseXOR(F.lit(flip))) for flip in flips]
+        flips = [c for r in range((t + 1) // 2 + 1) for c in combinations(group, r)]
+        for j, c in enumerate(flips):
+            k = F.xxhash64(F.lit(i), masked.bitwiseXOR(F.lit(signed(c))))
+            filed.append(F.struct(k.alias("k"), F.lit(j if len(c) <= t // 2 else -j).alias("flip")))
+    rows = nodes.select("node", *names, F.explode(F.array(*filed)).alias("f")).select("f.k", "f.flip", "node", *names)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        carry_k, carry_f = np.empty(0, np.int64), np.empty(0, np.uint64)
+        held: list[pd.DataFrame] = []  # of the last bucket, which may go on in the next batch; it has _HOT rows or a few times that
         for batch in batches:
-            k = np.concatenate([carry_k, batch["k"].to_numpy(np.int64)])
-            f = np.concatenate([carry_f, batch["fp"].to_numpy(np.int64).view(np.uint64)])
-            cut = int(np.searchsorted(k, k[-1]))  # the last bucket may go on in the next batch
-            carry_k, carry_f = k[cut:], f[cut:]
-            if cut:
-                links = _bucket_links(k[:cut], f[:cut], distance).view(np.int64)
-                yield pd.DataFrame({"a": links[:, 0], "b": links[:, 1]})
-        if len(carry_k):
-            links = _bucket_links(carry_k, carry_f, distance).view(np.int64)
-            yield pd.DataFrame({"a": links[:, 0], "b": links[:, 1]})
-
-    buckets = distinct.select("fp", F.explode(F.array(*filed)).alias("k"))
-    return buckets.repartition("k").sortWithinPartitions("k").mapInPandas(run, "a long, b long").distinct()
-
-
-def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
+            k = batch["k"].to_numpy()
+            cut = int(np.searchsorted(k, k[-1])) if len(k) else 0
+            if cut or held and len(k) and held[-1]["k"].iat[-1] != k[0]:
+                yield linked([*held, batch.iloc[:cut]])
+                held = []
+            held.append(batch.iloc[cut:])
+        if held:
+            yield linked(held)
+
+    def linked(parts: list[pd.DataFrame]) -> pd.DataFrame:
+        whole = pd.concat(parts, ignore_index=True)
+        bits = np.stack([whole[c].to_numpy(np.int64).view(np.uint64) for c in names], axis=1)
+        found = _Rows(whole["k"].to_numpy(np.int64), whole["node"].to_numpy(np.int64), whole["flip"].to_numpy(np.int64), bits, limits).links()
+        return pd.DataFrame({"a": found[:, 0], "b": found[:, 1]})
+
+    pairs = lambda dealt: dealt.sortWithinPartitions("k").mapInPandas(run, "a long, b long")
+    hot = written(rows.groupBy("k").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > _HOT), "hot-buckets")
+    if hot.isEmpty():
+        return pairs(rows.repartition("k")).distinct()
+    # a hot bucket's rows are dealt into chunks, and each pair of chunks is a bucket of its own
+    chunks = F.ceil(F.col("_n") / (_HOT // 2)).cast("long")
+    split = rows.join(hot, "k").withColumn("_c", F.pmod(F.xxhash64(F.lit(3), F.col("node")), chunks))
+    other = F.explode(F.sequence(F.lit(0).cast("long"), chunks - 1))
+    split = split.withColumn("_o", other).withColumn("k", F.xxhash64("k", F.least("_c", "_o"), F.greatest("_c", "_o"))).select(rows.columns)
+    cold = rows.join(hot.select("k"), "k", "left_anti")
+    return pairs(cold.select(rows.columns).unionByName(split).repartition("k")).distinct()
+
+
+def alike_links(docs: DataFrame, nodes: DataFrame, links: DataFrame, width: int, words: int, similarity: float) -> DataFrame:
+    """Those of *links* (a, b) between *nodes* (node, rep) whose shingle sets have a Jaccard similarity of *similarity* or more.
+
+    Only the texts that stand for a linked node are cut into shingles again.
+    """
+    links, path = write_table(links, "candidates")
+    wanted = links.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "rep"), "node")
+    text = docs.select(F.col("doc_id").alias("id"), "text").join(wanted, F.col("id").eqNullSafe(F.col("rep"))).select("node", "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, 1000):
+                part = batch.slice(i, 1000)
+                texts = [t.as_py() for t in part.column(1)]
+                # rows may repeat a doc_id with another text
+                own = [j for j, (node, t) in enumerate(zip(part.column(0).to_pylist(), texts, strict=True)) if _node(fingerprint_words(t, width, 42, words)) == node]
+                sets = [np.unique(shingle_hashes(texts[j], width)).view(np.int64) for j in own]
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(own, pa.int32())), pa.array(sets, pa.list_(pa.int64()))], ["node", "s"])
+
+    sets = written(text.mapInArrow(run, "node long, s array<long>").dropDuplicates(["node"]), "shingles")
+    both = links.join(sets.toDF("a", "s"), "a").join(sets.toDF("b", "t"), "b")
+    common = F.size(F.array_intersect("s", "t"))
+    found = written(both.filter(common >= F.lit(similarity) * (F.size("s") + F.size("t") - common) - 1e-9).select("a", "b"), "alike")
+    forget(path)
+    return found
+
+
+def components(links: DataFrame) -> DataFrame:
     """(node, root): the smallest node that each node of *links* (a, b) is connected to; nodes without a link are left out.
 
     Alternates the large-star and small-star steps; both keep the components, and a fixed point is a star per
-    component. Each round is cut off by a table in the shared folder. Rounds grow with the logarithm of the longest path.
+    component. Each round is cut off by a table in the shared folder. Rounds grow with the logarithm of the longest path, and each
+    brings the links nearer to the fixed point, so they end.
     """
     edges, path = write_table(links.select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("u")).filter("u <> v").distinct(), "links")
     if edges.isEmpty():
         return edges.select(F.col("v").alias("node"), F.col("u").alias("root"))
-    for _ in range(max_rounds):
+    while True:
         both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(least, "u").filter("v > u").select("v", F.col("m").alias("u")).distinct()
@@ -239,30 +359,36 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
         edges, path = after, new_path
         if same:
             return edges.select(F.col("v").alias("node"), F.col("u").alias("root"))
-    raise RuntimeError(f"components are not found after {max_rounds} rounds")
 
 
-def near_duplicates(docs: DataFrame, distance: int = 4, width: int = 4) -> DataFrame:
-    """(doc_id, fp, component_id): each document's fingerprint and the smallest doc_id reachable over links.
+def near_duplicates(docs: DataFrame, distance: int = 4, width: int = 4, words: int = 1, similarity: float | None = None) -> DataFrame:
+    """(doc_id, fp, component_id): each document's fingerprint (its first word) and the smallest doc_id reachable over links.
+
+    *docs*: doc_id, text; other columns don't matter. Fingerprints at most *distance* bits apart are linked. With *similarity*, they
+    are linked if their first words are at most *distance* bits apart, all *words* together by the bits that this Jaccard similarity gives
+    plus two standard deviations, and the sets of shingles have that similarity or more.
 
-    *docs*: doc_id, text; other columns don't matter. Fingerprints at most *distance* bits apart are linked. Texts
-    without words, null ones among them, have fingerprint 0 and are linked like any other. Repeated rows keep
-    a row each. Rows without doc_id belong to their component but never name it, unless it has no other. Whole
-    groups of equal fingerprints are one node, so copies are never expanded into pairs.
+    Texts without words, null ones among them, have fingerprint 0 and are linked like any other. Texts of any length count whole. Repeated
+    rows keep a row each. Rows without doc_id belong to their component but never name it, unless it has no other. Whole
+    groups of equal fingerprints are one node, so copies are never expanded into pairs. An empty table gives an empty table.
     """
-    fps = written(fingerprints(docs, width), "fingerprints")
-    classes = written(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")), "classes")
-    return name_groups(fps, components(fingerprint_links(classes, distance)), classes)
+    names = _word_names(words)
+    fps = written(fingerprints(docs, width, words=words), "fingerprints")
+    classes = written(fps.groupBy("node", *names).agg(F.min("doc_id").alias("rep")), "classes")
+    if similarity is None:
+        links = fingerprint_links(classes, distance, words=words)
+    else:
+        links = fingerprint_links(classes, distance, words=words, all_bits=bits_at(similarity, 64 * words, 2.0))
+        links = alike_links(docs, classes, links, width, words, similarity)
+    return name_groups(fps, components(links), classes)
 
 
-def name_groups(fps: DataFrame, roots: DataFrame, classes: DataFrame | None = None) -> DataFrame:
-    """*fps* (doc_id, fp) with component_id by the *roots* of components(); *classes*: (fp, rep), the smallest doc_id of each fp."""
-    if classes is None:
-        classes = written(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")), "classes")
-    rooted = classes.join(roots, classes["fp"] == roots["node"], "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
+def name_groups(fps: DataFrame, roots: DataFrame, classes: DataFrame) -> DataFrame:
+    """*fps* (doc_id, node, fp) with component_id by the *roots* of components(); *classes*: (node, rep), the smallest doc_id of each node."""
+    rooted = classes.select("node", "rep").join(roots.withColumnRenamed("node", "_node"), F.col("node") == F.col("_node"), "left").select("node", "rep", F.coalesce("root", "node").alias("root"))
     named = rooted.groupBy("root").agg(F.min("rep").alias("component_id"))
-    by_fp = rooted.join(named, "root").select("fp", "component_id")
-    return fps.join(by_fp, "fp").select("doc_id", "fp", "component_id")
+    by_node = rooted.join(named, "root").select("node", "component_id")
+    return fps.join(by_node, "node").select("doc_id", "fp", "component_id")
 
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
@@ -275,8 +401,9 @@ def keep_one(docs: DataFrame, **options) -> DataFrame:
 
 def keep_first(docs: DataFrame, found: DataFrame) -> DataFrame:
     """*docs* with the rows that keep_one() keeps of the groups *found* (doc_id, component_id)."""
-    kept = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(F.count(F.lit(1)).alias("_rows"))
-    kept = kept.select(F.col("doc_id").alias("_id"), "_rows")
-    met = docs.join(kept, docs["doc_id"].eqNullSafe(kept["_id"]))
-    one = met.filter("_rows = 1 OR _id IS NULL")
-    return one.unionByName(met.filter("_rows > 1 AND _id IS NOT NULL").dropDuplicates(["_id"])).drop("_id", "_rows")
+    own, rows = unused_names(2, docs)
+    kept = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(F.count(F.lit(1)).alias(rows))
+    kept = kept.select(F.col("doc_id").alias(own), rows)
+    met = docs.join(kept, F.col("doc_id").eqNullSafe(F.col(own)))
+    single = (F.col(rows) == 1) | F.col(own).isNull()
+    return met.filter(single).unionByName(met.filter(~single).dropDuplicates([own])).drop(own, rows)
