@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewright.llm.block_search import block_search
+from tidewright.llm.filter_audit import filter_audit, flag_counts
 from tidewright.llm.line_dedup import line_dedup
 from tidewright.llm.mixing import mix
 from tidewright.llm.mpeg_audio import audio_digests, texts_to_audio
@@ -15,6 +16,7 @@ from tidewright.llm.piece_bpe import piece_digests
 from tidewright.llm.piece_language import fit_on_documents, predict_language
 from tidewright.llm.shared import held_out, spread, written
 from tidewright.llm.simhash import near_duplicates
+from tidewright.llm.source_audit import source_audit
 from tidewright.llm.subword_quality import fit_quality, score_texts
 from tidewright.llm.toxicity import fit_toxicity, score_toxicity
 from tidewright.llm.warc import build_index, look_up, read_ranges, write_archives
@@ -89,6 +91,15 @@ def op10_piece_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
+def op12_source_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_audit(spread(_table(spark, sf_dir, "documents").select("text", "lang", "source")))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    steps = filter_audit(written(flag_counts(_texts(spark, sf_dir), _table(spark, sf_dir, "labels")), "flags"))
+    return steps.filter(F.col("part").isNotNull())
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity_chain": op1_toxicity_chain,
     "op2_warc_index": op2_warc_index,
@@ -100,6 +111,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_mpeg_audio": op8_mpeg_audio,
     "op9_piece_encode": op9_piece_encode,
     "op10_piece_language": op10_piece_language,
+    "op12_source_audit": op12_source_audit,
+    "op13_filter_audit": op13_filter_audit,
 }
 
 SQL: dict[str, str] = {
@@ -171,4 +184,51 @@ m AS (SELECT k.*, c.key IS NOT NULL AND k.doc_id IS DISTINCT FROM c.keeper AS lo
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (lost) AS n_dropped,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT lost), '')) AS kept_sha256
 FROM m GROUP BY r, doc_id""",
+    "op12_source_audit": r"""
+WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+                  translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+e AS (SELECT r, lang, source, unnest(regexp_extract_all(t, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+v AS (SELECT lang, term FROM e GROUP BY ALL HAVING count(DISTINCT r) >= 30),
+vs AS (SELECT lang, count(*)::HUGEINT AS v FROM v GROUP BY lang),
+g AS (SELECT DISTINCT lang, source FROM d),
+c AS (SELECT e.lang, e.source, e.term, count(*)::HUGEINT AS n FROM e JOIN v ON e.lang = v.lang AND e.term = v.term GROUP BY ALL),
+grid AS (SELECT g.lang, g.source, v.term, coalesce(c.n, 0)::HUGEINT AS n
+         FROM g JOIN v ON g.lang = v.lang LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = v.term),
+p AS (SELECT grid.lang, source, term, n, 1 + (1000000000 * (n + 5)) // (sum(n) OVER (PARTITION BY grid.lang, source) + 5 * vs.v) AS p
+      FROM grid JOIN vs ON grid.lang = vs.lang),
+ls AS (SELECT lang, term, sum(n)::HUGEINT AS n FROM grid GROUP BY ALL),
+lp AS (SELECT ls.lang, term, 1 + (1000000000 * (n + 5)) // (sum(n) OVER (PARTITION BY ls.lang) + 5 * vs.v) AS q FROM ls JOIN vs ON ls.lang = vs.lang),
+pair AS (SELECT a.lang, a.source, b.source AS item, coalesce(sum(abs(x.p - y.p)), 0)::BIGINT AS value
+         FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+         LEFT JOIN p x ON x.lang = a.lang AND x.source = a.source LEFT JOIN p y ON y.lang = b.lang AND y.source = b.source AND y.term = x.term
+         GROUP BY ALL),
+term AS (SELECT p.lang, p.source, p.term AS item, (p.p - lp.q)::BIGINT AS value FROM p JOIN lp ON p.lang = lp.lang AND p.term = lp.term WHERE p.n > 0 AND p.p > lp.q),
+u AS (SELECT lang, source, 'pair' AS part, item, value FROM pair UNION ALL SELECT lang, source, 'term', item, value FROM term),
+k AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INT AS rank FROM u)
+SELECT lang, source, part, item, value, rank FROM k WHERE part = 'pair' OR rank <= 50""",
+    "op13_filter_audit": r"""
+WITH d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+l AS (SELECT doc_id, coalesce(bool_or(quality = 1), false) AS good, coalesce(bool_or(toxic = 1), false) AS toxic FROM labels GROUP BY doc_id),
+f AS (SELECT row_number() OVER () AS r, d.doc_id, part, coalesce(l.good, false) AS good, coalesce(l.toxic, false) AS toxic,
+             {'A': len(w) < 100, 'B': 100 * len(list_distinct(w)) < 80 * len(w), 'C': 100 * len(regexp_extract_all(t, '[A-Z]')) > 10 * length(t),
+              'D': regexp_matches(t, '[#$%&*|]'), 'E': coalesce(d.doc_id > min(d.doc_id) OVER (PARTITION BY t), false)} AS fails
+      FROM d LEFT JOIN l ON d.doc_id = l.doc_id),
+g AS (SELECT part, fails.A AS a, fails.B AS b, fails.C AS c, fails.D AS d, fails.E AS e, count(*) AS n,
+             count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic FROM f GROUP BY ALL),
+x AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+o AS (SELECT a.x || b.x || c.x || d.x || e.x AS filter_order FROM x a, x b, x c, x d, x e
+      WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+s AS (SELECT filter_order, unnest(range(1, 6)) AS step FROM o),
+m AS (SELECT g.part, s.filter_order, s.step, substr(filter_order, s.step::INT, 1) AS x, g.n, g.good, g.toxic,
+             list_filter([CASE WHEN a THEN instr(filter_order, 'A') END, CASE WHEN b THEN instr(filter_order, 'B') END, CASE WHEN c THEN instr(filter_order, 'C') END,
+                          CASE WHEN d THEN instr(filter_order, 'D') END, CASE WHEN e THEN instr(filter_order, 'E') END], lambda y: y IS NOT NULL) AS hits
+      FROM g, s),
+t AS (SELECT part, filter_order, step, x, n, good, toxic, list_min(hits) AS hit, list_contains(hits, step) AS failed, len(hits) AS k FROM m),
+r AS (SELECT part, filter_order, step, x,
+             coalesce(sum(n) FILTER (hit IS NULL OR hit > step), 0)::BIGINT AS kept, coalesce(sum(n) FILTER (hit = step), 0)::BIGINT AS removed,
+             coalesce(sum(n) FILTER (failed AND hit < step), 0)::BIGINT AS redundant, coalesce(sum(n) FILTER (failed AND k = 1), 0)::BIGINT AS unique_fails,
+             coalesce(sum(good) FILTER (hit = step), 0)::BIGINT AS good_lost, coalesce(sum(toxic) FILTER (hit = step), 0)::BIGINT AS toxic_lost
+      FROM t GROUP BY ALL)
+SELECT part, filter_order, step::INT AS step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+       (sum(removed) OVER (PARTITION BY part, x))::BIGINT AS shapley FROM r""",
 }
