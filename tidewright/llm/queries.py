@@ -12,6 +12,7 @@ from tidewright.llm.filter_audit import filter_audit, flag_counts
 from tidewright.llm.line_dedup import line_dedup
 from tidewright.llm.mixing import mix
 from tidewright.llm.mpeg_audio import audio_digests, texts_to_audio
+from tidewright.llm.ngram_join import ngram_join
 from tidewright.llm.piece_bpe import piece_digests
 from tidewright.llm.piece_language import fit_on_documents, predict_language
 from tidewright.llm.shared import held_out, spread, written
@@ -91,6 +92,10 @@ def op10_piece_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
+def op11_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join(_texts(spark, sf_dir))
+
+
 def op12_source_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_audit(spread(_table(spark, sf_dir, "documents").select("text", "lang", "source")))
 
@@ -111,6 +116,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_mpeg_audio": op8_mpeg_audio,
     "op9_piece_encode": op9_piece_encode,
     "op10_piece_language": op10_piece_language,
+    "op11_ngram_join": op11_ngram_join,
     "op12_source_audit": op12_source_audit,
     "op13_filter_audit": op13_filter_audit,
 }
