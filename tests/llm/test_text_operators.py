@@ -232,7 +232,7 @@ def test_near_copies_against_brute_force(spark):
         return frozenset(tuple(w[i : i + 5]) for i in range(len(w) - 4)) or frozenset([tuple(w)] if w else [])
 
     docs = spark.createDataFrame(rows, SCHEMA)
-    got = near_duplicates(docs, distance=14, width=5, words=2, similarity=0.8).collect()
+    got = near_duplicates(docs, distance=14, width=5, words=2, alike=True).collect()
     groups = defaultdict(list)
     sets = defaultdict(list)
     for d, t, *_ in rows:
@@ -256,6 +256,30 @@ def test_near_copies_against_brute_force(spark):
     assert kept == Counter({n: sum(m is None for m in members) if n is None else 1 for n, members in groups.items()})
 
 
+def test_dense_groups_of_near_copies_keep_every_link(spark):
+    """Groups in which half of the texts are 0.94 alike and the others fail with these: components must be those of all pairs."""
+    rng = random.Random(8)
+    rows = []
+    for group in range(6):
+        base = [f"g{group}w{i}" for i in range(600)]
+        for k in range(40):
+            edited = list(base)
+            for i in rng.sample(range(len(base)), 2 if k % 2 else 19):
+                edited[i] = f"x{rng.randrange(10**6)}"
+            rows.append((1000 * group + k, " ".join(edited), "en", "a", 1))
+    sets = {d: frozenset(zip(*(t.split()[j:] for j in range(5)), strict=False)) for d, t, *_ in rows}
+    found: dict[int, int] = {}
+    for d in sorted(sets):  # every group's pairs
+        if d not in found:
+            stack = [d]
+            while stack:
+                x = stack.pop()
+                found[x] = d
+                stack += [y for y in sets if y // 1000 == d // 1000 and y not in found and 5 * len(sets[x] & sets[y]) >= 4 * len(sets[x] | sets[y])]
+    got = near_duplicates(spark.createDataFrame(rows, SCHEMA), distance=14, width=5, words=2, alike=True)
+    assert {r.doc_id: r.component_id for r in got.collect()} == found
+
+
 def test_fingerprint_is_a_majority_of_shingle_hashes():
     from xxhash import xxh64_intdigest
 

@@ -10,8 +10,8 @@ leaves its verified pairs where there are no more of them than rows, else a span
 of the links are found by alternating star contraction.
 
 A fingerprint may have more words of 64 bits: the search stays on the first, and the others make the verification sharper, so that
-a wide distance on the first doesn't link texts that are unlike. The links can then be checked by the Jaccard similarity of the
-whole shingle sets.
+a wide distance on the first doesn't link texts that are unlike. Such links are candidates, and the Jaccard similarity of the
+whole shingle sets decides.
 """
 
 from __future__ import annotations
@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidewright.llm.graph import components
+from tidewright.llm.ngram_join import DENOMINATOR, NUMERATOR, WordHashes, large_bucket_pairs, parity_sketch, sketched_pairs, token_set, verified_pairs
 from tidewright.llm.shared import unused_names, write_table, written
 from tidewright.sources.scratch import forget
 
@@ -310,63 +312,58 @@ def fingerprint_links(nodes: DataFrame, distance: int = 4, sample_rows: int = 40
     return pairs(cold.select(rows.columns).unionByName(split).repartition("k")).distinct()
 
 
-def alike_links(docs: DataFrame, nodes: DataFrame, links: DataFrame, width: int, words: int, similarity: float) -> DataFrame:
-    """Those of *links* (a, b) between *nodes* (node, rep) whose shingle sets have a Jaccard similarity of *similarity* or more.
+def alike_links(docs: DataFrame, nodes: DataFrame, links: DataFrame, width: int, words: int) -> DataFrame:
+    """(a, b): links whose whole shingle sets have a Jaccard similarity of 0.8 or more, found among what *links* (a, b) connects.
 
-    Only the texts that stand for a linked node are cut into shingles again.
+    *nodes*: (node, rep). The links are a forest of candidates, so those that hold leave groups in parts, which other pairs of the group may still link. All
+    pairs between the parts of a group are therefore compared by parity sketches, and what these don't rule out by the whole
+    sets: of the nodes that *links* connects, no pair with that similarity stays apart. Only texts that stand for a linked node are read again.
     """
-    links, path = write_table(links, "candidates")
-    wanted = links.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "rep"), "node")
-    text = docs.select(F.col("doc_id").alias("id"), "text").join(wanted, F.col("id").eqNullSafe(F.col("rep"))).select("node", "text")
+    links, links_path = write_table(links, "candidates")
+    ends = links.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    wanted = written(ends.join(nodes.select("node", "rep"), "node"), "wanted")
+    texts, texts_path = write_table(node_texts(docs, wanted, width, words), "candidate-texts")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
         for batch in batches:
-            for i in range(0, batch.num_rows, 1000):
-                part = batch.slice(i, 1000)
-                texts = [t.as_py() for t in part.column(1)]
-                # rows may repeat a doc_id with another text
-                own = [j for j, (node, t) in enumerate(zip(part.column(0).to_pylist(), texts, strict=True)) if _node(fingerprint_words(t, width, 42, words)) == node]
-                sets = [np.unique(shingle_hashes(texts[j], width)).view(np.int64) for j in own]
-                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(own, pa.int32())), pa.array(sets, pa.list_(pa.int64()))], ["node", "s"])
-
-    sets = written(text.mapInArrow(run, "node long, s array<long>").dropDuplicates(["node"]), "shingles")
-    both = links.join(sets.toDF("a", "s"), "a").join(sets.toDF("b", "t"), "b")
-    common = F.size(F.array_intersect("s", "t"))
-    found = written(both.filter(common >= F.lit(similarity) * (F.size("s") + F.size("t") - common) - 1e-9).select("a", "b"), "alike")
-    forget(path)
+            for i in range(0, batch.num_rows, 500):
+                part = batch.slice(i, 500)
+                sets = [token_set(t.as_py(), width, hashes) for t in part.column(1).cast(pa.binary())]
+                columns = [part.column(0), pa.array(map(len, sets), pa.int32()), pa.array(map(parity_sketch, sets), pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, ["node", "n", "sketch"])
+
+    sketches, sketches_path = write_table(texts.select("node", "text").mapInArrow(sketched, "node long, n int, sketch binary"), "sketches")
+    found = written(verified_pairs(sketched_pairs(links, sketches), texts, width), "alike")
+    groups, parts = components(links).toDF("n1", "s"), components(found).toDF("n2", "part")
+    rows = wanted.select("node").join(groups, F.col("node") == F.col("n1"), "left").join(parts, F.col("node") == F.col("n2"), "left")
+    rows = written(rows.select(F.coalesce("s", "node").alias("s"), "node", F.coalesce("part", "node").alias("part")), "parted")
+    torn = rows.groupBy("s").agg(F.min("part").alias("low"), F.max("part").alias("high")).filter("low <> high").select("s")
+    more = large_bucket_pairs(rows.join(torn, "s", "left_semi"), sketches, across=True).join(links, ["a", "b"], "left_anti")
+    found = written(found.unionByName(verified_pairs(more, texts, width)), "all-alike")
+    for path in (links_path, texts_path, sketches_path):
+        forget(path)
     return found
 
 
-def components(links: DataFrame) -> DataFrame:
-    """(node, root): the smallest node that each node of *links* (a, b) is connected to; nodes without a link are left out.
+def node_texts(docs: DataFrame, wanted: DataFrame, width: int, words: int) -> DataFrame:
+    """(node, text): a text for each of *wanted* (node, rep), from the document *rep*. Rows may repeat a doc_id with other texts, so the fingerprint decides."""
 
-    Alternates the large-star and small-star steps; both keep the components, and a fixed point is a star per
-    component. Each round is cut off by a table in the shared folder. Rounds grow with the logarithm of the longest path, and each
-    brings the links nearer to the fixed point, so they end.
-    """
-    edges, path = write_table(links.select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("u")).filter("u <> v").distinct(), "links")
-    if edges.isEmpty():
-        return edges.select(F.col("v").alias("node"), F.col("u").alias("root"))
-    while True:
-        both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").filter("v > u").select("v", F.col("m").alias("u")).distinct()
-        low = large.groupBy("v").agg(F.min("u").alias("m"))
-        small = large.join(low, "v").select(F.col("u").alias("v"), F.col("m").alias("u")).filter("u <> v")
-        after, new_path = write_table(small.unionByName(low.select("v", F.col("m").alias("u"))).distinct(), "links")
-        same = after.groupBy("v").count().filter("count > 1").isEmpty() and after.join(after.select(F.col("v").alias("u")), "u", "left_semi").isEmpty()
-        forget(path)
-        edges, path = after, new_path
-        if same:
-            return edges.select(F.col("v").alias("node"), F.col("u").alias("root"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = [i for i, (node, t) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1), strict=True)) if _node(fingerprint_words(t.as_py(), width, 42, words)) == node]
+            yield batch.take(pa.array(own, pa.int32()))
+
+    met = docs.select(F.col("doc_id").alias("id"), "text").join(wanted, F.col("id").eqNullSafe(F.col("rep"))).select("node", "text")
+    return met.mapInArrow(run, "node long, text string").dropDuplicates(["node"])
 
 
-def near_duplicates(docs: DataFrame, distance: int = 4, width: int = 4, words: int = 1, similarity: float | None = None) -> DataFrame:
+def near_duplicates(docs: DataFrame, distance: int = 4, width: int = 4, words: int = 1, alike: bool = False) -> DataFrame:
     """(doc_id, fp, component_id): each document's fingerprint (its first word) and the smallest doc_id reachable over links.
 
-    *docs*: doc_id, text; other columns don't matter. Fingerprints at most *distance* bits apart are linked. With *similarity*, they
-    are linked if their first words are at most *distance* bits apart, all *words* together by the bits that this Jaccard similarity gives
-    plus two standard deviations, and the sets of shingles have that similarity or more.
+    *docs*: doc_id, text; other columns don't matter. Fingerprints at most *distance* bits apart are linked. With *alike*, those are
+    candidates whose first words are at most *distance* bits apart, and all *words* together by the bits that a Jaccard similarity of 0.8 gives
+    plus two standard deviations; of what candidates connect, all pairs whose sets of shingles have that similarity or more are linked.
 
     Texts without words, null ones among them, have fingerprint 0 and are linked like any other. Texts of any length count whole. Repeated
     rows keep a row each. Rows without doc_id belong to their component but never name it, unless it has no other. Whole
@@ -375,11 +372,11 @@ def near_duplicates(docs: DataFrame, distance: int = 4, width: int = 4, words: i
     names = _word_names(words)
     fps = written(fingerprints(docs, width, words=words), "fingerprints")
     classes = written(fps.groupBy("node", *names).agg(F.min("doc_id").alias("rep")), "classes")
-    if similarity is None:
+    if not alike:
         links = fingerprint_links(classes, distance, words=words)
     else:
-        links = fingerprint_links(classes, distance, words=words, all_bits=bits_at(similarity, 64 * words, 2.0))
-        links = alike_links(docs, classes, links, width, words, similarity)
+        links = fingerprint_links(classes, distance, words=words, all_bits=bits_at(NUMERATOR / DENOMINATOR, 64 * words, 2.0))
+        links = alike_links(docs, classes, links, width, words)
     return name_groups(fps, components(links), classes)
 
 
