@@ -312,8 +312,8 @@ def fingerprint_links(nodes: DataFrame, distance: int = 4, sample_rows: int = 40
     return pairs(cold.select(rows.columns).unionByName(split).repartition("k")).distinct()
 
 
-def alike_links(docs: DataFrame, nodes: DataFrame, links: DataFrame, width: int, words: int) -> DataFrame:
-    """(a, b): links whose whole shingle sets have a Jaccard similarity of 0.8 or more, found among what *links* (a, b) connects.
+def alike_components(docs: DataFrame, nodes: DataFrame, links: DataFrame, width: int, words: int) -> DataFrame:
+    """(node, root), as from components(), of all links whose whole shingle sets have a Jaccard similarity of 0.8 or more among what *links* (a, b) connects.
 
     *nodes*: (node, rep). The links are a forest of candidates, so those that hold leave groups in parts, which other pairs of the group may still link. All
     pairs between the parts of a group are therefore compared by parity sketches, and what these don't rule out by the whole
@@ -335,15 +335,24 @@ def alike_links(docs: DataFrame, nodes: DataFrame, links: DataFrame, width: int,
 
     sketches, sketches_path = write_table(texts.select("node", "text").mapInArrow(sketched, "node long, n int, sketch binary"), "sketches")
     found = written(verified_pairs(sketched_pairs(links, sketches), texts, width), "alike")
-    groups, parts = components(links).toDF("n1", "s"), components(found).toDF("n2", "part")
-    rows = wanted.select("node").join(groups, F.col("node") == F.col("n1"), "left").join(parts, F.col("node") == F.col("n2"), "left")
-    rows = written(rows.select(F.coalesce("s", "node").alias("s"), "node", F.coalesce("part", "node").alias("part")), "parted")
-    torn = rows.groupBy("s").agg(F.min("part").alias("low"), F.max("part").alias("high")).filter("low <> high").select("s")
-    more = large_bucket_pairs(rows.join(torn, "s", "left_semi"), sketches, across=True).join(links, ["a", "b"], "left_anti")
-    found = written(found.unionByName(verified_pairs(more, texts, width)), "all-alike")
+    parts = components(found).toDF("n1", "root")
+    rows = written(wanted.select("node").join(parts, F.col("node") == F.col("n1"), "left").select("node", F.coalesce("root", "node").alias("part")), "parts")
+
+    def between(pairs: DataFrame) -> DataFrame:
+        """(part, root): the components that *pairs* of nodes make of parts."""
+        met = pairs.join(rows.toDF("a", "p"), "a").join(rows.toDF("b", "q"), "b").filter("p <> q")
+        return components(met.select(F.col("p").alias("a"), F.col("q").alias("b"))).toDF("x", "root")
+
+    groups = between(links).select("x", F.col("root").alias("s"))
+    # a group's smallest part is its name and stands in no row of its own
+    groups = groups.unionByName(groups.select(F.col("s").alias("x"), "s").distinct())
+    torn = written(rows.join(groups, F.col("part") == F.col("x")).select("s", "node", "part"), "torn")
+    more = large_bucket_pairs(torn, sketches, across=True).join(links, ["a", "b"], "left_anti")
+    met = rows.join(between(verified_pairs(more, texts, width)), F.col("part") == F.col("x"), "left").select("node", F.coalesce("root", "part").alias("root"))
+    roots = written(met.filter("node <> root"), "roots")
     for path in (links_path, texts_path, sketches_path):
         forget(path)
-    return found
+    return roots
 
 
 def node_texts(docs: DataFrame, wanted: DataFrame, width: int, words: int) -> DataFrame:
@@ -373,11 +382,11 @@ def near_duplicates(docs: DataFrame, distance: int = 4, width: int = 4, words: i
     fps = written(fingerprints(docs, width, words=words), "fingerprints")
     classes = written(fps.groupBy("node", *names).agg(F.min("doc_id").alias("rep")), "classes")
     if not alike:
-        links = fingerprint_links(classes, distance, words=words)
+        roots = components(fingerprint_links(classes, distance, words=words))
     else:
         links = fingerprint_links(classes, distance, words=words, all_bits=bits_at(NUMERATOR / DENOMINATOR, 64 * words, 2.0))
-        links = alike_links(docs, classes, links, width, words)
-    return name_groups(fps, components(links), classes)
+        roots = alike_components(docs, classes, links, width, words)
+    return name_groups(fps, roots, classes)
 
 
 def name_groups(fps: DataFrame, roots: DataFrame, classes: DataFrame) -> DataFrame:
