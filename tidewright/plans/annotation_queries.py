@@ -45,7 +45,7 @@ def update_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return u.select("user_id", A.update_cost(F.col("u")).cast("long").alias("tokens"))
 
 
-@query("O200 O262", "SELECT p_partkey, CASE WHEN contains(u, 'assembly') THEN 'Assembly task' WHEN contains(u, 'cooking') THEN 'Cooking task' ELSE 'Task completion' END AS goal FROM (SELECT p_partkey, lower(p_name || CASE p_partkey % 3 WHEN 0 THEN 'Assembly' WHEN 1 THEN 'COOKING' ELSE '' END) AS u FROM part)")
+@query("O200", "SELECT p_partkey, CASE WHEN contains(u, 'assembly') THEN 'Assembly task' WHEN contains(u, 'cooking') THEN 'Cooking task' ELSE 'Task completion' END AS goal FROM (SELECT p_partkey, lower(p_name || CASE p_partkey % 3 WHEN 0 THEN 'Assembly' WHEN 1 THEN 'COOKING' ELSE '' END) AS u FROM part)")
 def goals(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("p_partkey") % 3
     return table(spark, sf_dir, "part").select("p_partkey", A.goal_by_name(F.concat("p_name", F.when(k == 0, "Assembly").when(k == 1, "COOKING").otherwise(""))).alias("goal"))

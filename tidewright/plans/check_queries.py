@@ -123,7 +123,7 @@ def sample_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _samples(spark, sf_dir)
 
 
-@query("O96 O274", f"""
+@query("O96", f"""
 WITH s AS ({_SAMPLES}) SELECT count(*) FILTER (error IS NULL) AS valid, count(*) FILTER (error IS NOT NULL) AS invalid, round(count(*) FILTER (error IS NULL) / count(*), 6) AS rate,
   (SELECT array_to_string(list(e ORDER BY e)[1:3], '; ') FROM (SELECT DISTINCT error AS e FROM s WHERE error IS NOT NULL)) AS errors FROM s""")
 def validation_summary(spark: SparkSession, sf_dir: str) -> DataFrame:

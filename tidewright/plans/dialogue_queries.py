@@ -19,7 +19,7 @@ def rounded_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("event_id", G.round_time(F.col("value")).alias("value"), F.base64(F.col("event_type").cast("binary")).alias("packed"))
 
 
-@query("O188 O193 O262", """
+@query("O188 O193", """
 SELECT p_partkey, replace(replace(replace(trim(t), '_', ' '), 'student', 'user'), '*unintelligible*', '') AS text, CASE WHEN contains(lower(t), 'coffee') THEN 'Make pour-over coffee' WHEN contains(lower(t), 'tortilla') THEN 'Make pinwheels' ELSE 'Make mug cake' END AS task
 FROM (SELECT p_partkey, ' student_' || p_name || CASE p_partkey % 3 WHEN 0 THEN ' Coffee' WHEN 1 THEN ' tortilla *unintelligible*' ELSE '' END AS t FROM part)""")
 def clean_annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -123,7 +123,7 @@ def timeline_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select("o_orderkey", G.marker_grid(a, a + F.col("o_custkey") % 6).alias("grid"))
 
 
-@query("O41 O48 O291", "SELECT user_id, count(*) FILTER (event_type NOT IN ('click', 'view')) AS silent, count(*) AS n FROM events GROUP BY user_id HAVING count(*) FILTER (event_type IN ('click', 'view')) / count(*) >= 0.4")
+@query("O41 O48", "SELECT user_id, count(*) FILTER (event_type NOT IN ('click', 'view')) AS silent, count(*) AS n FROM events GROUP BY user_id HAVING count(*) FILTER (event_type IN ('click', 'view')) / count(*) >= 0.4")
 def annotation_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     talks = F.col("event_type").isin("click", "view")
     return table(spark, sf_dir, "events").groupBy("user_id").agg(F.count_if(~talks).alias("silent"), F.count(F.lit(1)).alias("n")).filter((F.col("n") - F.col("silent")) / F.col("n") >= 0.4)
@@ -135,7 +135,7 @@ def token_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").groupBy("conv_id").agg(blanks.alias("blanks"), chars.alias("chars"), F.round(blanks / chars, 6).alias("ratio"))
 
 
-@query("O273 O281 O258", "SELECT conv_id, turn - min(turn) OVER (PARTITION BY conv_id) AS idx, count(*) OVER (PARTITION BY conv_id) AS turns, 'conv_' || conv_id AS uid, length(text) AS len FROM conversations")
+@query("O273 O281", "SELECT conv_id, turn - min(turn) OVER (PARTITION BY conv_id) AS idx, count(*) OVER (PARTITION BY conv_id) AS turns, 'conv_' || conv_id AS uid, length(text) AS len FROM conversations")
 def conversation_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("t"))
     flat = c.select("conv_id", F.size("t").cast("long").alias("turns"), F.posexplode("t").alias("pos", "x"))
@@ -201,7 +201,7 @@ def camera_replicas(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tasks.join(files, ["n_nationkey", "camera"], "left_semi")
 
 
-@query("O95 O280", "SELECT user_id, count(DISTINCT step_id) AS steps, count(*) AS substeps, max(n) AS largest FROM (SELECT *, count(*) OVER (PARTITION BY user_id, step_id) AS n FROM spans) GROUP BY user_id", ("timed", "steps", "spans"))
+@query("O95", "SELECT user_id, count(DISTINCT step_id) AS steps, count(*) AS substeps, max(n) AS largest FROM (SELECT *, count(*) OVER (PARTITION BY user_id, step_id) AS n FROM spans) GROUP BY user_id", ("timed", "steps", "spans"))
 def tree_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     tree = D.spans(spark, sf_dir).groupBy("user_id", "step_id").agg(F.collect_list("span_id").alias("s")).groupBy("user_id").agg(F.collect_list("s").alias("t"))
     sizes = F.transform("t", lambda s: F.size(s))

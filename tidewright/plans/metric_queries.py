@@ -16,7 +16,7 @@ _FR = ("timed", "frames")
 _W = r"list_filter(string_split_regex(coalesce(%s, ''), '[ \t\n\r\f\v]+'), lambda w: w <> '')"
 
 
-@query("O109 O108 O120", """
+@query("O109 O120", """
 WITH c AS (SELECT user_id, count(*) FILTER (ref <> '' AND gen <> '') AS tp, count(*) FILTER (ref = '' AND gen <> '') AS fp, count(*) FILTER (ref <> '' AND gen = '') AS fn, count(*) FILTER (ref = '' AND gen = '') AS tn FROM frames GROUP BY user_id),
 r AS (SELECT *, coalesce(tp / nullif(tp + fp, 0), 0.0) AS p, coalesce(tp / nullif(tp + fn, 0), 0.0) AS r, coalesce(tn / nullif(tn + fp, 0), 0.0) AS s FROM c)
 SELECT user_id, tp, fp, fn, tn, round(p, 6) AS precision, round(r, 6) AS recall, round(coalesce(2 * p * r / nullif(p + r, 0), 0), 6) AS f1, round((r + s) / 2, 6) AS balanced_accuracy FROM r""", _FR)

@@ -17,6 +17,7 @@ from tidewright.operators import validators as V
 from tidewright.plans import derived as D
 from tidewright.plans.registry import query
 from tidewright.session import table
+from tidewright.sources import arrow_frames as A
 from tidewright.sources import files as S
 from tidewright.sources.scratch import scratch_path
 from tidewright.streaming import stateful as W
@@ -79,6 +80,26 @@ def frame_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.decoded_frames(spark.read.parquet(path), 2.0).withColumn("data", F.decode("data", "UTF-8"))
 
 
+@query("O10 O12 O9", """
+SELECT user_id::VARCHAR AS video_uid, frame_idx, frame_idx / 2.0::DOUBLE AS time, CASE WHEN frame_idx % 3 = 0 THEN upper(event_type) ELSE event_type END AS data
+FROM (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS frame_idx, event_type FROM events) WHERE frame_idx >= user_id % 7 AND frame_idx < user_id % 7 + 12""")
+def arrow_clips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path, uid = scratch_path(spark, "archive"), F.col("video_uid")
+    stored = _stored(spark, sf_dir)
+    for part in (F.col("frame_idx") < 20, F.col("frame_idx") >= 20):  # the second goes on where the first ends
+        A.write_frames(stored.filter(part), path, batch_rows=8)
+    clips = stored.select("video_uid").distinct().select("video_uid", uid.alias("clip"), (uid % 7).alias("clip_start"), (uid % 7 + 12).alias("clip_end"))
+    return S.decoded_frames(A.read_clips(clips, path, strict=False), 2.0).withColumn("data", F.decode("data", "UTF-8"))
+
+
+@query("O10 O12 O11", """
+SELECT user_id::VARCHAR AS video_uid, count(*) AS n, max(k) AS last FROM (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS k FROM events) GROUP BY 1""")
+def arrow_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "archive")
+    A.write_frames(_stored(spark, sf_dir), path)
+    return A.read_frames(spark, path).groupBy("video_uid").agg(F.count(F.lit(1)).alias("n"), F.max("frame_idx").alias("last"))
+
+
 @query("O9 O32", """
 SELECT n_nationkey AS video_uid, n, CASE WHEN n_nationkey * 4 > n THEN 'clip ends at ' || n_nationkey * 4 || ' of ' || n WHEN n_nationkey * 4 <= 2 THEN 'clip is empty' END AS error
 FROM (SELECT n_nationkey, coalesce(n, 0) AS n FROM nation LEFT JOIN (SELECT user_id, count(*) AS n FROM events GROUP BY 1) ON user_id = n_nationkey)""")

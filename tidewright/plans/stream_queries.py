@@ -9,8 +9,9 @@ from tidewright.functions import text as T
 from tidewright.plans import derived as D
 from tidewright.plans.registry import SQL, query
 from tidewright.session import table
+from tidewright.streaming import processors as X
 from tidewright.streaming import stateful as S
-from tidewright.streaming.runs import run_to_table, stream_of
+from tidewright.streaming.runs import run_to_table, stream_in_parts, stream_of
 
 
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,12 +24,12 @@ def _stream_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _events(spark, sf_dir).filter(kind.isin("view", "purchase", "error")).select("event_id", "user_id", F.concat(F.lit("S"), (F.col("event_id") % 8).cast("string")).alias("step_id"), change.alias("transition"))
 
 
-@query("O241 O242 O245 O129", "WITH h AS (" + SQL["state_history"].strip() + ") SELECT user_id, event_id, step_id, transition, state FROM h")
+@query("O242 O129", "WITH h AS (" + SQL["state_history"].strip() + ") SELECT user_id, event_id, step_id, transition, state FROM h")
 def stream_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run_to_table(S.replay_states(_stream_steps(spark, sf_dir), "user_id", ["event_id"]))
 
 
-@query("O243", "SELECT user_id, event_id, event_type FROM (SELECT *, lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id) AS b FROM events) WHERE b IS DISTINCT FROM event_type")
+@query("O142", "SELECT user_id, event_id, event_type FROM (SELECT *, lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id) AS b FROM events) WHERE b IS DISTINCT FROM event_type")
 def stream_change(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run_to_table(S.changes(_events(spark, sf_dir).select("user_id", "event_id", "event_type"), "user_id", ["event_id"], "event_type"))
 
@@ -47,6 +48,49 @@ def stream_session(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("begins", "ends")})
 
 
+_GATED = """
+x AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n, (event_id * 37 % 100) / 100.0::DOUBLE > 0.6 AS updating, (event_id * 61 % 100) / 100.0::DOUBLE > 0.5 AS speaking,
+  CASE event_type WHEN 'view' THEN 'S' || event_id % 8 || '->start' WHEN 'purchase' THEN 'S' || event_id % 8 || '->complete' WHEN 'error' THEN 'no no no no' ELSE 'S1->pause' END AS moved,
+  CASE event_type WHEN 'click' THEN 'so so so so so so' ELSE 'now ' || event_type END AS said FROM events),
+t AS (SELECT user_id, n, split_part(moved, '->', 1) AS step, CASE WHEN moved LIKE '%->start' THEN 'in_progress' ELSE 'completed' END AS state FROM x WHERE updating AND (moved LIKE '%->start' OR moved LIKE '%->complete')),
+l AS (SELECT x.user_id, x.n, t.step, arg_max(t.state, t.n) AS state, min(t.n) AS since FROM x JOIN t ON x.user_id = t.user_id AND t.n <= x.n GROUP BY ALL),
+h AS (SELECT user_id, n, string_agg(step || ':' || state, ',' ORDER BY step) AS states, count(*) FILTER (since < n) AS before FROM l GROUP BY ALL),
+y AS (SELECT x.*, coalesce(h.states, '') AS states, coalesce(h.before, 0) AS before,
+  1 + CASE WHEN updating THEN len(string_split(moved, ' ')) ELSE 0 END + CASE WHEN speaking THEN len(string_split(said, ' ')) ELSE 0 END AS cost FROM x LEFT JOIN h ON x.user_id = h.user_id AND x.n = h.n),
+r AS (SELECT user_id, n, 20 + 2 * before + cost AS tokens FROM y WHERE n = 1 UNION ALL
+  SELECT y.user_id, y.n, CASE WHEN r.tokens >= 60 THEN 20 + 2 * y.before ELSE r.tokens END + y.cost FROM r JOIN y ON y.user_id = r.user_id AND y.n = r.n + 1)
+"""
+
+
+@query("O241 O242 O245", "WITH RECURSIVE " + _GATED.strip() + """
+SELECT y.user_id, y.event_id, CASE WHEN speaking AND said NOT LIKE 'so so%' THEN said ELSE '' END AS said, CASE WHEN updating THEN CASE WHEN moved LIKE 'no no%' THEN '' ELSE moved END END AS moved,
+  states, speaking::INT AS speaking, updating::INT AS updating, r.tokens::BIGINT AS tokens, r.tokens >= 60 AS rebuilt FROM y JOIN r ON y.user_id = r.user_id AND y.n = r.n""")
+def stream_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kind, k = F.col("event_type"), F.col("event_id")
+    step = F.concat(F.lit("S"), (k % 8).cast("string"))
+    moved = F.when(kind == "view", F.concat(step, F.lit("->start"))).when(kind == "purchase", F.concat(step, F.lit("->complete"))).when(kind == "error", "no no no no").otherwise("S1->pause")
+    said = F.when(kind == "click", "so so so so so so").otherwise(F.concat(F.lit("now "), kind))
+    share = lambda c: (c % 100) / F.lit(100.0)
+    frames = table(spark, sf_dir, "events").select("user_id", "event_id", share(k * 61).alias("speak_prob"), said.alias("speak_text"), share(k * 37).alias("update_prob"), moved.alias("update_text"))
+    return run_to_table(X.gated_frames(stream_in_parts(frames, "user_id", "event_id"), "user_id", "event_id", most=70, reserve=10))
+
+
+@query("O243", """
+SELECT user_id, event_id, before, kind FROM (SELECT *, lag(kind) OVER (PARTITION BY user_id ORDER BY event_id) AS before FROM
+  (SELECT user_id, event_id, nullif(event_type, 'error') AS kind FROM events)) WHERE before <> kind""")
+def stream_change_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "events").select("user_id", "event_id", F.nullif("event_type", F.lit("error")).alias("kind"))
+    return run_to_table(X.changes_within(stream_in_parts(rows, "user_id", "event_id", 4), "user_id", "event_id", "kind"))
+
+
+@query("O244", """
+SELECT user_id, event_id, coalesce(before - p > 0.3, false) OR p <= 0.5 AS speaks FROM (SELECT *, lag(p) OVER (PARTITION BY user_id ORDER BY event_id) AS before FROM
+  (SELECT user_id, event_id, (event_id * 61 % 100) / 100.0::DOUBLE AS p FROM events))""")
+def stream_talk_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "events").select("user_id", "event_id", ((F.col("event_id") * 61 % 100) / F.lit(100.0)).alias("p"))
+    return run_to_table(X.talk_gate(stream_in_parts(rows, "user_id", "event_id"), "user_id", "event_id", "p", "diff0.3"))
+
+
 @query("O239 O240", """
 WITH RECURSIVE x AS (SELECT conv_id, turn, length(text) // 4 AS cost, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS rn FROM conversations),
 w AS (SELECT conv_id, turn, rn, [cost] AS held, 0::BIGINT AS dropped FROM x WHERE rn = 1 UNION ALL

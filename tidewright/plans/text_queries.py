@@ -187,7 +187,7 @@ def uuid5_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", T.uuid5_dns(F.concat_ws("_", "source", F.col("doc_id").cast("string"))).alias("uid"))
 
 
-@query("O211 O212 O213 O293 O294", """
+@query("O211 O212 O213", """
 SELECT event_id, (props->>'$.k')::BIGINT AS k FROM events""")
 def json_props(spark: SparkSession, sf_dir: str) -> DataFrame:
     fenced = F.concat(F.lit("Here it is:\n```json\n"), F.regexp_replace("props", r"\}$", ",}"), F.lit("\n```\n"))

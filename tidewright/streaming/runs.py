@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tidewright.sources.scratch import scratch_path
 
@@ -13,6 +14,19 @@ def stream_of(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.readStream.schema(schema).parquet(f"{sf_dir}/{name}.parque[t]")
 
 
+def stream_in_parts(df: DataFrame, key: str, order: str, parts: int = 3) -> DataFrame:
+    """*df* as a stream of several micro-batches: written in *parts* one after the other by *order*, a key's rows of a part in one file."""
+    spark, path = df.sparkSession, scratch_path(df.sparkSession, "parts")
+    cuts = df.approxQuantile(order, [i / parts for i in range(1, parts)], 0.01)
+    most, done = 1, 0
+    for low, high in zip([None, *cuts], [*cuts, None], strict=True):
+        part = df if low is None else df.filter(F.col(order) > low)
+        (part if high is None else part.filter(F.col(order) <= high)).repartition(key).write.mode("append").parquet(path)
+        files = len(spark.read.schema(df.schema).parquet(path).inputFiles())
+        most, done = max(most, files - done), files
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", most).parquet(path)
+
+
 def run_to_table(df: DataFrame, mode: str = "append") -> DataFrame:
     """Run *df* over all that is there and return what it wrote. In complete mode the last batch's result replaces what came before."""
     spark = df.sparkSession
