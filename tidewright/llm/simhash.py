@@ -343,7 +343,8 @@ def alike_components(docs: DataFrame, nodes: DataFrame, links: DataFrame, width:
         met = pairs.join(rows.toDF("a", "p"), "a").join(rows.toDF("b", "q"), "b").filter("p <> q")
         return components(met.select(F.col("p").alias("a"), F.col("q").alias("b"))).toDF("x", "root")
 
-    groups = between(links).select("x", F.col("root").alias("s"))
+    failed = links.join(found, ["a", "b"], "left_anti")  # those that hold lie within a part
+    groups = between(failed).select("x", F.col("root").alias("s"))
     # a group's smallest part is its name and stands in no row of its own
     groups = groups.unionByName(groups.select(F.col("s").alias("x"), "s").distinct())
     torn = written(rows.join(groups, F.col("part") == F.col("x")).select("s", "node", "part"), "torn")
