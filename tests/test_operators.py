@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import random
-from itertools import permutations
+from itertools import permutations, product
 
 import numpy as np
 import pytest
@@ -154,6 +154,14 @@ def test_assignment_is_the_cheapest():
         best = min(sum(cost[i, p[i]] for i in range(n)) for p in permutations(range(m), n))
         got = M.assign(cost)
         assert len(got) == n == len(set(got.values())) and sum(cost[e] for e in got.items()) == best
+    for _ in range(200):
+        n, m = r.randint(1, 4), r.randint(1, 4)
+        cost = {(i, j): float(r.randint(0, 6)) for i in range(n) for j in range(m) if r.random() < 0.5}
+        places = [[j for j in range(m) if (i, j) in cost] + [None] for i in range(n)]
+        legal = [c for c in product(*places) if len({j for j in c if j is not None}) == sum(j is not None for j in c)]
+        best = min((sum(j is None for j in c), sum(cost[i, j] for i, j in enumerate(c) if j is not None)) for c in legal)
+        got = M.assign(cost)
+        assert (n - len(got), sum(cost[e] for e in got.items())) == best and len(set(got.values())) == len(got)
     assert M.assign({(0, 0): 0.0, (1, 0): 0.0}) in ({0: 0}, {1: 0}) and M.assign({}) == {}
 
 
@@ -388,6 +396,49 @@ def test_matching_in_parts_is_matching_of_the_whole(spark):
         assert len(got[u]) == len(want) and sum(cost[u][k] for k in got[u].items()) == pytest.approx(sum(cost[u][k] for k in want.items()))
 
 
+@pytest.mark.parametrize("reach", [(-4, 2), None])
+def test_parts_over_many_batches_are_matched_as_one(spark, reach):
+    r = random.Random(5)
+    rows = [(u, f, r.choice(["", "a b", "b c"]), r.choice(["", "a c", "b"])) for u in (1, 2, 3) for f in sorted(r.sample(range(900), 400))]
+    candidates = M.match_candidates(spark.createDataFrame(rows, "u int, frame long, gen string, ref string"), ["u"], (-4, 2))
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+        small = sorted(map(tuple, M.match_assign(candidates, "u", reach).collect()))
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    cost = {}
+    for c in candidates.collect():
+        cost.setdefault(c.u, {})[c.gen_frame, c.ref_frame] = c.cost
+    for u, edges in cost.items():
+        got, want = {x[1]: x[2] for x in small if x[0] == u}, M.assign(edges)
+        assert len(got) == len(want) == len(set(got.values())) and sum(edges[e] for e in got.items()) == pytest.approx(sum(edges[e] for e in want.items()))
+
+
+def test_assignment_leaves_out_what_is_no_candidate(spark):
+    schema = "u string, gen_frame long, ref_frame long, text_cost double, cost double, silent boolean"
+    rows = [("a", 1, 1, 0.0, 0.5, False), ("a", 1, 1, 0.0, 0.5, False), ("a", 2, 1, 0.0, 0.1, False), (None, 1, 1, 0.0, 0.1, False), ("b", None, 1, 0.0, 0.1, False), ("b", 1, 2, 0.0, None, True)]
+    got = M.match_assign(spark.createDataFrame(rows, schema), "u", (-1, 1)).collect()
+    assert [(x.u, x.gen_frame, x.ref_frame) for x in got] == [("a", 2, 1)]
+    assert M.match_assign(spark.createDataFrame([], schema), "u").count() == 0
+
+
+def test_first_container_is_the_scan_of_all_kept():
+    r = random.Random(9)
+    for _ in range(300):
+        n = r.randint(0, 40)
+        spans = [(float(r.randint(0, 12)) if r.random() < 0.95 else float("nan"), float(r.randint(0, 14)) if r.random() < 0.8 else float("nan")) for _ in range(n)]
+        kept, want = [], []
+        for i, (s, e) in enumerate(spans):
+            last = s if np.isnan(e) else e
+            outer = next((k for k in kept if not np.isnan(spans[k][1]) and spans[k][0] <= s and last <= spans[k][1]), -1)
+            want.append(outer)
+            if outer < 0:
+                kept.append(i)
+        got = I.first_container(*(np.array([x[c] for x in spans], float) for c in (0, 1)))
+        assert got.tolist() == want
+
+
 def test_meteor_of_exact_words(spark):
     assert X.meteor_of("a b c d".split(), "a b c d".split()) == pytest.approx(1 - 0.5 / 64)
     assert X.meteor_of("c d a b".split(), "a b c d".split()) == pytest.approx(1 - 0.5 / 8)

@@ -6,6 +6,7 @@ bounded, so a window per key fits a task; where rows of a key must be paired, a
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -124,24 +125,67 @@ def temporal_iou(a: DataFrame, b: DataFrame, key: list[str], scales: int = 24, l
     return pairs.withColumn("iou", iou).select(*a.columns, *[f"other_{c}" for c in b.columns if c not in key], "iou")
 
 
+def _prefix_best(places: np.ndarray, values: np.ndarray, asks: np.ndarray) -> np.ndarray:
+    """Event by event: the greatest of the values filed so far at places up to the event's, then its value is filed there (-inf: nothing is).
+
+    A tree of prefixes by lowest bits: an event costs the logarithm of the number of places. *asks*: the place up to which an event asks.
+    """
+    size = int(max(places.max(initial=0), asks.max(initial=0))) + 1
+    tree = [-np.inf] * (size + 1)
+    out = np.empty(len(places))
+    for k, (place, value, ask) in enumerate(zip(places.tolist(), values.tolist(), asks.tolist(), strict=True)):
+        best, at = -np.inf, ask + 1
+        while at > 0:
+            if tree[at] > best:
+                best = tree[at]
+            at &= at - 1
+        out[k] = best
+        if value != -np.inf:
+            at = place + 1
+            while at <= size:
+                if tree[at] < value:
+                    tree[at] = value
+                at += at & -at
+    return out
+
+
+def first_container(start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """For each interval, in order: which earlier one that nothing contains is the first to contain it; -1 where there is none.
+
+    Both in n log n. What a contained interval contains, its container contains too; so whether there is one shows in the latest end of all
+    earlier intervals that start no later. Which is first is then asked of a sweep by start over trees of the least position by falling end.
+    """
+    last = np.where(np.isnan(end), start, end)
+    opens, known = ~np.isnan(end) & ~np.isnan(start), ~np.isnan(start)
+    _, place = np.unique(np.where(known, start, np.inf), return_inverse=True)
+    latest = _prefix_best(place, np.where(opens, end, -np.inf), place)
+    inside = known & (latest >= last)
+    out = np.full(len(start), -1)
+    if not inside.any():
+        return out
+    _, low = np.unique(-np.where(known, last, -np.inf), return_inverse=True)  # place 0 is the latest end
+    outer = opens & ~inside
+    # sweep by start; of equal starts those that contain are filed before the others ask
+    sweep = np.lexsort((np.arange(len(start)), ~outer, start))
+    sweep = sweep[outer[sweep] | inside[sweep]]
+    first = -_prefix_best(low[sweep], np.where(outer[sweep], -sweep.astype(float), -np.inf), low[sweep])
+    asked = inside[sweep]
+    out[sweep[asked]] = first[asked].astype(int)
+    return out
+
+
 def absorb_contained(blocks: DataFrame, key: str, ident: str) -> DataFrame:
     """Blocks that no earlier kept block of their key contains, in order of *ident*; how many each absorbed.
 
     A point (no end) can be contained but contains nothing. Bounds count as inside. The order matters: an outer block
-    that comes after an inner one doesn't absorb it.
+    that comes after an inner one doesn't absorb it. A block without a start is kept and contains nothing.
     """
     kind = blocks.schema[key].dataType.simpleString()
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        kept: list[list] = []
-        for k, i, s, e in zip(rows[key], rows[ident], rows["start_ts"], rows["end_ts"], strict=True):
-            last = s if pd.isna(e) else e
-            outer = next((x for x in kept if not pd.isna(x[3]) and x[2] <= s and last <= x[3]), None)
-            if outer is None:
-                kept.append([k, i, s, e, 0])
-            else:
-                outer[4] += 1
-        return pd.DataFrame(kept, columns=[key, ident, "start_ts", "end_ts", "absorbed"])
+        by = first_container(rows["start_ts"].to_numpy(float), rows["end_ts"].to_numpy(float))
+        absorbed = np.bincount(by[by >= 0], minlength=len(rows))
+        return rows.assign(absorbed=absorbed)[by < 0][[key, ident, "start_ts", "end_ts", "absorbed"]]
 
     return fold_groups(blocks, key, [ident], ["start_ts", "end_ts"], run, f"{key} {kind}, {ident} long, start_ts double, end_ts double, absorbed long")
 

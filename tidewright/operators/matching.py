@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import heapq
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewright.functions.text import jaccard
@@ -33,10 +34,22 @@ def match_candidates(frames: DataFrame, key: list[str], window: tuple[int, int],
 
 
 def assign(cost: dict[tuple[int, int], float]) -> dict[int, int]:
-    """Row -> column of the matching with most rows and, among these, the least total cost; by shortest augmenting paths.
+    """Row -> column of the matching with most rows and, among these, the least total cost.
 
-    A cost of zero is an edge like any other. A row that no free column can be found for stays unmatched.
+    A cost of zero is an edge like any other. Where not all rows find a column, each gets one of its own that costs more than all
+    edges together: so as few as can be stay unmatched, and those whose absence is cheapest.
     """
+    chosen = _augmented(cost)
+    rows = {i for i, _ in cost}
+    if len(chosen) == len(rows):
+        return chosen
+    free, much = max(j for _, j in cost) + 1, 1 + 2 * sum(map(abs, cost.values()))
+    spare = {(i, free + k): much for k, i in enumerate(sorted(rows))}
+    return {i: j for i, j in _augmented(cost | spare).items() if j < free}
+
+
+def _augmented(cost: dict[tuple[int, int], float]) -> dict[int, int]:
+    """The cheapest matching of all rows by shortest augmenting paths; a row that no free column can be found for is left out."""
     out: dict[int, list[tuple[int, float]]] = {}
     for (i, j), c in cost.items():
         out.setdefault(i, []).append((j, c))
@@ -95,26 +108,81 @@ def assign(cost: dict[tuple[int, int], float]) -> dict[int, int]:
     return col_of
 
 
-def match_assign(candidates: DataFrame, key: str) -> DataFrame:
-    """(key, gen_frame, ref_frame, text_cost, cost, silent) of the least-cost assignment within each key.
+def _chosen(gen: np.ndarray, ref: np.ndarray, cost: np.ndarray, part: np.ndarray) -> np.ndarray:
+    """Which edges the assignments of all parts take; edges are sorted by part, gen and ref.
 
-    A key's frames are cut where no candidate reaches over: the parts have assignments of their own, so a long history is many folds.
+    Where each row's cheapest edge (the first of equal ones) ends in a column of its own, these edges are the assignment. Only parts where
+    rows compete for a column, or where an edge repeats, need the solver.
     """
-    kind = candidates.schema[key].dataType.simpleString()
-    least = F.min("ref_frame").over(Window.partitionBy(key).orderBy("gen_frame").rangeBetween(0, Window.unboundedFollowing))
-    reach = F.max("ref_frame").over(Window.partitionBy(key).orderBy("gen_frame").rangeBetween(Window.unboundedPreceding, -1))
-    cut = candidates.withColumn("_cut", F.coalesce(reach < least, F.lit(False)).cast("int"))
-    part = F.sum("_cut").over(Window.partitionBy(key).orderBy("gen_frame"))
-    # every row of a frame that begins a part counts, so the sums rise by more than one: only that they differ matters
-    parts = cut.withColumn("_part", F.concat_ws("/", part.cast("string"), F.col(key).cast("string")))
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        cost = {(int(i), int(j)): float(c) for i, j, c in zip(rows["gen_frame"], rows["ref_frame"], rows["cost"], strict=True)}
-        chosen = assign(cost)
-        kept = rows[[chosen.get(int(i)) == int(j) for i, j in zip(rows["gen_frame"], rows["ref_frame"], strict=True)]]
-        return kept[[key, "gen_frame", "ref_frame", "text_cost", "cost", "silent"]]
+    n = len(gen)
+    order = np.lexsort((ref, cost, gen, part))
+    first = np.ones(n, bool)
+    first[1:] = (part[order][1:] != part[order][:-1]) | (gen[order][1:] != gen[order][:-1])
+    best = order[first]
+    by_column = best[np.lexsort((ref[best], part[best]))]
+    clash = (part[by_column][1:] == part[by_column][:-1]) & (ref[by_column][1:] == ref[by_column][:-1])
+    again = (part[1:] == part[:-1]) & (gen[1:] == gen[:-1]) & (ref[1:] == ref[:-1])
+    hard = np.zeros(int(part[-1]) + 1 if n else 0, bool)
+    hard[part[by_column][1:][clash]] = hard[part[1:][again]] = True
+    taken = np.zeros(n, bool)
+    taken[best[~hard[part[best]]]] = True
+    for p in np.flatnonzero(hard):
+        a, b = np.searchsorted(part, [p, p + 1])
+        chosen = assign({(int(i), int(j)): float(c) for i, j, c in zip(gen[a:b], ref[a:b], cost[a:b], strict=True)})
+        taken[a:b] = [chosen.get(int(i)) == int(j) for i, j in zip(gen[a:b], ref[a:b], strict=True)]
+    return taken
+
+
+def match_assign(candidates: DataFrame, key: str, window: tuple[int, int] | None = None) -> DataFrame:
+    """(key, gen_frame, ref_frame, text_cost, cost, silent) of the least-cost assignment within each key.
 
-    return fold_groups(parts, "_part", ["gen_frame", "ref_frame"], [key, "text_cost", "cost", "silent"], run, f"{key} {kind}, gen_frame long, ref_frame long, text_cost double, cost double, silent boolean")
+    A key's frames are cut where no candidate reaches over, and each part has an assignment of its own. Rows are dealt by key and sorted, and a task
+    goes through them in batches of many parts. With *window* (how far candidates reach, as in match_candidates) it holds no more than a batch and
+    the part that is still open, however long the key; without it, a key's rows. Rows without key, frames or cost are no candidates.
+    """
+    names = [key, "gen_frame", "ref_frame", "text_cost", "cost", "silent"]
+    kinds = dict(candidates.dtypes)
+
+    def solved(rows: pd.DataFrame, ended: bool) -> tuple[pd.DataFrame, pd.DataFrame]:
+        """The assignment of all parts that have ended, and the rows of those that haven't."""
+        gen, ref = rows["gen_frame"].to_numpy(np.int64), rows["ref_frame"].to_numpy(np.int64)
+        other = np.r_[True, (rows[key].to_numpy()[1:] != rows[key].to_numpy()[:-1])]
+        group = np.cumsum(other) - 1
+        span = int(ref.max() - ref.min()) + 1
+        placed = (ref - ref.min()) + group * span  # later keys lie wholly above earlier ones
+        reach = np.maximum.accumulate(placed)
+        least = np.minimum.accumulate(placed[::-1])[::-1]
+        begins = np.r_[True, (gen[1:] != gen[:-1]) & (reach[:-1] < least[1:])] | other
+        end = len(rows)
+        if not ended:
+            # the last key may go on: with a window, frames from the last one on can't reach below this reference
+            begins_last, last = np.flatnonzero(other)[-1], len(rows)
+            if window is not None:
+                floor = min(gen[-1] + window[0] - ref.min(), span) + group[-1] * span
+                sure = np.flatnonzero(begins & (np.r_[-1, reach[:-1]] < floor) & (gen < gen[-1]) & (np.arange(last) > begins_last))
+                begins_last = sure[-1] if len(sure) else begins_last
+            end = begins_last
+        part = np.cumsum(begins[:end]) - 1
+        taken = _chosen(gen[:end], ref[:end], rows["cost"].to_numpy(float)[:end], part)
+        return rows.iloc[:end][taken][names], rows.iloc[end:]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []
+        for rows in batches:
+            if not len(rows):
+                continue
+            if window is None and held and held[-1][key].iat[-1] == rows[key].iat[-1]:
+                held.append(rows)  # all of one key so far, joined once when another begins
+                continue
+            found, rest = solved(pd.concat([*held, rows], ignore_index=True), False)
+            held = [rest]
+            yield found
+        if held:
+            yield solved(pd.concat(held, ignore_index=True), True)[0]
+
+    rows = candidates.select(*names).dropna(subset=[key, "gen_frame", "ref_frame", "cost"])
+    schema = f"`{key}` {kinds[key]}, gen_frame long, ref_frame long, text_cost double, cost double, silent boolean"
+    return rows.repartition(key).sortWithinPartitions(key, "gen_frame", "ref_frame").mapInPandas(run, schema)
 
 
 def turn_taking(frames: DataFrame, matches: DataFrame, key: list[str], fps: float, threshold: float = 0.5) -> DataFrame:

@@ -135,7 +135,7 @@ def count_narration(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("O108")
 def turn_taking_all_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = D.frames(spark, sf_dir)
-    return M.turn_taking(f, written(M.match_assign(M.match_candidates(f, ["user_id"], (-5, 5)), "user_id"), "matches"), ["user_id"], 2.0, -1.0)
+    return M.turn_taking(f, written(M.match_assign(M.match_candidates(f, ["user_id"], (-5, 5)), "user_id", (-5, 5)), "matches"), ["user_id"], 2.0, -1.0)
 
 
 @query("O135", """

@@ -56,13 +56,13 @@ def _frames(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("O73")
 def match_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return M.match_assign(M.match_candidates(_frames(spark, sf_dir), ["user_id"], (-4, 2)), "user_id")
+    return M.match_assign(M.match_candidates(_frames(spark, sf_dir), ["user_id"], (-4, 2)), "user_id", (-4, 2))
 
 
 @query("O107 O53 O247")
 def turn_taking_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = _frames(spark, sf_dir)
-    matches = written(M.match_assign(M.match_candidates(f, ["user_id"], (-4, 2)), "user_id"), "matches")  # read twice
+    matches = written(M.match_assign(M.match_candidates(f, ["user_id"], (-4, 2)), "user_id", (-4, 2)), "matches")  # read twice
     return M.turn_taking(f, matches, ["user_id"], 2.0, 0.4)
 
 
