@@ -86,6 +86,26 @@ def test_blocks_are_absorbed_in_order(spark):
     assert got == {(1, 0): 3, (1, 4): 0, (1, 5): 0, (2, 0): 0, (2, 1): 0}
 
 
+def test_blocks_of_many_keys_and_batches_are_absorbed_apart(spark):
+    r = random.Random(6)
+    rows = [(r.choice([None, 1, 2, 3, 4]), i, r.choice([None, *map(float, range(9))]), r.choice([None, *map(float, range(12))])) for i in range(300)]
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "11")
+        got = sorted(tuple(x)[1:] for x in I.absorb_contained(spark.createDataFrame(rows, BLOCKS), "k", "i").collect())
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    kept = {}
+    for k, i, s, e in rows:
+        last = s if e is None else e
+        outer = next((x for x in kept.get(k, []) if None not in (x[1], x[2], s) and x[1] <= s and last <= x[2]), None)
+        if outer is None:
+            kept.setdefault(k, []).append([i, s, e, 0])
+        else:
+            outer[3] += 1
+    assert got == sorted(map(tuple, (x for group in kept.values() for x in group)))
+
+
 def test_micro_gaps_compare_with_the_head_of_the_run(spark):
     rows = [(1, 0, "turn the left screw", 0.0, 1.0), (1, 1, "turn the left screw", 2.0, 3.0), (1, 2, "turn the right screw", 3.5, 4.0), (1, 3, "open box", 4.1, 5.0)]
     got = I.merge_micro_gaps(spark.createDataFrame(rows, "k long, i long, text string, start_ts double, end_ts double"), "k", "i").orderBy("i").collect()

@@ -11,11 +11,12 @@ from pyspark.sql import DataFrame
 Fold = Callable[[pd.DataFrame], pd.DataFrame]
 
 
-def fold_groups(df: DataFrame, key: str, order: list[str], columns: list[str], fold: Fold, schema: str) -> DataFrame:
+def fold_groups(df: DataFrame, key: str, order: list[str], columns: list[str], fold: Fold, schema: str, many: bool = False) -> DataFrame:
     """*fold* over each key's rows in *order*, all groups of a partition in one pass.
 
     Rows are dealt by key and sorted within partitions, so a batch holds many whole groups and only its last one may go on in
-    the next. That spares the fixed cost that a grouped function has for every group. Null keys are one group.
+    the next. That spares the fixed cost that a grouped function has for every group. Null keys are one group. With *many* the fold gets all whole groups
+    of a batch at once, and tells them apart itself.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -26,6 +27,13 @@ def fold_groups(df: DataFrame, key: str, order: list[str], columns: list[str], f
             k = rows[key]
             before = k.shift(fill_value=held[-1][key].iat[-1] if held else k.iat[0])
             start = np.flatnonzero(~((k == before) | (k.isna() & before.isna())).to_numpy() | (np.arange(len(rows)) == 0) & (not held))
+            if many:
+                if len(start):
+                    if held or start[-1]:
+                        yield fold(pd.concat([*held, rows.iloc[: start[-1]]], ignore_index=True))
+                    held = []
+                held.append(rows.iloc[start[-1] :] if len(start) else rows)
+                continue
             if held and len(start):
                 yield fold(pd.concat([*held, rows.iloc[: start[0]]], ignore_index=True))
                 held = []

@@ -183,11 +183,16 @@ def absorb_contained(blocks: DataFrame, key: str, ident: str) -> DataFrame:
     kind = blocks.schema[key].dataType.simpleString()
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        by = first_container(rows["start_ts"].to_numpy(float), rows["end_ts"].to_numpy(float))
+        k = rows[key]
+        group = (~((k == k.shift()) | (k.isna() & k.shift().isna()))).to_numpy()[1:].cumsum()
+        both = rows[["start_ts", "end_ts"]].to_numpy(float)
+        values, place = np.unique(both, return_inverse=True)  # places in the order of values, apart for each key
+        spans = np.where(np.isnan(both), np.nan, place.reshape(both.shape) + np.r_[0, group][:, None] * float(len(values)))
+        by = first_container(spans[:, 0], spans[:, 1])
         absorbed = np.bincount(by[by >= 0], minlength=len(rows))
         return rows.assign(absorbed=absorbed)[by < 0][[key, ident, "start_ts", "end_ts", "absorbed"]]
 
-    return fold_groups(blocks, key, [ident], ["start_ts", "end_ts"], run, f"{key} {kind}, {ident} long, start_ts double, end_ts double, absorbed long")
+    return fold_groups(blocks, key, [ident], ["start_ts", "end_ts"], run, f"{key} {kind}, {ident} long, start_ts double, end_ts double, absorbed long", many=True)
 
 
 def merge_micro_gaps(blocks: DataFrame, key: str, ident: str, max_gap: float = 2.0, least_overlap: float = 0.6) -> DataFrame:
