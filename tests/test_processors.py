@@ -31,7 +31,9 @@ def values():
 
 
 def test_changes_with_gaps_across_batches(spark, tmp_path, values):
-    got = streamed(spark, tmp_path, values, "k string, i long, v string", lambda s: X.changes_within(s, "k", "i", "v"))
+    numbered = [(ord(k), i, v) for k, i, v in values] + [(None, i, "x") for i in range(0, 300, 5)]  # rows without a key leave the others alone
+    got = streamed(spark, tmp_path, numbered, "k long, i long, v string", lambda s: X.changes_within(s, "k", "i", "v"))
+    got = [(chr(k), *rest) for k, *rest in got]
     want, before = [], defaultdict(lambda: None)
     for k, i, v in values:
         if v is not None and before[k] is not None and before[k] != v:
@@ -82,3 +84,26 @@ def test_gates_states_and_context_across_batches(spark, tmp_path):
         length[k] = None if size >= 48 else size
     assert sorted(got, key=lambda r: r[1]) == want
     assert any(r[8] for r in want)
+
+
+def test_messages_wait_for_frames_of_another_stream(spark, tmp_path):
+    from datetime import datetime, timedelta, timezone
+
+    at = lambda s: datetime(2024, 1, 1, tzinfo=timezone.utc) + timedelta(seconds=s)
+    shapes = {"frames": "k string, time timestamp, n long", "messages": "k string, time timestamp, n long, kind string, text string"}
+    end = at(10_000)
+    batches = [  # frames lag behind messages, over a restart; the last row of each stream moves the watermark
+        ([("a", at(10), 1)], [("a", at(5), 1, "system", "s"), ("a", at(10), 2, "user", "u"), ("a", at(25), 3, "assistant", "r1"), ("a", at(26), 4, "assistant", "lost")]),
+        ([("a", at(20), 2), ("b", at(30), 1)], [("b", at(500), 5, "assistant", "too late"), (None, None, 9, "user", "no time"), ("a", at(31), 6, "user", None)]),
+        ([("a", at(40), 3), ("a", at(50), 4)], [("a", at(60), 7, "assistant", "r4"), ("b", at(501), 8, "user", "never shown")]),
+        ([("tick", end, None), (None, end, 7)], [("tick", end, None, None, None)]),
+    ]
+    for half in (batches[:2], batches[2:]):
+        for parts in half:
+            for (name, schema), rows in zip(shapes.items(), parts, strict=True):
+                spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/{name}")
+        frames, messages = (spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/{name}") for name, schema in shapes.items())
+        found = X.attach_messages(frames, messages, "k", patience=100_000)
+        found.writeStream.format("parquet").option("checkpointLocation", f"{tmp_path}/marks").trigger(availableNow=True).start(f"{tmp_path}/out").awaitTermination()
+    got = sorted(map(tuple, spark.read.parquet(f"{tmp_path}/out").collect()))
+    assert got == [("a", 1, "s\nu", ""), ("a", 2, "", "r1"), ("a", 3, "", ""), ("a", 4, "", "r4"), ("b", 1, "", "")]

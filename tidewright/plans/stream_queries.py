@@ -110,6 +110,27 @@ def talk_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("user_id", "event_id", ((F.col("value") > 50) & (F.col("b").isNull() | (F.col("value") - F.col("b") > 10))).alias("speaks"))
 
 
+@query("O237", """
+WITH x AS (SELECT user_id, event_id AS n, epoch_ms(ts) AS ms, event_type || event_id AS text, CASE event_type WHEN 'view' THEN 'frame' WHEN 'purchase' THEN 'frame' WHEN 'error' THEN 'reply' ELSE 'user' END AS kind FROM events),
+g AS (SELECT *, row_number() OVER w AS rn, count(*) FILTER (kind = 'frame') OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS slot FROM x WINDOW w AS (PARTITION BY user_id ORDER BY ms, kind = 'frame', n)),
+p AS (SELECT user_id, slot, string_agg(text, chr(10) ORDER BY rn) AS prompt FROM g WHERE kind = 'user' GROUP BY ALL),
+f AS (SELECT *, lead(kind) OVER w AS next_kind, lead(ms) OVER w AS next_ms, lead(text) OVER w AS next_text FROM g WHERE kind <> 'user' WINDOW w AS (PARTITION BY user_id ORDER BY rn))
+SELECT f.user_id, f.n, coalesce(prompt, '') AS prompt, CASE WHEN next_kind = 'reply' AND next_ms <= f.ms + 86400000 THEN next_text ELSE '' END AS ref FROM f LEFT JOIN p ON p.user_id = f.user_id AND p.slot = f.slot WHERE kind = 'frame'""")
+def stream_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events").select("user_id", F.col("ts").cast("timestamp").alias("time"), F.col("event_id").alias("n"), "event_type")
+    is_frame = F.col("event_type").isin("view", "purchase")
+
+    def part(rows: DataFrame, parts: int) -> DataFrame:
+        """A stream of *rows*, ended by a row of key -1 without kind or n, two days after them: it moves the watermark past all."""
+        tick = rows.agg(F.lit(-1).cast("long").alias("user_id"), (F.max("time") + F.expr("INTERVAL 2 DAYS")).alias("time"))
+        ended = rows.unionByName(tick, allowMissingColumns=True).withColumn("at", F.unix_millis("time"))
+        return stream_in_parts(ended, "user_id", "at", parts).drop("at")
+
+    said = F.when(F.col("event_type") == "error", "assistant").otherwise("user")
+    messages = e.filter(~is_frame).select("user_id", "time", "n", said.alias("kind"), F.concat("event_type", F.col("n").cast("string")).alias("text"))
+    return run_to_table(X.attach_messages(part(e.filter(is_frame).drop("event_type"), 3), part(messages, 2), "user_id", patience=86_400_000))
+
+
 @query("O237 O67 O300", """
 WITH t AS (SELECT *, coalesce(lag(e) OVER (PARTITION BY conv_id ORDER BY turn), 0) AS s FROM (SELECT *, floor(time / 4)::BIGINT AS e FROM turns)),
 f AS (SELECT conv_id, turn, role, text, e, unnest(range(s, e)) AS frame FROM t WHERE e > s)

@@ -2,7 +2,7 @@
 
 Each operator keeps a key's state in value, list and map states of a StatefulProcessor, so state is as large as what it holds and is read and written
 in parts. Within a micro-batch a key's rows are put in order; across batches the source must deliver a key in order, as a log per video does. State
-outlives restarts by the stream's checkpoint. The session needs a state store with column families, which with_state_store() asks for.
+outlives restarts by the stream's checkpoint. Rows without a key are left out, as rows that follow one in a batch would be taken for its own. The session needs a state store with column families, which with_state_store() asks for.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ from typing import Any
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 _RESULT = {"start": "in_progress", "complete": "completed"}
@@ -32,7 +33,7 @@ def _sorted(rows: Iterator[pd.DataFrame], order: list[str]) -> pd.DataFrame:
 
 def _run(df: DataFrame, key: str, processor: StatefulProcessor, schema: str) -> DataFrame:
     with_state_store(df.sparkSession)
-    return df.groupBy(key).transformWithStateInPandas(processor, outputStructType=schema, outputMode="append", timeMode="none")
+    return df.filter(F.col(key).isNotNull()).groupBy(key).transformWithStateInPandas(processor, outputStructType=schema, outputMode="append", timeMode="none")
 
 
 def repeated_words(text: str, most: int) -> bool:
@@ -168,3 +169,91 @@ def talk_gate(df: DataFrame, key: str, order: str, prob: str, mode: str) -> Data
     """
     kinds = dict(df.dtypes)
     return _run(df.select(key, order, prob), key, _Threshold(key, order, prob, mode), f"{key} {kinds[key]}, {order} {kinds[order]}, speaks boolean")
+
+
+_FRAME, _REPLY = "frame", "assistant"
+
+
+class _Attached(StatefulProcessor):
+    def __init__(self, key: str, patience: int) -> None:
+        self.key, self.patience = key, patience
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", "ms long, n long, kind string, text string")
+        self.pending = handle.getListState("pending", "text string")
+        self.open = handle.getValueState("open", "ms long, n long, prompt string")
+
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        latest = None
+        for batch in rows:
+            came = [(int(r.ms), int(r.n), r.kind, r.text or "") for r in batch.itertuples(index=False) if r.kind is not None]
+            if came:
+                self.waiting.appendList(came)
+                latest = max(latest or came[0][0], max(r[0] for r in came))
+        if latest is not None:
+            self.handle.registerTimer(latest)
+        yield pd.DataFrame([], columns=[self.key, "n", "prompt", "ref"])
+
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        now = timerValues.getCurrentWatermarkInMs()
+        held = [tuple(r) for r in self.waiting.get()] if self.waiting.exists() else []
+        ready = sorted((r for r in held if r[0] <= now), key=lambda r: (r[0], r[2] == _FRAME, r[1]))
+        pending = [r[0] for r in self.pending.get()] if self.pending.exists() else []
+        shown = tuple(self.open.get()) if self.open.exists() else None
+        out: list[tuple] = []
+
+        def close(ref: str) -> None:
+            nonlocal shown
+            if shown is not None:
+                out.append((key[0], shown[1], shown[2], ref))
+            shown = None
+
+        for ms, n, kind, text in ready:
+            if kind == _FRAME:
+                close("")
+                shown, pending = (ms, n, "\n".join(pending)), []
+            elif kind == _REPLY:
+                close(text if shown is not None and ms <= shown[0] + self.patience else "")
+            else:
+                pending.append(text)
+        if shown is not None:
+            if now >= shown[0] + self.patience:
+                close("")
+            else:
+                self.handle.registerTimer(shown[0] + self.patience)
+        for state, left in ((self.waiting, [r for r in held if r[0] > now]), (self.pending, [(t,) for t in pending])):
+            if left:
+                state.put(left)
+            else:
+                state.clear()
+        if shown is None:
+            self.open.clear()
+        else:
+            self.open.update(shown)
+        yield pd.DataFrame(out, columns=[self.key, "n", "prompt", "ref"])
+
+    def close(self) -> None:
+        pass
+
+
+def attach_messages(frames: DataFrame, messages: DataFrame, key: str, delay: str = "0 seconds", patience: int = 3_600_000) -> DataFrame:
+    """(key, n, prompt, ref) of each frame: the messages since the frame before it, and the reply that is given on it.
+
+    *frames*: key, time (timestamp), n; *messages*: key, time, n, kind, text. Two streams, each with a watermark of *delay*: rows wait in the state
+    until both streams have passed their time, so neither needs to keep step with the other, and what comes later than that is dropped. At equal times
+    messages go before frames, in order of n. Messages but those of the assistant wait for the next frame, however far; a line each in its prompt.
+    A reply belongs to the last frame before it, up to *patience* milliseconds; a second reply on a frame, or one that comes too late for it, has none. A
+    frame is given when its reply, the next frame or the end of its patience has come. Null texts are empty; a null kind (or a frame without n) only moves the
+    watermark; rows without key or time are left out.
+    """
+    spark, kind = frames.sparkSession, dict(frames.dtypes)[key]
+    with_state_store(spark)
+
+    def timed(df: DataFrame, what: list) -> DataFrame:
+        rows = df.filter(F.col("time").isNotNull() & F.col(key).isNotNull()).withWatermark("time", delay)
+        return rows.select(F.col(key), "time", F.unix_millis("time").alias("ms"), F.col("n").cast("long").alias("n"), *what)
+
+    both = timed(frames, [F.when(F.col("n").isNotNull(), _FRAME).alias("kind"), F.lit("").alias("text")]).unionByName(timed(messages, [F.when(F.col("n").isNotNull(), F.col("kind")).alias("kind"), "text"]))
+    schema = f"`{key}` {kind}, n long, prompt string, ref string"
+    return both.groupBy(key).transformWithStateInPandas(_Attached(key, patience), outputStructType=schema, outputMode="append", timeMode="EventTime")
