@@ -174,12 +174,18 @@ def _entries(heads: DataFrame, reach: int) -> DataFrame | None:
     open_ = open_.withColumn("cell", F.explode(F.sequence(cell(F.col("low") + 1), cell(F.col("high")))))
     asked = long_heads.select("k", "a", "bins", "out", cell(F.col("out")).alias("c"))
     jumps = asked.join(open_, (F.col("k") == F.col("k2")) & (F.col("c") == F.col("cell")) & (F.col("low") < F.col("out")) & (F.col("out") <= F.col("high"))).select("a", "b", "bins")
-    levels = [written(jumps, "chain-jumps")]
+    seen = long_heads.filter("place = 0 AND at = head").select("a", F.lit(0).cast("long").alias("first"))
+
+    def level(jump: DataFrame) -> DataFrame:
+        """*jump* from the chains' first nodes and from nodes that *jump* itself leads to: the others are passed by no chain that far on. Chains meet, so these grow few."""
+        jump = written(jump, "chain-jumps")
+        return written(jump.join(jump.select(F.col("b").alias("a")).union(seen.select("a")).distinct(), "a", "left_semi"), "chain-jumps")
+
+    levels = [level(jumps)]
     while 1 << len(levels) < longest:
         one = levels[-1]
         two = one.select(F.col("a").alias("b"), F.col("b").alias("far"), F.col("bins").alias("more"))
-        levels.append(written(one.join(two, "b").select("a", F.col("far").alias("b"), (F.col("bins") + F.col("more")).alias("bins")), "chain-jumps"))
-    seen = long_heads.filter("place = 0 AND at = head").select("a", F.lit(0).cast("long").alias("first"))
+        levels.append(level(one.join(two, "b").select("a", F.col("far").alias("b"), (F.col("bins") + F.col("more")).alias("bins"))))
     for jump in reversed(levels):
         seen = written(seen.unionByName(seen.join(jump, "a").select(F.col("b").alias("a"), (F.col("first") + F.col("bins")).alias("first"))), "chain-seen")
     hit = seen.join(long_heads.select("a", "p", F.col("k").alias("k2"), "at", "bins"), "a")
