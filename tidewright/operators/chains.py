@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from tidewright.sources.scratch import written
 
-_SLICES = 4096  # parts that a bin's reach is cut into when pointers meet the heads of blocks
+_PER_CELL = 4  # items of a block's head, on average, in one of the cells in which pointers meet them
 
 
 def _whole_blocks(block: str, work: Callable[[pa.Table], pa.Table]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -168,7 +168,8 @@ def _entries(heads: DataFrame, reach: int) -> DataFrame | None:
     long_heads = long_heads.select("k", "p", "at", "place", "head", node.alias("a"), "bins", *[(F.col(n) + F.col("start")).alias(n) for n in ("low", "high", "out")], "gone")
     long_heads = written(long_heads, "chain-nodes")
     # only items behind the key's first piece are pointed at, by what has come up to "gone" before it
-    width = max(1, reach // _SLICES)
+    piece = long_heads.agg(F.count(F.lit(1)) / F.count_distinct("p", "k")).first()[0]
+    width = max(1, int(reach * _PER_CELL / max(piece, _PER_CELL)))
     open_ = long_heads.filter("place > 0").select(F.col("k").alias("k2"), F.col("a").alias("b"), F.greatest("low", "gone").alias("low"), F.least("high", F.col("gone") + reach).alias("high")).filter("low < high")
     cell = lambda x: F.floor(x / width)
     open_ = open_.withColumn("cell", F.explode(F.sequence(cell(F.col("low") + 1), cell(F.col("high")))))
