@@ -15,7 +15,7 @@ from tidewright.session import table
 
 @query("O274 O27", """
 SELECT conv_id, CASE WHEN bad IS NULL THEN n END AS turns, CASE WHEN bad IS NULL THEN words END AS words, CASE WHEN bad IS NOT NULL THEN 'ValueError: turn ' || bad || ' is too short' END AS reason, 
-  CASE WHEN bad IS NOT NULL THEN 2 END::INT AS tries FROM (SELECT conv_id, count(*) AS n, sum(len(regexp_extract_all(text, '[^ ]+'))) AS words, min(CASE WHEN length(text) < 25 THEN turn END) AS bad FROM conversations GROUP BY conv_id)""")
+  CASE WHEN bad IS NOT NULL THEN 2 END::INT AS tries FROM (SELECT conv_id, count(*) AS n, sum(len(regexp_extract_all(text, '[^ ]+')))::BIGINT AS words, min(CASE WHEN length(text) < 25 THEN turn END) AS bad FROM conversations GROUP BY conv_id)""")
 def isolated_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A conversation with a turn below 25 characters fails and loses only itself."""
 
@@ -45,7 +45,7 @@ def _replies(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Column]:
 
 
 @query("O293", """
-SELECT event_id, CASE WHEN shape = 4 THEN -1 WHEN shape IN (3, 5, 6) THEN CASE WHEN event_id % 3 = 0 THEN -1 ELSE user_id % 60 END WHEN shape = 7 THEN 0 WHEN k BETWEEN 1 AND 60 THEN k - 1 ELSE 0 END::INT AS step,
+SELECT event_id, (CASE WHEN shape = 4 THEN -1 WHEN shape IN (3, 5, 6) THEN CASE WHEN event_id % 3 = 0 THEN -1 ELSE user_id % 60 END WHEN shape = 7 THEN 0 WHEN k BETWEEN 1 AND 60 THEN k - 1 ELSE 0 END)::INT AS step,
   CASE WHEN shape = 4 THEN 0 WHEN shape IN (3, 5, 6) THEN CASE WHEN event_id % 3 = 0 THEN 0 ELSE 0.3 END WHEN shape = 0 THEN 0.75 WHEN shape = 1 THEN 0.5 WHEN shape = 2 THEN 0.9 ELSE 1 END::DOUBLE AS confidence,
   CASE WHEN shape = 4 THEN 'none' WHEN shape IN (3, 5, 6) THEN CASE WHEN event_id % 3 = 0 THEN 'none' ELSE 'fallback' END WHEN shape = 7 OR k BETWEEN 1 AND 60 THEN 'parsed' ELSE 'corrected' END AS source
 FROM (SELECT event_id, user_id, event_id % 8 AS shape, (props->>'k')::BIGINT AS k FROM events)""")
