@@ -53,6 +53,12 @@ def test_time_codes(spark):
     assert one(spark, T.letters_to_number(F.lit("aa"))) == 27 and one(spark, T.letters_to_number(F.lit("A"))) == -1
 
 
+def test_stamps_keep_hours_of_three_digits(spark):
+    stamps = [one(spark, T.stamp_of_frame(F.lit(n), 25)) for n in (0, 8_999_999, 9_000_000, 9_000_005, 42_000_001, 90_000_000)]
+    assert stamps == ["00:00:00", "99:59:60", "100:00:00", "100:00:01", "466:40:01", "1000:00:00"]
+    assert one(spark, T.stamp_of_frame(F.lit(None).cast("long"), 25)) is None
+
+
 def test_uuid5_and_json(spark):
     import uuid
 

@@ -147,11 +147,12 @@ def frame_of_stamp(stamp: Column, fps: float, rounding: str = "round") -> Column
 
 
 def stamp_of_frame(frame: Column, fps: int) -> Column:
-    """HH:MM:SS of a frame; a started second counts, without carry into the minutes."""
+    """HH:MM:SS of a frame; a started second counts, without carry into the minutes. Hours from 100 on keep all their digits."""
     total = frame / F.lit(float(fps))
-    two = lambda x: F.lpad(x.cast("int").cast("string"), 2, "0")
+    digits = lambda x: x.cast("long").cast("string")
+    two = lambda x: F.lpad(digits(x), F.greatest(F.length(digits(x)), F.lit(2)), F.lit("0"))
     part = F.floor((total % 1) * 1000)
-    return F.concat_ws(":", two(F.floor(total / 3600)), two(F.floor(total % 3600 / 60)), two(F.floor(total % 60) + F.when(part > 0, 1).otherwise(0)))
+    return F.concat(two(F.floor(total / 3600)), F.lit(":"), two(F.floor(total % 3600 / 60)), F.lit(":"), two(F.floor(total % 60) + F.when(part > 0, 1).otherwise(0)))
 
 
 def frame_file(frame: Column, prefix: str = "", digits: int = 10, extension: str = "jpg") -> Column:
