@@ -465,6 +465,26 @@ def test_first_container_is_the_scan_of_all_kept():
         assert got.tolist() == want
 
 
+def test_pack_streams_keys_of_any_size(spark):
+    rng = random.Random(5)
+    rows = [(k, i, float(rng.choice([0, 7, 30, 90]))) for k in [None, *range(40)] for i in range(1 if k and k % 3 else rng.randint(1, 60))]
+    want, at, used, last = {}, 0, 0, object()
+    for k, i, price in rows:
+        at, used = (0, 0) if k != last else (at, used) if not used or used + price < 80 else (at + 1, 0)
+        want[k, i], used, last = at, used + price, k
+    ends = {k: i for k, i in want}
+    df = spark.createDataFrame(rng.sample(rows, len(rows)), "k long, i int, c double")
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        for size in ("1", "7", "10000"):
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+            assert {(r.k, r.i): r.bin for r in P.pack(df, "k", "i", "c", 80).collect()} == want
+            assert {(r.k, r.i): r.bin for r in P.pack(df, "k", "i", "c", 80, keep_last=False).collect()} == {x: b for x, b in want.items() if ends[x[0]] != x[1]}
+            assert {(r.k, r.line - 1): r.bin for r in P.pack(df, "k", ["i", "c"], "c", 80, place="line").collect()} == want
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+
+
 def test_meteor_of_exact_words(spark):
     assert X.meteor_of("a b c d".split(), "a b c d".split()) == pytest.approx(1 - 0.5 / 64)
     assert X.meteor_of("c d a b".split(), "a b c d".split()) == pytest.approx(1 - 0.5 / 8)

@@ -6,7 +6,7 @@ fit a task by far.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from zlib import crc32
 
 import pandas as pd
@@ -140,20 +140,45 @@ def split_with_overlap(turns: DataFrame, key: str, order: str, cost: str, most:
     return _per_key(turns, key, order, ["time", cost], fold, "segment int, is_context boolean")
 
 
-def pack(df: DataFrame, key: str, order: str, cost: str, most: int, keep_last: bool = True) -> DataFrame:
-    """(key, order, bin): items in order, a new bin whenever the next one would reach *most*. *keep_last* False drops the last item."""
+def pack(df: DataFrame, key: str, order: str | list[str], cost: str, most: int, keep_last: bool = True, place: str | None = None) -> DataFrame:
+    """(key, order, bin): items in order, a new bin whenever the next one would reach *most*. *keep_last* False drops the last item.
 
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        bins, at, used = [], 0, 0
-        for price in rows[cost]:
-            if used and used + price >= most:
-                at, used = at + 1, 0
-            bins.append(at)
-            used += price
-        out = rows.assign(bin=bins)[[key, order, "bin"]]
-        return out if keep_last else out.iloc[:-1]
+    With *place* that column, an item's number in its key from 1, stands in for those of *order*. A task holds one batch of rows, however many keys or
+    items of one key it has.
+    """
+    orders, kinds = [order] if isinstance(order, str) else order, dict(df.dtypes)
+    names = [key, *([place] if place else orders)]
+    schema = ", ".join(f"`{c}` {'long' if c == place else kinds[c]}" for c in names) + ", bin int"
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, at, used, n = None, 0, 0, 0  # the last row so far, which opens or goes on with the next batch's first key
+        for rows in batches:
+            if not len(rows):
+                continue
+            k = rows[key]
+            before = k.shift(fill_value=k.iat[0] if held is None else held[key].iat[0])
+            first = ~((k == before) | (k.isna() & before.isna())).to_numpy(bool)
+            first[0] |= held is None
+            bins, places = [], []
+            for opens, price in zip(first.tolist(), rows[cost].tolist(), strict=True):
+                if opens:
+                    at, used, n = 0, 0, 0
+                elif used and used + price >= most:
+                    at, used = at + 1, 0
+                used, n = used + price, n + 1
+                bins.append(at)
+                places.append(n)
+            out = rows.assign(bin=bins, **({place: places} if place else {}))[[*names, "bin"]]
+            if keep_last:
+                yield out
+            elif held is None:
+                yield out.iloc[:-1][~first[1:]]
+            else:
+                yield pd.concat([held, out.iloc[:-1]], ignore_index=True)[~first]
+            held = out.iloc[-1:]
 
-    return _per_key(df, key, order, [cost], fold, "bin int")
+    wanted = list(dict.fromkeys([key, *orders, cost]))
+    return df.select(*wanted).repartition(key).sortWithinPartitions(key, *orders).mapInPandas(run, schema)
 
 
 def adjust_times(turns: DataFrame, key: str, order: str, least: float = 0.5, shift: float = 1.0) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewright.operators import frames as R
@@ -71,8 +71,7 @@ w AS (SELECT l_orderkey, line, 0 AS bin, q AS u FROM x WHERE line = 1 UNION ALL
   SELECT x.l_orderkey, x.line, w.bin + CASE WHEN w.u <> 0 AND w.u + x.q >= 80 THEN 1 ELSE 0 END, x.q + CASE WHEN w.u <> 0 AND w.u + x.q >= 80 THEN 0 ELSE w.u END FROM w JOIN x ON x.l_orderkey = w.l_orderkey AND x.line = w.line + 1)
 SELECT l_orderkey, line, bin::INT AS bin FROM w""")
 def caption_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    place = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity"))
-    return P.pack(table(spark, sf_dir, "lineitem").withColumn("line", place.cast("long")), "l_orderkey", "line", "l_quantity", 80)
+    return P.pack(table(spark, sf_dir, "lineitem"), "l_orderkey", ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity"], "l_quantity", 80, place="line")
 
 
 @query("O140")
