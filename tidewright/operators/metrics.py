@@ -2,15 +2,23 @@
 
 from __future__ import annotations
 
-from collections import deque
+from collections import OrderedDict, deque
 from collections.abc import Iterator
 from functools import reduce
+from hashlib import blake2b
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewright.functions.text import words_of
+from tidewright.sources.scratch import written
+
+_MIX = np.uint64(0x9E3779B97F4A7C15)  # 2 ** 64 divided by the golden ratio, odd
+#: Bits of the map that tells which n-grams may be in a reference.
+_BITS = 1 << 23
 
 
 def _over(a: Column, b: Column) -> Column:
@@ -35,6 +43,51 @@ def content_metrics(pairs: DataFrame, group: list[str]) -> DataFrame:
     return pairs.groupBy(*group).agg(F.count(F.lit(1)).alias("n"), F.avg(step.cast("int")).alias("step_accuracy"), F.avg(move.cast("int")).alias("transition_accuracy"), F.avg((step & move).cast("int")).alias("exact_accuracy"))
 
 
+class _WordHashes(dict):
+    """64-bit hashes of words, remembered; forgotten when there are very many."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= 500_000:
+            self.clear()
+        self[word] = value = int.from_bytes(blake2b(word, digest_size=8).digest(), "little")
+        return value
+
+
+def _gram_counts(text: bytes | None, most: int, hashes: _WordHashes) -> tuple[int, list[tuple[np.ndarray, np.ndarray]]]:
+    """The number of words of *text*, and for each n up to *most* its distinct n-grams as sorted 64-bit hashes, with their counts."""
+    words = (text or b"").split()  # bytes are split at the white space of words_of()
+    h = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
+    out, g = [], np.zeros(len(h), np.uint64)
+    for n in range(1, most + 1):
+        g = (g[: max(0, len(h) - n + 1)] ^ h[n - 1 :]) * _MIX
+        g ^= g >> np.uint64(32)
+        out.append(np.unique(g.view(np.int64), return_counts=True))
+    return len(words), out
+
+
+def _shared(grams: np.ndarray, ref: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places in *grams* and in *ref*, both sorted and distinct, of what both hold."""
+    if not len(grams):
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    at = np.minimum(np.searchsorted(grams, ref), len(grams) - 1)
+    found = np.flatnonzero(grams[at] == ref)
+    return at[found], found
+
+
+class _References(OrderedDict):
+    """_gram_counts() of the last thousand references met: many pairs may share one."""
+
+    def __init__(self, most: int, hashes: _WordHashes) -> None:
+        super().__init__()
+        self.most, self.hashes = most, hashes
+
+    def __missing__(self, text: bytes | None) -> tuple[int, list[tuple[np.ndarray, np.ndarray]]]:
+        if len(self) >= 1000:
+            self.popitem(last=False)
+        self[text] = value = _gram_counts(text, self.most, self.hashes)
+        return value
+
+
 def ngrams(words: Column, n: int) -> Column:
     """All n-grams of an array of words, each joined by blanks; none where there are fewer words."""
     return F.when(F.size(words) >= n, F.transform(F.sequence(F.lit(1), F.size(words) - n + 1), lambda i: F.array_join(F.slice(words, i, F.lit(n)), " "))).otherwise(F.array().cast("array<string>"))
@@ -78,27 +131,84 @@ def bleu(pairs: DataFrame, key: str, hyp: str, ref: str, most: int = 4) -> DataF
     return met.select(*out)
 
 
+def _reference_grams(refs: DataFrame, most: int) -> DataFrame:
+    """(rid, times, n, gram, c): the n-grams of each of *refs* (rid, times, r) up to *most*, as 64-bit hashes, with their counts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = _WordHashes()
+        for batch in batches:
+            for i, text in enumerate(batch.column(2).cast(pa.binary())):
+                for n, (g, c) in enumerate(_gram_counts(text.as_py(), most, hashes)[1], 1):
+                    own = batch.slice(i, 1).take(pa.array(np.zeros(len(g), np.int32)))
+                    yield pa.RecordBatch.from_arrays([own.column(0), own.column(1), pa.array(np.full(len(g), n, np.int32)), pa.array(g), pa.array(c)], ["rid", "times", "n", "gram", "c"])
+
+    return refs.select("rid", "times", "r").mapInArrow(run, "rid long, times long, n int, gram long, c long")
+
+
+def _gram_bits(df: DataFrame) -> bytes:
+    """A bitmap of 1 MiB with a bit for the hash of each gram of *df*: those of texts whose bit isn't set are in no reference."""
+    at = F.pmod("gram", F.lit(_BITS)) + 1
+    found = df.groupBy(F.bitmap_bucket_number(at).alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bits")).collect()
+    parts = {r.b: bytes(r.bits) for r in found}
+    return b"".join(parts.get(b, bytes(4096)) for b in range(1, _BITS // 32768 + 1))
+
+
 def cider(pairs: DataFrame, key: str, hyp: str, ref: str, most: int = 4, sigma: float = 6.0) -> DataFrame:
     """(key, cider) of one hypothesis and one reference each: clipped cosine of tf-idf vectors of n-grams, with a length penalty, times 10.
 
-    Document frequencies are those of the references; a length is the number of bigrams.
+    Document frequencies are those of the references; a length is the number of bigrams. Grams without a frequency weigh the same in all texts, so
+    they are summed where the row lies, and only those that may be in a reference, by a bitmap of fixed size, meet the frequencies.
     """
-    w, distinct = _worded(pairs, key, hyp, ref)
-    n_docs = F.log(distinct.agg(F.sum("times").cast("double").alias("n")).scalar())
-    refs = _counted(distinct, ["rid", "times"], "r", most)
-    df = refs.groupBy("n", "gram").agg(F.sum("times").alias("df"))
-    weigh = lambda t: t.join(df, ["n", "gram"], "left").withColumn("w", F.col("c") * (n_docs - F.log(F.greatest(F.coalesce("df", F.lit(1)), F.lit(1)).cast("double")))).drop("df", "c")
-    hw, rw = weigh(_counted(w, [key, "rid"], "h", most)), weigh(refs.drop("times"))
-    rn = rw.groupBy("rid", "n").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("rn"))
-    met = hw.join(rw.withColumnRenamed("w", "rw"), ["rid", "n", "gram"], "left")
-    # one pass gives both a text's norm and its product with its reference
-    dots = met.groupBy(key, "rid", "n").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("hn"), F.sum(F.least("w", "rw") * F.col("rw")).alias("dot"))
-    cos = dots.filter("dot IS NOT NULL").join(rn, ["rid", "n"])
-    value = F.when((F.col("hn") != 0) & (F.col("rn") != 0), F.col("dot") / (F.col("hn") * F.col("rn"))).otherwise(F.col("dot"))
-    summed = cos.groupBy(key).agg(F.sum(value).alias("s"))
-    delta = F.greatest(F.size("h") - 1, F.lit(0)) - F.greatest(F.col("rs") - 1, F.lit(0))
-    penalty = F.exp(-(delta * delta) / F.lit(2 * sigma * sigma))
-    return w.select(key, penalty.alias("p")).join(summed, key, "left").select(key, (F.coalesce("s", F.lit(0.0)) * F.col("p") / most * 10).alias("cider"))
+    refs = written(pairs.groupBy(F.col(ref).alias("r")).agg(F.count(F.lit(1)).alias("times")).withColumn("rid", F.xxhash64("r")), "references")
+    n_docs = F.log(refs.agg(F.sum("times").cast("double").alias("n")).scalar())
+    counted = written(_reference_grams(refs, most), "reference-grams")
+    df = written(counted.groupBy("n", "gram").agg(F.sum("times").alias("df")), "gram-frequencies")
+    bits = _gram_bits(df)
+    idf = n_docs - F.log(F.greatest(F.coalesce("df", F.lit(1)), F.lit(1)).cast("double"))
+    each = lambda value, name: [F.sum(F.when(F.col("n") == n, value)).alias(f"{name}{n}") for n in range(1, most + 1)]
+    norms = written(counted.join(df, ["n", "gram"]).groupBy("rid").agg(*each(F.col("c") * F.col("c") * idf * idf, "r")), "reference-norms")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, known = _WordHashes(), np.frombuffer(bits, np.uint8)
+        own_refs = _References(most, hashes)
+        struct = [pa.field(c, kind) for c, kind in (("n", pa.int32()), ("gram", pa.int64()), ("sq", pa.int64()), ("met", pa.int64()))]
+        for batch in batches:
+            texts, begin, held = [batch.column(i).cast(pa.binary()) for i in (2, 3)], 0, 0
+            parts, size, delta, rest = [], [], [], []
+            for i in range(batch.num_rows):
+                (h_size, h_grams), (r_size, r_grams) = _gram_counts(texts[0][i].as_py(), most, hashes), own_refs[texts[1][i].as_py()]
+                size.append(0)
+                rest.append([])
+                delta.append(max(h_size - 1, 0) - max(r_size - 1, 0))
+                for n, ((g, c), (rg, rc)) in enumerate(zip(h_grams, r_grams, strict=True), 1):
+                    met, (at, found) = np.zeros(len(g), np.int64), _shared(g, rg)
+                    met[at] = np.minimum(c[at], rc[found]) * rc[found]
+                    place = g & (_BITS - 1)
+                    may = (known[place >> 3] >> (place & 7).astype(np.uint8) & 1).astype(bool)
+                    rest[-1].append(int((c[~may] * c[~may]).sum()))
+                    parts.append((np.full(int(may.sum()), n, np.int32), g[may], (c * c)[may], met[may]))
+                    size[-1] += len(parts[-1][0])
+                held += size[-1]
+                if held >= 200_000 or i == batch.num_rows - 1:
+                    grams = pa.StructArray.from_arrays([pa.array(np.concatenate(x)) for x in zip(*parts, strict=True)], fields=struct)
+                    lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *size]), pa.int32()), grams)
+                    keys = batch.slice(begin, i + 1 - begin)
+                    yield pa.RecordBatch.from_arrays([keys.column(0), keys.column(1), pa.array(delta, pa.int64()), pa.array(rest, pa.list_(pa.int64())), lists], [key, "rid", "delta", "rest", "grams"])
+                    begin, held, parts, size, delta, rest = i + 1, 0, [], [], [], []
+
+    schema = f"`{key}` {pairs.schema[key].dataType.simpleString()}, rid long, delta long, rest array<long>, grams array<struct<n: int, gram: long, sq: long, met: long>>"
+    counts = pairs.select(key, F.xxhash64(ref).alias("rid"), F.col(hyp).alias("h"), F.col(ref).alias("r")).mapInArrow(run, schema)
+    rows = counts.withColumn("row", F.monotonically_increasing_id()).select("row", key, "rid", "delta", "rest", F.inline_outer("grams"))
+    # one pass gives both a text's norm and its product with its reference; equal rows of pairs stay apart
+    own = ["row", key, "rid", "delta"]
+    sums = rows.join(df, ["n", "gram"], "left").groupBy(*own, "rest").agg(*each(F.col("sq") * idf * idf, "h"), *each(F.col("met") * idf * idf, "d")).join(norms, "rid", "left")
+    total = F.lit(0.0)
+    for n in range(1, most + 1):
+        h = F.sqrt(F.coalesce(f"h{n}", F.lit(0.0)) + F.col("rest")[n - 1] * n_docs * n_docs)
+        length, dot = h * F.sqrt(F.coalesce(f"r{n}", F.lit(0.0))), F.coalesce(f"d{n}", F.lit(0.0))
+        total = total + F.when(length != 0, dot / length).otherwise(dot)
+    penalty = F.exp(-(F.col("delta") * F.col("delta")) / F.lit(2 * sigma * sigma))
+    return sums.select(key, (total * penalty / most * 10).alias("cider"))
 
 
 def meteor_of(hyp: list[str], ref: list[str]) -> float:
