@@ -39,6 +39,13 @@ def plain_cider(rows: list[tuple]) -> Counter:
     return Counter(out)
 
 
+def plain_bleu(rows: list[tuple]) -> list[float]:
+    pairs = [(grams(h), grams(r)) for _, h, r in rows]
+    p = [(sum((h[1][n] & r[1][n]).total() for h, r in pairs) + 1e-15) / (sum(max(len(h[0]) - n, 0) for h, _ in pairs) + 1e-9) for n in range(4)]
+    x = sum(len(h[0]) for h, _ in pairs) / sum(len(r[0]) for _, r in pairs)
+    return [math.exp(sum(map(math.log, p[: n + 1])) / (n + 1)) * (math.exp(1 - 1 / x) if x < 1 else 1) for n in range(4)]
+
+
 @pytest.fixture(scope="module")
 def pairs(spark):
     return spark.createDataFrame(ROWS, "k long, h string, r string").repartition(3).cache()
@@ -48,6 +55,12 @@ def shuffled(df) -> list[str]:
     return [line for line in df._jdf.queryExecution().executedPlan().toString().splitlines() if re.search(r"hashpartitioning\(.*gram", line)]
 
 
+def test_bleu_counts_each_row_by_itself_and_shuffles_no_grams(pairs):
+    found = X.bleu(pairs, "k", "h", "r")
+    assert list(found.first()) == pytest.approx(plain_bleu(ROWS), rel=1e-9)
+    assert not shuffled(found)
+
+
 @pytest.mark.parametrize("bits", [1 << 23, 1 << 15])
 def test_cider_is_exact_whatever_the_bitmap_lets_through(pairs, monkeypatch, bits):
     monkeypatch.setattr(X, "_BITS", bits)

@@ -88,39 +88,29 @@ class _References(OrderedDict):
         return value
 
 
-def ngrams(words: Column, n: int) -> Column:
-    """All n-grams of an array of words, each joined by blanks; none where there are fewer words."""
-    return F.when(F.size(words) >= n, F.transform(F.sequence(F.lit(1), F.size(words) - n + 1), lambda i: F.array_join(F.slice(words, i, F.lit(n)), " "))).otherwise(F.array().cast("array<string>"))
-
-
-def _counted(df: DataFrame, key: list[str], words: str, most: int) -> DataFrame:
-    """(key, n, gram, c): the n-grams of each row up to *most*, as 64-bit hashes, with their counts."""
-    hashed = lambda n: F.transform(ngrams(F.col(words), n), lambda g: F.xxhash64(g))
-    each = F.array(*[F.struct(F.lit(n).alias("n"), hashed(n).alias("g")) for n in range(1, most + 1)])
-    flat = df.select(*key, F.explode(each).alias("x")).select(*key, "x.n", F.explode("x.g").alias("gram"))
-    return flat.groupBy(*key, "n", "gram").agg(F.count(F.lit(1)).alias("c"))
-
-
-def _worded(pairs: DataFrame, key: str, hyp: str, ref: str) -> tuple[DataFrame, DataFrame]:
-    """((key, rid, h, r size) of each pair; (rid, r, times) of each distinct reference): many pairs may share one."""
-    w = pairs.select(key, words_of(F.col(hyp)).alias("h"), words_of(F.col(ref)).alias("r"), F.xxhash64(ref).alias("rid"))
-    return w.select(key, "rid", "h", F.size("r").alias("rs")), w.groupBy("rid").agg(F.first("r").alias("r"), F.count(F.lit(1)).alias("times"))
-
-
 def bleu(pairs: DataFrame, key: str, hyp: str, ref: str, most: int = 4) -> DataFrame:
     """Corpus BLEU-1 to BLEU-*most* of one hypothesis and one reference each: clipped counts, brevity penalty, small smoothing terms.
 
-    References that several pairs share are counted once.
+    A pair's n-grams are counted where its row lies, so only sums are shuffled.
     """
-    w, distinct = _worded(pairs, key, hyp, ref)
-    hyps, refs = _counted(w, [key, "rid"], "h", most), _counted(distinct, ["rid"], "r", most).withColumnRenamed("c", "rc")
-    right = hyps.join(refs, ["rid", "n", "gram"]).groupBy("n").agg(F.sum(F.least("c", "rc")).alias("right"))
-    size = lambda n: F.greatest(F.size("h") - n + 1, F.lit(0))
-    counters = [(f"g{n}", size(n)) for n in range(1, most + 1)] + [("hl", F.size("h")), ("rl", F.col("rs"))]
-    rows = w.select(F.explode(F.array(*[F.struct(F.lit(name).alias("name"), value.cast("long").alias("v")) for name, value in counters])).alias("x")).select("x.name", "x.v")
-    rows = rows.unionByName(right.select(F.concat(F.lit("c"), F.col("n").cast("string")).alias("name"), F.col("right").alias("v")))
-    names = [name for name, _ in counters] + [f"c{n}" for n in range(1, most + 1)]
-    met = rows.groupBy("name").agg(F.sum("v").alias("v")).agg(*[F.coalesce(F.sum(F.when(F.col("name") == name, F.col("v"))), F.lit(0)).alias(name) for name in names])
+    names = [f"{c}{n}" for c in "gc" for n in range(1, most + 1)] + ["hl", "rl"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = _WordHashes()
+        refs = _References(most, hashes)
+        for batch in batches:
+            total = np.zeros(len(names), np.int64)
+            for h, r in zip(*(batch.column(i).cast(pa.binary()) for i in (0, 1)), strict=True):
+                (h_size, h_grams), (r_size, r_grams) = _gram_counts(h.as_py(), most, hashes), refs[r.as_py()]
+                for n, ((g, c), (rg, rc)) in enumerate(zip(h_grams, r_grams, strict=True)):
+                    at, found = _shared(g, rg)
+                    total[n] += max(h_size - n, 0)
+                    total[most + n] += np.minimum(c[at], rc[found]).sum()
+                total[-2:] += (h_size, r_size)
+            yield pa.RecordBatch.from_arrays([pa.array([v]) for v in total.tolist()], names)
+
+    counts = pairs.select(F.col(hyp).alias("h"), F.col(ref).alias("r")).mapInArrow(run, ", ".join(f"{c} long" for c in names))
+    met = counts.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in names])
     tiny, small = 1e-15, 1e-9
     ratio = (F.col("hl") + tiny) / (F.col("rl") + small)
     penalty = F.when(ratio < 1, F.exp(1 - 1 / ratio)).otherwise(1.0)
