@@ -73,3 +73,11 @@ def test_cider_keeps_grams_whose_bits_are_taken(pairs, monkeypatch):
     monkeypatch.setattr(X, "_gram_bits", lambda df: b"\xff" * (X._BITS // 8))
     found = X.cider(pairs, "k", "h", "r").select("k", (F.round("cider", 6) + 0.0).alias("c"))
     assert Counter((r.k, r.c) for r in found.collect()) == plain_cider(ROWS)
+
+
+def test_text_scores_shuffle_no_grams(pairs):
+    found = X.text_scores(pairs, "k", "h", "r", ("bleu", "meteor"))
+    own = [row for row in ROWS if grams(row[2])[0]]
+    got = {r.metric: r.value for r in found.collect()}
+    assert [got[f"bleu_{n}"] for n in range(1, 5)] == pytest.approx(plain_bleu(own), rel=1e-9)
+    assert not shuffled(found)
