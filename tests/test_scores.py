@@ -81,3 +81,24 @@ def test_text_scores_shuffle_no_grams(pairs):
     got = {r.metric: r.value for r in found.collect()}
     assert [got[f"bleu_{n}"] for n in range(1, 5)] == pytest.approx(plain_bleu(own), rel=1e-9)
     assert not shuffled(found)
+
+
+def test_pairs_shuffle_no_documents_whatever_the_benchmarks_size(spark, tmp_path):
+    from tidewright.plans import metric_queries as Q
+
+    docs = [(i, None if i % 11 == 0 else f"a b c {i} d") for i in [*range(-300, 300), 2**40]]
+    items = [(i, [f"a b c {i}", "", None, " x "][i % 4]) for i in range(-400, 400)] + [(None, "a b c")]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    of, own = dict(items), [(d, t, int(math.fmod(d, 97))) for d, t in docs]
+    found, before = Q._pairs(spark, str(tmp_path)), spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    assert Counter((r.doc_id, r.hyp, r.ref) for r in found.collect()) == Counter((d, t, of[i]) for d, t, i in own)
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as for a benchmark above any limit
+        scores = Q.text_scores(spark, str(tmp_path))
+        got = {r.metric: r.value for r in scores.collect()}
+        plan = scores._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert [got[f"bleu_{n}"] for n in range(1, 5)] == pytest.approx(plain_bleu([(d, t, of[i]) for d, t, i in own if grams(of[i])[0]]), abs=1e-6)
+    assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan
